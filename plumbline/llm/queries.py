@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .permutation_index import nearest
 from .quality import classify_quality
 from .simhash import simhash_dedup
 from .substring_dedup import substring_dedup
@@ -31,6 +32,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_simhash_dedup, op4_quality, op5_exact_dedup, op9_suffix_dedup, op10_warc)
+    f.__name__: f for f in (op1_substring_dedup, op2_simhash_dedup, op4_quality, op5_exact_dedup, op7_permutation_index, op9_suffix_dedup, op10_warc)
 }
 
 LLM_ORACLES: dict[str, str] = {
