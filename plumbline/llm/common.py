@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import math
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,8 +52,10 @@ def free_shuffles(spark: SparkSession) -> None:
 
     The cleaner follows the driver's garbage collector, which a small driver heap seldom triggers.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first lets go of the plans, the second finds their shuffles unreachable
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:

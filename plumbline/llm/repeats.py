@@ -49,9 +49,9 @@ class Plan:
     period: int
     cover: tuple[int, ...]
     anchored: bool
-    chunk_bytes: int = 2 << 20
+    chunk_bytes: int = 1 << 20
     bucket_keys: int = 1 << 20
-    blocks: int = 4
+    blocks: int = 6
 
     @property
     def density(self) -> float:
