@@ -33,9 +33,9 @@ class Rolling:
 
     def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self._up) < n:
-            n = max(n, 1 << 16)
+            size = max(n, 1 << 16)
             self._up, self._down = (
-                np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)]))
+                np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]))
                 for b in (self.base, pow(self.base, -1, 2**64))
             )
         return self._up[:n], self._down[:n]

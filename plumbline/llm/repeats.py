@@ -49,6 +49,7 @@ class Plan:
     period: int
     cover: tuple[int, ...]
     anchored: bool
+    every: bool = False  # all copies go, the first too
     chunk_bytes: int = 1 << 20
     bucket_keys: int = 1 << 20
     blocks: int = 6
@@ -250,7 +251,7 @@ def _keep_live(plan: Plan, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Ta
 
 
 def _live_windows(plan: Plan, row: dict, buckets: int):
-    """Distinct (key, check) of a chunk's live windows in order: those, smallest id, bucket; each window's start, id and number."""
+    """Distinct (key, check) of a chunk's live windows in order: those, smallest id, bucket; each window's start, whether the chunk itself flags it, number."""
     ids, starts, lengths = (np.frombuffer(row[k], np.int64) for k in ("ids", "starts", "lengths"))
     ends = np.cumsum(lengths)
     texts = [row["data"][e - n : e] for e, n in zip(ends, lengths, strict=True)]
@@ -266,12 +267,13 @@ def _live_windows(plan: Plan, row: dict, buckets: int):
     new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])] if len(k) else np.zeros(0, bool)
     begin = np.flatnonzero(new)
     wid = u.ids[u.doc[at]]
-    least = np.minimum.reduceat(wid[order], begin) if len(begin) else wid
+    least, most = (f.reduceat(wid[order], begin) if len(begin) else wid for f in (np.minimum, np.maximum))
     number = np.empty(len(at), np.int64)
     number[order] = np.cumsum(new) - 1
     bucket = ((k[begin] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     start = starts[u.doc[at]] + u.place()[at]
-    return k[begin], c[begin], least, bucket, start, wid, number
+    own = (most > least)[number] if plan.every else wid > least[number]
+    return k[begin], c[begin], least, bucket, start, own, number
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -301,22 +303,30 @@ def _ask_windows(plan: Plan, buckets: int, block: int):
     return ask
 
 
-def _answer_windows(t: pa.Table) -> pa.Table:
-    """A chunk's window is flagged if a smaller id has it in another chunk."""
-    keys = [np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
-    size = np.array([len(k) for k in keys])
-    key = np.concatenate(keys)
-    check = np.concatenate([np.frombuffer(x, np.uint32) for x in t["more"].to_pylist()])
-    least = np.concatenate([_unplanes(x, np.int64) for x in t["ids"].to_pylist()])
-    order = np.argsort(key)
-    k, c = key[order], check[order]
-    if ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any():
-        order = np.lexsort((check, key))
+def _answer_windows(plan: Plan) -> Callable[[pa.Table], pa.Table]:
+    """A chunk's window is flagged if a smaller id (for every copy: any) has it in another chunk."""
+
+    def answer(t: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
+        size = np.array([len(k) for k in keys])
+        key = np.concatenate(keys)
+        check = np.concatenate([np.frombuffer(x, np.uint32) for x in t["more"].to_pylist()])
+        least = np.concatenate([_unplanes(x, np.int64) for x in t["ids"].to_pylist()])
+        order = np.argsort(key)
         k, c = key[order], check[order]
-    begin = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
-    smallest = np.empty(len(key), np.int64)
-    smallest[order] = np.repeat(np.minimum.reduceat(least[order], begin), np.diff(begin, append=len(key)))
-    return _replies(t, size, smallest < least)
+        if ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any():
+            order = np.lexsort((check, key))
+            k, c = key[order], check[order]
+        begin = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
+        times = np.diff(begin, append=len(key))
+        flag = np.empty(len(key), bool)
+        if plan.every:
+            flag[order] = np.repeat(times > 1, times)
+        else:
+            flag[order] = np.repeat(np.minimum.reduceat(least[order], begin), times) < least[order]
+        return _replies(t, size, flag)
+
+    return answer
 
 
 _GONE = pa.schema([("chunk", pa.int32()), ("starts", pa.binary())])
@@ -328,8 +338,8 @@ def _mark(plan: Plan, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def mark(live: pa.Table, replies: pa.Table) -> pa.Table:
         rows = []
         for row in live.to_pylist():
-            _, _, least, bucket, start, wid, number = _live_windows(plan, row, buckets)
-            flagged = _bits(replies, bucket)[number] | (wid > least[number])
+            _, _, _, bucket, start, own, number = _live_windows(plan, row, buckets)
+            flagged = _bits(replies, bucket)[number] | own
             gone = np.sort(start[flagged])
             if len(gone):
                 rows.append((row["chunk"], _planes(np.diff(gone, prepend=0))))
@@ -369,7 +379,7 @@ def remove_repeats(documents: DataFrame, plan: Plan, finish: Callable, schema: p
     replies = None
     for block in range(plan.blocks):
         asked = live.read().mapInArrow(_ask_windows(plan, buckets, block), _ddl(_SEND))
-        part = Written(asked.groupBy("bucket").applyInArrow(_answer_windows, _ddl(_REPLY)), "flags")
+        part = Written(asked.groupBy("bucket").applyInArrow(_answer_windows(plan), _ddl(_REPLY)), "flags")
         del asked
         free_shuffles(spark)
         replies = part.read() if replies is None else replies.unionAll(part.read())
