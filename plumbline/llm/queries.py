@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
 from .permutation_index import nearest
 from .quality import classify_quality
+from .sentencepiece_lattice import encode_documents
 from .simhash import simhash_dedup
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -41,6 +42,10 @@ def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_simhash_dedup, op3_html_extract, op4_quality, op5_exact_dedup, op7_permutation_index, op9_suffix_dedup, op10_warc)
+    f.__name__: f for f in (op1_substring_dedup, op2_simhash_dedup, op3_html_extract, op4_quality, op5_exact_dedup, op7_permutation_index, op8_sentencepiece, op9_suffix_dedup, op10_warc)
 }
 
 LLM_ORACLES: dict[str, str] = {
