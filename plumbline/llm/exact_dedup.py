@@ -133,3 +133,9 @@ def exact_dedup(documents: DataFrame, history_share: float = 0.5) -> DataFrame:
     return out.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
+
+
+def keep_first(documents: DataFrame, history_share: float = 0.5) -> DataFrame:
+    """The documents' rows without repeats: one row of each group of equal texts. Rows with a null doc_id stay, as a decision can't name them."""
+    gone = exact_dedup(documents, history_share).where("not kept").select(F.col("doc_id").alias("gone_")).distinct()
+    return documents.join(gone, F.col("doc_id").cast("long") == F.col("gone_"), "left_anti")

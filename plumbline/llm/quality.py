@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .hashing import Rolling, join_bytes, mix, word_spans
 
@@ -161,21 +162,21 @@ def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
     return np.frombuffer(row[0]["weights"], np.float32) if row else np.zeros(1 << settings.bits, np.float32)
 
 
-def score(documents: DataFrame, weights: np.ndarray, settings: Settings = Settings()) -> DataFrame:
-    """doc_id and score of every text."""
+def score(documents: DataFrame, weights: np.ndarray, settings: Settings = Settings(), name: str = "score") -> DataFrame:
+    """The documents' columns and, in a new last column, each text's score."""
     sent = documents.sparkSession.sparkContext.broadcast(weights)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    place = documents.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            texts, out = [x or b"" for x in batch["text"].to_pylist()], [np.zeros(0)]
+            texts, out = [(x or "").encode() for x in batch.column(place).to_pylist()], [np.zeros(0)]
             for part in slices(texts):
                 at, feature, value = features(texts[part], settings.bits)
                 dot = np.bincount(at, weights=sent.value[feature].astype(np.float64) * value, minlength=part.stop - part.start)
                 out.append(1 / (1 + np.exp(-np.clip(dot, -35, 35))))
-            yield pa.record_batch([batch["doc_id"], pa.array(np.concatenate(out))], names=["doc_id", "score"])
+            yield pa.record_batch([*batch.columns, pa.array(np.concatenate(out))], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, "doc_id long, score double")
+    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField(name, DoubleType())]))
 
 
 def classify_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, settings: Settings = Settings()) -> DataFrame:
@@ -184,10 +185,17 @@ def classify_quality(documents: DataFrame, labels: DataFrame, threshold: float =
     Null and empty texts get the bias alone. A null doc_id isn't held out. Labels, languages, sources and
     ids are no inputs of a score. Other columns are ignored.
     """
-    scored = score(documents, train(documents, labels, settings), settings)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = score(docs, train(documents, labels, settings), settings)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, settings: Settings = Settings()) -> DataFrame:
+    """The rows of documents that the classifier accepts."""
+    scored = score(documents, train(documents, labels, settings), settings, "score_")
+    return scored.where(F.col("score_") >= threshold).drop("score_")
+
+
 def crc_held_out(doc_id: int) -> bool:
     """The same rule in Python."""
     return zlib.crc32(str(doc_id).encode()) % 4 == 2

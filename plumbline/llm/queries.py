@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
+from .mixing import mix_sources
 from .permutation_index import nearest
 from .quality import classify_quality
 from .sentencepiece_lattice import encode_documents
@@ -38,6 +39,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
@@ -55,7 +60,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_simhash_dedup, op3_html_extract, op4_quality, op5_exact_dedup, op7_permutation_index, op8_sentencepiece, op9_suffix_dedup, op10_warc)
+    f.__name__: f for f in (op1_substring_dedup, op2_simhash_dedup, op3_html_extract, op4_quality, op5_exact_dedup, op6_mixing, op7_permutation_index, op8_sentencepiece, op9_suffix_dedup, op10_warc)
 }
 
 LLM_ORACLES: dict[str, str] = {

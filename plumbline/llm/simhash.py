@@ -175,3 +175,9 @@ def simhash_dedup(documents: DataFrame, shingle: int = 3, threshold: int = 2) ->
     by_print = nodes.read().join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     out = prints.read().join(by_print, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_representatives(documents: DataFrame, shingle: int = 3, threshold: int = 2) -> DataFrame:
+    """The documents' rows without repeats: one document of each component. Rows with a null doc_id stay, as a decision can't name them."""
+    gone = simhash_dedup(documents, shingle, threshold).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct()
+    return documents.join(gone, F.col("doc_id").cast("long") == F.col("gone_"), "left_anti")
