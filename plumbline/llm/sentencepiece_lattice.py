@@ -54,16 +54,36 @@ class Vocabulary:
             self.tables.setdefault(len(p), []).append((p, i))
             for n in range(1, len(p)):
                 prefixes.setdefault(n, set()).add(p[:n])
-        self.tables = {n: _sorted([p for p, _ in rows], np.array([i for _, i in rows])) for n, rows in self.tables.items()}
-        self.prefixes = {n: _sorted(list(s), np.zeros(len(s), np.int64))[0] for n, s in prefixes.items()}
-
-
-def _sorted(strings: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    buf, n = join_bytes(strings)
-    end = np.cumsum(n)
-    h = _HASH.spans(_HASH.prefix(_HASH.codes[buf]), end - n, end)
-    order = np.argsort(h)
-    return h[order], ids[order]
+        self.tables = {n: Strings([p for p, _ in rows], [i for _, i in rows]) for n, rows in self.tables.items()}
+        self.prefixes = {n: Strings(list(s), [0] * len(s)) for n, s in prefixes.items()}
+
+
+class Strings:
+    """Hashes of strings of one length in order, entered by their first 16 bits."""
+
+    def __init__(self, strings: list[bytes], ids: list[int]):
+        buf, n = join_bytes(strings)
+        end = np.cumsum(n)
+        h = _HASH.spans(_HASH.prefix(_HASH.codes[buf]), end - n, end)
+        order = np.argsort(h)
+        self.hash = np.append(h[order], np.uint64(0))
+        self.ids = np.array(ids, np.int32)[order]
+        slots = (self.hash[:-1] >> np.uint64(48)).astype(np.int64)
+        self.first = np.searchsorted(slots, np.arange(65536)).astype(np.int32)
+        self.most = int(np.bincount(slots).max())
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in h that are known, and their strings' ids."""
+        begin = self.first[(h >> np.uint64(48)).astype(np.int64)]
+        at, found = [], []
+        for k in range(self.most):
+            entry = np.minimum(begin + k, len(self.ids))
+            hit = np.flatnonzero(self.hash[entry] == h)
+            at.append(hit)
+            found.append(entry[hit])
+        at, found = np.concatenate(at), np.concatenate(found)
+        real = found < len(self.ids)
+        return at[real], self.ids[found[real]]
 
 
 def load_vocabulary(model: str = MODEL, theta: float = 1.0) -> Vocabulary:
@@ -91,11 +111,6 @@ def load_vocabulary(model: str = MODEL, theta: float = 1.0) -> Vocabulary:
     return Vocabulary(pieces, weight, byte_ids)
 
 
-def _in(sorted_: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(sorted_, h), len(sorted_) - 1)
-    return at, sorted_[at] == h
-
-
 def _units(buf: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of units, and their text: a new one at each text's start and before each run of spaces."""
     bounds = np.cumsum(lengths)
@@ -141,13 +156,13 @@ class Lattice:
             alive = alive[alive + n <= stop[alive]]
             h = _HASH.spans(prefix, alive, alive + n)
             if n in v.tables:
-                known, ids = v.tables[n]
-                at, hit = _in(known, h)
-                begin.append(alive[hit])
-                after.append(np.full(hit.sum(), n))
-                piece.append(ids[at[hit]])
-                single[alive[hit & (chars[alive] == n)]] = True
-            alive = alive[_in(v.prefixes[n], h)[1]] if n in v.prefixes else alive[:0]
+                at, ids = v.tables[n].find(h)
+                at = alive[at]
+                begin.append(at)
+                after.append(np.full(len(at), n))
+                piece.append(ids)
+                single[at[chars[at] == n]] = True
+            alive = alive[v.prefixes[n].find(h)[0]] if n in v.prefixes else alive[:0]
         # characters without a piece: a path of byte pieces
         spelt = np.flatnonzero(~single[np.maximum.accumulate(np.where(lead, np.arange(len(own)), 0))])
         begin, after = np.concatenate([*begin, spelt]), np.concatenate([*after, np.ones(len(spelt), np.int64)])
@@ -158,32 +173,29 @@ class Lattice:
         self.end = base + size
         self.base = base
         # forward filtering, one distance from the units' beginnings at a time
-        order = np.lexsort((target, depth))
-        source, target, piece, depth = source[order], target[order], piece[order], depth[order]
-        total = np.full(int(self.end[-1]) + 1, -np.inf)
+        order = np.argsort(depth * (int(self.end[-1]) + 1) + target)
+        self.source, target, self.piece, depth = source[order], target[order], piece[order].astype(np.int32), depth[order]
+        self.share = np.empty(len(target))
+        self.first = np.zeros(int(self.end[-1]) + 1, np.int64)
+        total = np.full(len(self.first), -np.inf)
         total[base] = 0
-        value = np.empty(len(source))
-        cut = np.searchsorted(depth, np.arange(depth[-1] + 2)) if len(depth) else []
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            if a == b:
-                continue
-            x = total[source[a:b]] + v.weight[piece[a:b]]
-            t = target[a:b]
-            group = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-            most = np.maximum.reduceat(x, group)
-            times = np.diff(group, append=b - a)
-            share = np.exp(x - np.repeat(most, times))
-            part = np.add.reduceat(share, group)
-            total[t[group]] = most + np.log(part)
-            value[a:b] = share / np.repeat(part, times)
-        order = np.argsort(target, kind="stable")
-        self.source, self.piece, target, value = source[order], piece[order].astype(np.int32), target[order], value[order]
         group = np.flatnonzero(np.r_[True, target[1:] != target[:-1]]) if len(target) else np.zeros(0, np.int64)
-        self.first = np.zeros(len(total), np.int64)
-        self.first[target[group]] = group
-        run = np.cumsum(value)
         times = np.diff(group, append=len(target))
-        self.share = run - np.repeat(run[group] - value[group], times)
+        self.first[target[group]] = group
+        deep = depth[group]
+        cut = np.searchsorted(deep, np.arange(deep[-1] + 2)) if len(deep) else []
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            if i == j:
+                continue
+            a, b, own = group[i], group[j - 1] + times[j - 1], group[i:j] - group[i]
+            x = total[self.source[a:b]] + v.weight[self.piece[a:b]]
+            most = np.maximum.reduceat(x, own)
+            share = np.exp(x - np.repeat(most, times[i:j]))
+            part = np.add.reduceat(share, own)
+            total[target[group[i:j]]] = most + np.log(part)
+            self.share[a:b] = share / np.repeat(part, times[i:j])
+        run = np.cumsum(self.share)
+        self.share = run - np.repeat(run[group] - self.share[group], times)
         self.share[group + times - 1] = 2  # the last edge of a node takes what rounding leaves
 
 
@@ -248,7 +260,7 @@ def encode_documents(documents: DataFrame, model: str = MODEL, theta: float = 1.
         for batch in batches:
             texts = [x or b"" for x in batch["text"].to_pylist()]
             keys = batch["doc_id"].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for part in slices(texts):
+            for part in slices(texts, 3 << 19):
                 ids, count = encode(v, texts[part], keys[part], seed)
                 cut = np.concatenate([[0], np.cumsum(count)])
                 back = decode(v, ids)
