@@ -1,7 +1,10 @@
-"""The catalogue: a Spark query and its SQL for each operator."""
+"""The catalogue: a Spark query for each operator, and SQL that says the same."""
 
 from __future__ import annotations
 
+from . import decisions, evaluation, events, texts  # noqa: F401
+from .registry import ORACLES, QUERIES
+
 ENTRY = "classification_summary"
-QUERIES: dict = {}
-ORACLES: dict = {}
+
+__all__ = ["ENTRY", "ORACLES", "QUERIES"]
