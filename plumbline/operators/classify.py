@@ -22,7 +22,7 @@ FAILED = "__failed__"
 def confusion(predictions: DataFrame, labels: DataFrame) -> DataFrame:
     """gold, predicted, n for all pairs of a label and a label or the failed column; labels: ord, id."""
     counts = predictions.groupBy("gold", F.coalesce("choice", F.lit(FAILED)).alias("predicted")).agg(F.count("*").alias("n"))
-    right = labels.select(F.col("id").alias("predicted")).unionByName(labels.sparkSession.createDataFrame([(FAILED,)], "predicted string"))
+    right = labels.select(F.col("id").alias("predicted")).unionByName(labels.sparkSession.range(1).select(F.lit(FAILED).alias("predicted")))
     grid = labels.select(F.col("id").alias("gold")).crossJoin(right)
     return grid.join(counts, ["gold", "predicted"], "left").select("gold", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
 

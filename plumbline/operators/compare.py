@@ -23,7 +23,7 @@ def paired(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
 
 def outcome_counts(pairs: DataFrame) -> DataFrame:
     """outcome, n; outcomes that don't occur have 0."""
-    every = pairs.sparkSession.createDataFrame([(o,) for o in OUTCOMES], "outcome string")
+    every = pairs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, OUTCOMES))).alias("outcome"))
     return every.join(pairs.groupBy("outcome").agg(F.count("*").alias("n")), "outcome", "left").select("outcome", F.coalesce("n", F.lit(0)).alias("n"))
 
 

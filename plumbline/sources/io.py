@@ -84,8 +84,8 @@ def history(spark: SparkSession, root: str, schema: StructType | str) -> DataFra
 def attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """A one-to-one left join: a repeated key on the right fails the query."""
     one = right.groupBy(*keys).agg(F.count("*").alias("n_"), *[F.first(c).alias(c) for c in right.columns if c not in keys])
-    guard = F.when(F.col("n_") > 1, F.raise_error(F.lit(f"repeated {keys}"))).otherwise(F.lit(0))
-    return left.join(one.withColumn("n_", guard), keys, "left").drop("n_")
+    single = F.when(F.col("n_") == 1, F.lit(True)).otherwise(F.raise_error(F.lit(f"repeated {keys}")).cast("boolean"))
+    return left.join(one.where(single).drop("n_"), keys, "left")
 
 
 def schema_json(df: DataFrame) -> str:
