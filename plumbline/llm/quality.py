@@ -81,7 +81,7 @@ def features(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.
     return at[order], feature[order], value[order].astype(np.float32)
 
 
-def slices(texts: list[bytes], most: int = 4 << 20) -> Iterator[slice]:
+def slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[slice]:
     """Neighbouring texts of together about `most` bytes."""
     begin = size = 0
     for i, x in enumerate(texts):
