@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import math
+import re
 import tempfile
 import time
 import uuid
@@ -28,23 +29,52 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table hasn't."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
+def bounded(df: DataFrame, batch: str = "8m") -> DataFrame:
+    """The same rows, sent to Python in batches of bounded bytes, however long their texts are.
+
+    The session's own limit stays if it is smaller.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    number = re.fullmatch(r"(\d+)([bkm]?)b?", conf.get(name, "64m").lower())
+    size = int(number[1]) * {"k": 1 << 10, "m": 1 << 20}.get(number[2], 1) if number else math.inf
+    if size > 8 << 20:
+        conf.set(name, batch)
+    return df
+
+
 class Written:
-    """A DataFrame written as Parquet in the shared folder: later reads survive lost executors."""
+    """A DataFrame written as Parquet in the shared folder: later reads survive lost executors.
+
+    The files go when the application ends, or before that with drop().
+    """
 
     def __init__(self, df: DataFrame, name: str, **options: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/plumbline/{name}-{uuid.uuid4().hex}"
         self.schema = df.schema
         df.write.options(compression="zstd", **options).parquet(self.path)
+        files, path = self._files()
+        files.deleteOnExit(path)
+
+    def _files(self):
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
         """Delete the files; only when nothing that is still to run reads them."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = self._files()
+        files.delete(path, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:

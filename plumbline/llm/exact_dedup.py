@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, free_shuffles
+from .common import Written, bounded, free_shuffles, fresh
 
 _RUN = re.compile(rb"[\x20\x09-\x0D]+")
 _DIGESTS = "doc_id long, digest binary"
@@ -124,7 +124,7 @@ def exact_dedup(documents: DataFrame, history_share: float = 0.5) -> DataFrame:
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    digests = Written(docs.mapInArrow(_digest, _DIGESTS), "digests")
+    digests = Written(bounded(docs).mapInArrow(_digest, _DIGESTS), "digests")
     split = digests.read().agg(F.percentile_approx("doc_id", history_share, 1000)).first()[0]
     past = F.coalesce(F.col("doc_id") <= F.lit(split).cast("long"), F.lit(False))
     found = hold_against_history(digests.read().where(past), digests.read().where(~past))
@@ -137,5 +137,6 @@ def exact_dedup(documents: DataFrame, history_share: float = 0.5) -> DataFrame:
 
 def keep_first(documents: DataFrame, history_share: float = 0.5) -> DataFrame:
     """The documents' rows without repeats: one row of each group of equal texts. Rows with a null doc_id stay, as a decision can't name them."""
-    gone = exact_dedup(documents, history_share).where("not kept").select(F.col("doc_id").alias("gone_")).distinct()
-    return documents.join(gone, F.col("doc_id").cast("long") == F.col("gone_"), "left_anti")
+    name = fresh(documents, "gone_")
+    gone = exact_dedup(documents, history_share).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

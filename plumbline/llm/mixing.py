@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Written, free_shuffles
+from .common import Written, free_shuffles, fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -131,8 +131,8 @@ def _name(source: str | None) -> str:
 
 def mix_documents(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of documents, each as often as it is visited; those never visited go."""
-    visits = mix_sources(documents, settings).groupBy("doc_id").agg(F.count("*").cast("int").alias("visits_"))
-    visits = visits.withColumnRenamed("doc_id", "visited_")
-    both = documents.join(visits, F.col("doc_id").cast("long").eqNullSafe(F.col("visited_")))
-    copies = both.withColumn("visits_", F.explode(F.sequence(F.lit(1), F.col("visits_"))))
+    times, key = fresh(documents, "times_"), fresh(documents, "key_")
+    visits = mix_sources(documents, settings).groupBy(F.col("doc_id").alias(key)).agg(F.count("*").cast("int").alias(times))
+    both = documents.join(visits, F.col("doc_id").cast("long").eqNullSafe(F.col(key)))
+    copies = both.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
     return copies.select(*[F.col(f"`{c}`") for c in documents.columns])

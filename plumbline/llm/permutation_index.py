@@ -116,15 +116,15 @@ def nearest(
 
     Nearness: Euclidean distance in double precision, ties to the smaller vec_id; a row isn't its own
     neighbour. Rows that valid_vectors leaves out take no part. At most k rows a query, all there are if
-    fewer; an empty table gives none. share and least: how many of a block's vectors are reranked at a time. Other
-    columns are ignored.
+    fewer; an empty table gives none. share and least: how many of a block's vectors are reranked at a
+    time. Other columns are ignored.
     """
     spark = embeddings.sparkSession
     rows = Written(valid_vectors(embeddings), "vectors")
     free_shuffles(spark)
     v = rows.read()
     sample = v.orderBy(F.xxhash64(F.lit(7), "vec_id"), "vec_id").select("embedding").limit(pivots).collect()
-    chosen = np.unique(np.array([r[0] for r in sample], np.float64).reshape(len(sample), -1), axis=0)
+    chosen = np.unique(np.array([r[0] for r in sample], np.float64).reshape(len(sample), len(sample[0][0]) if sample else 0), axis=0)
     length = max(1, min(length, (len(chosen) + 1) // 2))
     total = v.count()
     asked = v.where(F.pmod("vec_id", F.lit(every)) == 0)

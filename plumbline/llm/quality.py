@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import bounded, fresh
 from .hashing import Rolling, join_bytes, mix, word_spans
 
 _WORDS, _SHAPES = Rolling(21), Rolling(22)
@@ -131,16 +132,13 @@ def _features(bits: int):
 
 
 def _train(s: Settings):
+    """One pass over rows that hold every epoch in turn; nothing but the table of weights is kept."""
+
     def run(batches):
-        leader, rows = FollowTheLeader(s), []
+        leader = FollowTheLeader(s)
         for batch in batches:
             for x in batch.to_pylist():
-                row = np.frombuffer(x["feature"], np.int32), np.frombuffer(x["value"], np.float32).astype(np.float64), x["label"]
-                leader.learn(*row)
-                rows.append(row)
-        for _ in range(s.epochs - 1):
-            for row in rows:
-                leader.learn(*row)
+                leader.learn(np.frombuffer(x["feature"], np.int32), np.frombuffer(x["value"], np.float32).astype(np.float64), x["label"])
         yield pa.record_batch([pa.array([leader.weights(slice(None)).astype(np.float32).tobytes()], pa.binary())], names=["weights"])
 
     return run
@@ -157,8 +155,9 @@ def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
     known = known.where("doc_id is not null and label = most").select("doc_id", "label", place.alias("place"))
     sample = known.orderBy("place", "doc_id").limit(settings.max_train)  # bounded, so it may be broadcast
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = docs.join(F.broadcast(sample), "doc_id").select("place", "label", "text").mapInArrow(_features(settings.bits), "place long, label int, feature binary, value binary")
-    row = rows.repartition(1).sortWithinPartitions("place", "feature").mapInArrow(_train(settings), "weights binary").collect()
+    rows = bounded(docs.join(F.broadcast(sample), "doc_id").select("place", "label", "text")).mapInArrow(_features(settings.bits), "place long, label int, feature binary, value binary")
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(settings.epochs))))
+    row = bounded(rows.repartition(1).sortWithinPartitions("epoch", "place", "feature")).mapInArrow(_train(settings), "weights binary").collect()
     return np.frombuffer(row[0]["weights"], np.float32) if row else np.zeros(1 << settings.bits, np.float32)
 
 
@@ -176,7 +175,7 @@ def score(documents: DataFrame, weights: np.ndarray, settings: Settings = Settin
                 out.append(1 / (1 + np.exp(-np.clip(dot, -35, 35))))
             yield pa.record_batch([*batch.columns, pa.array(np.concatenate(out))], names=[*batch.schema.names, name])
 
-    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField(name, DoubleType())]))
+    return bounded(documents).mapInArrow(run, StructType([*documents.schema.fields, StructField(name, DoubleType())]))
 
 
 def classify_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, settings: Settings = Settings()) -> DataFrame:
@@ -192,8 +191,8 @@ def classify_quality(documents: DataFrame, labels: DataFrame, threshold: float =
 
 def keep_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, settings: Settings = Settings()) -> DataFrame:
     """The rows of documents that the classifier accepts."""
-    scored = score(documents, train(documents, labels, settings), settings, "score_")
-    return scored.where(F.col("score_") >= threshold).drop("score_")
+    name = fresh(documents, "score_")
+    return score(documents, train(documents, labels, settings), settings, name).where(F.col(name) >= threshold).drop(name)
 
 
 def crc_held_out(doc_id: int) -> bool:

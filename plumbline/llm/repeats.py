@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, chunk_of, free_shuffles, text_bytes
+from .common import Written, bounded, chunk_of, free_shuffles, text_bytes
 from .hashing import Rolling, join_bytes, word_spans
 
 NO_ID = np.iinfo(np.int64).max
@@ -142,6 +142,8 @@ def _samples(u: Units, plan: Plan, buckets: int):
 
 def _by_bucket(bucket: np.ndarray) -> list[tuple[int, slice]]:
     begin = _groups(bucket)
+    if not len(begin):
+        return []
     return [(int(bucket[a]), slice(int(a), int(b))) for a, b in zip(begin, [*begin[1:], len(bucket)], strict=True)]
 
 
@@ -360,7 +362,7 @@ def remove_repeats(documents: DataFrame, plan: Plan, finish: Callable, schema: p
     """
     spark = documents.sparkSession
     total = text_bytes(documents)
-    docs = documents.select(
+    docs = bounded(documents).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("binary").alias("text"),
         chunk_of(F.col("doc_id").cast("long"), total, plan.chunk_bytes).alias("chunk"),

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
 from .hashing import Rolling, join_bytes, mix
 from .quality import slices
 
@@ -173,7 +174,8 @@ class Lattice:
         self.end = base + size
         self.base = base
         # forward filtering, one distance from the units' beginnings at a time
-        order = np.argsort(depth * (int(self.end[-1]) + 1) + target)
+        # in one order whatever else is in the slice: a node's edges by their length
+        order = np.argsort((depth * (int(self.end[-1]) + 1) + target) * 256 + after)
         self.source, target, self.piece, depth = source[order], target[order], piece[order].astype(np.int32), depth[order]
         self.share = np.empty(len(target))
         self.first = np.zeros(int(self.end[-1]) + 1, np.int64)
@@ -269,7 +271,7 @@ def encode_documents(documents: DataFrame, model: str = MODEL, theta: float = 1.
                 pieces = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids))
                 yield pa.record_batch([batch["doc_id"][part.start : part.stop], pa.array(count), pieces, pa.array(same)], names=["doc_id", "n_pieces", "pieces", "lossless"])
 
-    return docs.mapInArrow(run, _OUT)
+    return bounded(docs).mapInArrow(run, _OUT)
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, free_shuffles
+from .common import Written, bounded, free_shuffles, fresh
 from .components import connected_components
 
 #: Length, generator polynomial and radius of the perfect cyclic codes.
@@ -62,7 +62,7 @@ def _fingerprints(shingle: int):
 def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and fp, the fingerprint's bits as a long."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return docs.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    return bounded(docs).mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
 @dataclass(frozen=True)
@@ -179,5 +179,6 @@ def simhash_dedup(documents: DataFrame, shingle: int = 3, threshold: int = 2) ->
 
 def keep_representatives(documents: DataFrame, shingle: int = 3, threshold: int = 2) -> DataFrame:
     """The documents' rows without repeats: one document of each component. Rows with a null doc_id stay, as a decision can't name them."""
-    gone = simhash_dedup(documents, shingle, threshold).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct()
-    return documents.join(gone, F.col("doc_id").cast("long") == F.col("gone_"), "left_anti")
+    name = fresh(documents, "gone_")
+    gone = simhash_dedup(documents, shingle, threshold).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, free_shuffles
+from .common import Written, bounded, free_shuffles
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -177,7 +177,7 @@ def _read(batches):
 
 def write_archives(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = 4 << 20) -> Written:
     """Archives of about archive_bytes each, with all pages: a table of one column, archive (binary)."""
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html"))
+    pages = bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html"))
     digests = Written(pages.select("page_id", "html").mapInArrow(_digests, "page_id long, digest binary, length long"), "payloads").read()
     first = digests.where(F.col("length") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
     revisits = digests.where(F.col("length") >= min_bytes).join(first.drop("n"), "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
