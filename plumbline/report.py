@@ -46,4 +46,4 @@ def write_bundle(folder: str, tables: dict[str, DataFrame]) -> None:
     (top / "report.md").write_text("\n".join(markdown(name, rows) for name, rows in data.items()))
     for name, df in tables.items():
         flat = [c for c, t in df.dtypes if not t.startswith(("array", "map", "struct"))]
-        new_csv(df.select(*flat), f"file://{top.resolve()}/{name}")
+        new_csv(df.select(*flat).coalesce(1), f"file://{top.resolve()}/{name}")  # at most MAX_ROWS rows
