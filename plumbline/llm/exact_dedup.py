@@ -138,5 +138,5 @@ def exact_dedup(documents: DataFrame, history_share: float = 0.5) -> DataFrame:
 def keep_first(documents: DataFrame, history_share: float = 0.5) -> DataFrame:
     """The documents' rows without repeats: one row of each group of equal texts. Rows with a null doc_id stay, as a decision can't name them."""
     name = fresh(documents, "gone_")
-    gone = exact_dedup(documents, history_share).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    gone = exact_dedup(documents, history_share).where("not kept").select(F.col("doc_id").alias(name)).distinct().hint("shuffle_hash")  # texts stream by, unsorted
     return documents.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -133,6 +133,6 @@ def mix_documents(documents: DataFrame, settings: Settings = Settings()) -> Data
     """The rows of documents, each as often as it is visited; those never visited go."""
     times, key = fresh(documents, "times_"), fresh(documents, "key_")
     visits = mix_sources(documents, settings).groupBy(F.col("doc_id").alias(key)).agg(F.count("*").cast("int").alias(times))
-    both = documents.join(visits, F.col("doc_id").cast("long").eqNullSafe(F.col(key)))
+    both = documents.join(visits.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(key)))
     copies = both.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
     return copies.select(*[F.col(f"`{c}`") for c in documents.columns])

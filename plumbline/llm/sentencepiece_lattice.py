@@ -262,7 +262,7 @@ def encode_documents(documents: DataFrame, model: str = MODEL, theta: float = 1.
         for batch in batches:
             texts = [x or b"" for x in batch["text"].to_pylist()]
             keys = batch["doc_id"].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for part in slices(texts):
+            for part in slices(texts, 1 << 19):
                 ids, count = encode(v, texts[part], keys[part], seed)
                 cut = np.concatenate([[0], np.cumsum(count)])
                 back = decode(v, ids)

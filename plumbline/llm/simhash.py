@@ -180,5 +180,5 @@ def simhash_dedup(documents: DataFrame, shingle: int = 3, threshold: int = 2) ->
 def keep_representatives(documents: DataFrame, shingle: int = 3, threshold: int = 2) -> DataFrame:
     """The documents' rows without repeats: one document of each component. Rows with a null doc_id stay, as a decision can't name them."""
     name = fresh(documents, "gone_")
-    gone = simhash_dedup(documents, shingle, threshold).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    gone = simhash_dedup(documents, shingle, threshold).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct().hint("shuffle_hash")  # texts stream by, unsorted
     return documents.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
