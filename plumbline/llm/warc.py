@@ -183,7 +183,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = 4
     revisits = digests.where(F.col("length") >= min_bytes).join(first.drop("n"), "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
     # the html is dealt out by page; its digest tells apart rows that share a page_id
     both = pages.withColumn("digest", F.unhex(F.sha1("html"))).withColumn("digest", F.coalesce("digest", F.unhex(F.sha1(F.lit(b"")))))
-    return Written(both.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to").mapInArrow(_write(archive_bytes), "archive binary"), "warc")
+    return Written(both.join(revisits.hint("shuffle_hash"), ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to").mapInArrow(_write(archive_bytes), "archive binary"), "warc")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
