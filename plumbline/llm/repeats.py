@@ -52,7 +52,7 @@ class Plan:
     every: bool = False  # all copies go, the first too
     chunk_bytes: int = 1 << 20
     bucket_keys: int = 1 << 20
-    blocks: int = 6
+    blocks: int = 4
 
     @property
     def density(self) -> float:
@@ -252,15 +252,24 @@ def _keep_live(plan: Plan, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Ta
     return keep
 
 
-def _live_windows(plan: Plan, row: dict, buckets: int):
-    """Distinct (key, check) of a chunk's live windows in order: those, smallest id, bucket; each window's start, whether the chunk itself flags it, number."""
+def _bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of the key, and blocks ranges of buckets."""
+    return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _live_windows(plan: Plan, row: dict, buckets: int, block: int | None = None):
+    """Distinct (key, check) of a chunk's live windows (of one block, or all) in order: those, smallest id, bucket; each window's start, whether the chunk itself flags it, number."""
     ids, starts, lengths = (np.frombuffer(row[k], np.int64) for k in ("ids", "starts", "lengths"))
     ends = np.cumsum(lengths)
     texts = [row["data"][e - n : e] for e, n in zip(ends, lengths, strict=True)]
     u = _units(plan.unit, ids, texts)
     at = np.flatnonzero(u.whole(plan.window))
     key = _hash(12).windows(u.codes(_hash(12)), plan.window)[at]
-    check = (_hash(13).windows(u.codes(_hash(13)), plan.window)[at] >> np.uint64(32)).astype(np.uint32)
+    if block is not None:
+        mine = _bucket_of(key, buckets) * plan.blocks // buckets == block
+        at, key = at[mine], key[mine]
+    check = _hash(13).spans(_hash(13).prefix(u.codes(_hash(13))), at, at + plan.window)
+    check = (check >> np.uint64(32)).astype(np.uint32)
     order = np.argsort(key)
     k, c = key[order], check[order]
     if ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any():
@@ -272,7 +281,7 @@ def _live_windows(plan: Plan, row: dict, buckets: int):
     least, most = (f.reduceat(wid[order], begin) if len(begin) else wid for f in (np.minimum, np.maximum))
     number = np.empty(len(at), np.int64)
     number[order] = np.cumsum(new) - 1
-    bucket = ((k[begin] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    bucket = _bucket_of(k[begin], buckets)
     start = starts[u.doc[at]] + u.place()[at]
     own = (most > least)[number] if plan.every else wid > least[number]
     return k[begin], c[begin], least, bucket, start, own, number
@@ -280,7 +289,7 @@ def _live_windows(plan: Plan, row: dict, buckets: int):
 
 def _planes(x: np.ndarray) -> bytes:
     """Bytes of the same rank together, so that the high ones compress away."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
 
 
 def _unplanes(x: bytes, kind) -> np.ndarray:
@@ -292,15 +301,9 @@ def _ask_windows(plan: Plan, buckets: int, block: int):
     def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                key, check, least, bucket, _, _, _ = _live_windows(plan, row, buckets)
-                here = np.flatnonzero(bucket * plan.blocks // buckets == block)
-                if len(here):
-                    lo, hi = here[0], here[-1] + 1
-                    out = [
-                        (b, row["chunk"], key[lo:hi][s].tobytes(), check[lo:hi][s].tobytes(), _planes(np.ascontiguousarray(least[lo:hi][s])))
-                        for b, s in _by_bucket(bucket[lo:hi])
-                    ]
-                    yield from _rows(_SEND, out).to_batches()
+                key, check, least, bucket, _, _, _ = _live_windows(plan, row, buckets, block)
+                out = [(b, row["chunk"], key[s].tobytes(), check[s].tobytes(), _planes(least[s])) for b, s in _by_bucket(bucket)]
+                yield from _rows(_SEND, out).to_batches()
 
     return ask
 
