@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ def doubles(v: Column | str) -> Column:
     return F.col(v).cast("array<double>") if isinstance(v, str) else v.cast("array<double>")
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x) with x computed once: what a lambda uses of an outer expression is else computed for each element."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
 
@@ -26,8 +32,7 @@ def norm(v: Column) -> Column:
 
 def l2_normalise(v: Column, epsilon: float = 1e-12) -> Column:
     """x / (|x| + epsilon)."""
-    n = norm(v) + F.lit(epsilon)
-    return F.transform(v, lambda x: x / n)
+    return let(v, lambda w: let(norm(w) + F.lit(epsilon), lambda n: F.transform(w, lambda x: x / n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -58,9 +63,11 @@ def finite(x: Column) -> Column:
 def softmax(scores: Column) -> Column:
     """Stable shares of an array of scores; fails on an empty array or a score that isn't finite."""
     ok = (F.size(scores) > 0) & F.forall(scores, lambda s: s.isNotNull() & finite(s))
-    top = F.array_max(scores)
-    raised = F.transform(scores, lambda s: F.exp(s - top))
-    return F.when(ok, F.transform(raised, lambda x: x / total(raised))).otherwise(F.raise_error(F.lit("scores must be finite and not empty")).cast("array<double>"))
+    shares = let(
+        scores,
+        lambda s: let(F.array_max(s), lambda top: let(F.transform(s, lambda x: F.exp(x - top)), lambda raised: let(total(raised), lambda z: F.transform(raised, lambda x: x / z)))),
+    )
+    return F.when(ok, shares).otherwise(F.raise_error(F.lit("scores must be finite and not empty")).cast("array<double>"))
 
 
 def max_abs_difference(a: Column, b: Column) -> Column:
@@ -69,6 +76,7 @@ def max_abs_difference(a: Column, b: Column) -> Column:
 
 def scaled_rms_difference(a: Column, b: Column) -> Column:
     """Root mean square of a - b, scaled by the largest difference so that squares can't overflow."""
-    top = max_abs_difference(a, b)
-    part = total(F.transform(F.zip_with(a, b, lambda x, y: x - y), lambda d: (d / top) * (d / top)))
-    return F.when(top == 0, F.lit(0.0)).otherwise(top * F.sqrt(part / F.size(a)))
+    def scaled(d: Column, top: Column) -> Column:
+        return F.when(top == 0, F.lit(0.0)).otherwise(top * F.sqrt(total(F.transform(d, lambda x: (x / top) * (x / top))) / F.size(d)))
+
+    return let(F.zip_with(a, b, lambda x, y: x - y), lambda d: let(F.array_max(F.transform(d, lambda x: F.abs(x))), lambda top: scaled(d, top)))

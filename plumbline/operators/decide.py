@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..functions.vectors import dot, softmax, total
+from ..functions.vectors import dot, let, softmax, total
 
 MAX_CANDIDATES, MAX_QUESTIONS, MAX_TEXT, MAX_REQUEST, MAX_ID = 256, 32, 65_536, 262_144, 128
 
@@ -29,13 +29,17 @@ def candidate_array(candidates: DataFrame, *columns: str) -> DataFrame:
 def score(states: DataFrame, candidates: DataFrame, scorer: Callable[[Column], Column], *columns: str) -> DataFrame:
     """Adds `shares`: ord, id, score and prob of each candidate. scorer(candidate) gives a score's column."""
     both = states.crossJoin(F.broadcast(candidate_array(candidates, *columns)))
-    both = both.withColumn("scores_", F.transform("candidates", lambda c: scorer(c).cast("double")))
-    both = both.withColumn("probs_", softmax(F.col("scores_")))
-    shares = F.transform(
-        "candidates",
-        lambda c, i: F.struct(c["ord"].alias("ord"), c["id"].alias("id"), F.get("scores_", i).alias("score"), F.get("probs_", i).alias("prob")),
+    shares = let(
+        F.transform("candidates", lambda c: scorer(c).cast("double")),
+        lambda scores: let(
+            softmax(scores),
+            lambda probs: F.transform(
+                "candidates",
+                lambda c, i: F.struct(c["ord"].alias("ord"), c["id"].alias("id"), F.get(scores, i).alias("score"), F.get(probs, i).alias("prob")),
+            ),
+        ),
     )
-    return both.withColumn("shares", shares).drop("candidates", "scores_", "probs_")
+    return both.withColumn("shares", shares).drop("candidates")
 
 
 def score_vectors(states: DataFrame, candidates: DataFrame, vector: str, factor: float) -> DataFrame:
@@ -60,7 +64,7 @@ def ranked_ids(shares: Column) -> Column:
 
 def prob_of(shares: Column, id_: Column | str) -> Column:
     id_ = F.lit(id_) if isinstance(id_, str) else id_
-    return F.get(F.filter(shares, lambda s: s["id"] == id_), F.lit(0))["prob"]
+    return let(id_, lambda wanted: F.get(F.filter(shares, lambda s: s["id"] == wanted), F.lit(0))["prob"])
 
 
 def expected_level(shares: Column) -> Column:

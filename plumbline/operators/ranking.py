@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.vectors import total
+from ..functions.vectors import let, total
 
 
 def _discounted(grades: Column, top: Column) -> Column:
-    return total(F.transform(grades, lambda g, i: (g / top) / F.log2(i.cast("double") + 2)))
+    return let(top, lambda t: total(F.transform(grades, lambda g, i: (g / t) / F.log2(i.cast("double") + 2))))
 
 
 def assess(ranked: Column, judgments: Column, k: int, complete: Column | bool = True) -> dict[str, Column]:

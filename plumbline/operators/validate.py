@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
-from ..functions.vectors import finite, total
+from ..functions.vectors import finite, let, total
 from .decide import MAX_CANDIDATES, MAX_ID, MAX_QUESTIONS, MAX_REQUEST, MAX_TEXT, choice
 
 
@@ -45,12 +45,12 @@ def share_violations(shares: Column, chosen: Column, tolerance: float = 1e-6) ->
     """What is wrong with recorded shares: numbers, sum, softmax of the scores, first maximum."""
     probs, scores = F.transform(shares, lambda s: s["prob"]), F.transform(shares, lambda s: s["score"])
     top = F.array_max(scores)
-    raised = total(F.transform(scores, lambda s: F.exp(s - top)))
+    raised = let(top, lambda t: total(F.transform(scores, lambda s: F.exp(s - t))))
     return violations(
         not_finite=~F.forall(F.concat(probs, scores), lambda x: x.isNotNull() & finite(x)),
         out_of_range=~F.forall(probs, lambda p: (p >= 0) & (p <= 1)),
         sum=F.abs(total(probs) - 1) > tolerance,
-        softmax=F.exists(shares, lambda s: F.abs(s["prob"] - F.exp(s["score"] - top) / raised) > tolerance),
+        softmax=let(top, lambda t: let(raised, lambda z: F.exists(shares, lambda s: F.abs(s["prob"] - F.exp(s["score"] - t) / z) > tolerance))),
         choice=~chosen.eqNullSafe(choice(shares)),
     )
 
