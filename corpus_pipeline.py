@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm.common import Written, free_shuffles, table
 from plumbline.llm.exact_dedup import keep_first
 from plumbline.llm.mixing import mix_documents
+from plumbline.llm.near_copies import keep_dissimilar
 from plumbline.llm.quality import keep_quality
 from plumbline.llm.sentencepiece_lattice import encode_documents
-from plumbline.llm.simhash import keep_representatives
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by SimHash that with the smallest doc_id stays."""
-    return keep_representatives(docs)
+    """Of documents linked by five-word shingles, similarity 0.8 or more, that with the smallest doc_id stays."""
+    return keep_dissimilar(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
