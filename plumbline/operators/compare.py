@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import geometric_mean, mcnemar, ratio, wilson
 from ..functions.vectors import cosine, max_abs_difference, norm, scaled_rms_difference
 
+MAX_PROCESSES = 10_000
 OUTCOMES = ["both_correct", "fixed", "regressed", "both_wrong"]
 
 
@@ -127,14 +128,16 @@ def resample_table(spark, runs: list[str], resamples: int, seed: int) -> DataFra
 def bootstrap_speedup(trials: DataFrame, resamples: int = 2000, seed: int = 20260924) -> DataFrame:
     """low, high: the 2.5th and 97.5th percentile of the geometric mean speed-up over resampled processes.
 
-    The processes of each system (a bounded list) come to the driver; the timings don't.
+    The processes of each system come to the driver, at most MAX_PROCESSES of them (more are an error); the timings don't.
     """
     spark = trials.sparkSession
     per_run = trials.groupBy("system", "case_id", "run_id").agg(F.percentile("seconds", F.lit(0.5)).alias("m"))
     parts = []
     for k, system in enumerate(("baseline", "candidate")):
         mine = per_run.where(F.col("system") == system)
-        runs = sorted(r[0] for r in mine.select("run_id").distinct().limit(10_000).collect())
+        runs = sorted(r[0] for r in mine.select("run_id").distinct().limit(MAX_PROCESSES + 1).collect())
+        if len(runs) > MAX_PROCESSES:
+            raise ValueError(f"{system} has more than {MAX_PROCESSES} processes")
         draws = resample_table(spark, runs, resamples, seed + k)
         parts.append(mine.join(F.broadcast(draws), "run_id").groupBy("resample", "case_id").agg(F.percentile("m", F.lit(0.5)).alias(system)))
     per = parts[0].join(parts[1], ["resample", "case_id"]).groupBy("resample").agg(geometric_mean(F.col("baseline") / F.col("candidate")).alias("g"))

@@ -85,7 +85,7 @@ def perf_compare_geomean(spark, d):
 @query()
 def bootstrap_speedup(spark, d):
     """Resamples come from a Mersenne twister, which SQL hasn't; tests hold it against plain Python."""
-    return compare.bootstrap_speedup(trials(spark, d), resamples=200)
+    return compare.bootstrap_speedup(trials(spark, d))
 
 
 @query(f"WITH {ATTEMPTS} SELECT example, repeat, coalesce(choice, 'review') AS queue, coalesce(choice = 'click', false) AS correct FROM attempts")
