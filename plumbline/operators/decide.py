@@ -42,6 +42,21 @@ def score(states: DataFrame, candidates: DataFrame, scorer: Callable[[Column], C
     return both.withColumn("shares", shares).drop("candidates")
 
 
+def best(states: DataFrame, candidates: DataFrame, scorer: Callable[[Column], Column], key: str, *columns: str) -> DataFrame:
+    """key, choice, score: each state's best candidate of any number of them; the first in order wins ties.
+
+    Candidates are cut into blocks of at most 256, and the best of the blocks' best stays.
+    """
+    from .running import running
+
+    dense = running(candidates.withColumn("one", F.lit(1)), "ord", {"one": "seq"})
+    block = F.floor((F.col("seq") - 1) / MAX_CANDIDATES)
+    blocks = dense.groupBy(block.alias("block")).agg(F.collect_list(F.struct("ord", "id", *columns)).alias("candidates"))
+    top = F.array_max(F.transform("candidates", lambda c: F.struct(scorer(c).cast("double").alias("score"), (-c["ord"]).alias("o"), c["id"].alias("id"))))
+    per = states.crossJoin(blocks).select(key, top.alias("top")).groupBy(key).agg(F.max("top").alias("top"))
+    return per.select(key, F.col("top.id").alias("choice"), F.col("top.score").alias("score"))
+
+
 def score_vectors(states: DataFrame, candidates: DataFrame, vector: str, factor: float) -> DataFrame:
     """Scores are factor times the dot product of a state's and a candidate's `vector`."""
     return score(states, candidates, lambda c: F.lit(factor) * dot(F.col(vector), c["vector"]), "vector")

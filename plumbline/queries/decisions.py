@@ -116,6 +116,18 @@ def lexical_overlap_classify(spark, d):
     return s.select("doc_id", decide.choice(F.col("shares")).alias("choice"), F.array_max(F.transform("shares", lambda x: x["score"])).alias("score"))
 
 
+@query(
+    r"""WITH c AS (SELECT item_id AS ord, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS t FROM benchmark),
+    s AS (SELECT doc_id, c.ord, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')), c.t)) AS n FROM documents, c)
+    SELECT doc_id, ord AS choice, n::DOUBLE AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, ord) = 1"""
+)
+def lexical_overlap_classify_all(spark, d):
+    """Every document against all benchmark items, however many."""
+    c = table(spark, d, "benchmark").select(F.col("item_id").alias("ord"), F.col("item_id").alias("id"), token_set(F.col("text")).alias("t"))
+    docs = table(spark, d, "documents").select("doc_id", token_set(F.col("text")).alias("t"))
+    return decide.best(docs, c, lambda x: F.size(F.array_intersect("t", x["t"])), "doc_id", "t")
+
+
 @query("SELECT 'en' AS choice, count(*) AS examples, round(avg((lang = 'en')::INT), 6) AS accuracy FROM documents")
 def constant_baseline(spark, d):
     docs = table(spark, d, "documents").select(F.col("lang").alias("gold"), F.lit("en").alias("choice"))

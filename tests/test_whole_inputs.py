@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
-from plumbline.operators import compare
+from plumbline.operators import compare, decide
 from plumbline.queries import QUERIES
 
 
@@ -19,3 +20,20 @@ def test_bootstrap_refuses_more_processes_than_it_takes(spark, monkeypatch):
     with pytest.raises(ValueError, match="more than 2 processes"):
         compare.bootstrap_speedup(t, resamples=5)
     assert compare.bootstrap_speedup(t.where("run_id < 'p2'"), resamples=5).first().resamples == 5
+
+
+def test_best_of_more_candidates_than_a_block(spark):
+    states = spark.createDataFrame([(i, float(x)) for i, x in enumerate((0, 255, 256, 511, 512, 599))], "id long, x double")
+    cands = spark.range(600).select(F.col("id").alias("ord"), F.concat(F.lit("c"), "id").alias("id"), F.col("id").cast("double").alias("v")).repartition(5)
+    got = decide.best(states.withColumnRenamed("id", "state"), cands, lambda c: -F.abs(F.col("x") - c["v"]), "state", "v")
+    assert {r.state: r.choice for r in got.collect()} == {0: "c0", 1: "c255", 2: "c256", 3: "c511", 4: "c512", 5: "c599"}
+    ties = decide.best(states.withColumnRenamed("id", "state"), cands, lambda c: F.lit(1.0), "state")
+    assert {r.choice for r in ties.collect()} == {"c0"}
+
+
+def test_documents_are_held_against_every_item(spark, data):
+    whole = {r.doc_id: r for r in QUERIES["lexical_overlap_classify_all"](spark, data).collect()}
+    some = {r.doc_id: r for r in QUERIES["lexical_overlap_classify"](spark, data).collect()}
+    assert whole.keys() == some.keys()
+    assert all(whole[i].score >= some[i].score for i in some)
+    assert any(r.choice >= 8 for r in whole.values())
