@@ -32,7 +32,8 @@ def integrity(attempts: DataFrame, examples: DataFrame, repeats: int) -> DataFra
     )
     unknown = a.join(examples.select("id"), "id", "left_anti").agg(F.count("*").alias("unknown_id"))
     again = a.groupBy("id", "repeat").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("repeated_attempt"))
-    missing = examples.select("id").join(a.groupBy("id").agg(F.count_distinct("repeat").alias("n")), "id", "left").agg(F.sum(F.greatest(F.lit(repeats) - F.coalesce("n", F.lit(0)), F.lit(0))).alias("missing_attempt"))
+    planned = a.where((F.col("repeat") >= 0) & (F.col("repeat") < repeats))
+    missing = examples.select("id").join(planned.groupBy("id").agg(F.count_distinct("repeat").alias("n")), "id", "left").agg(F.sum(F.greatest(F.lit(repeats) - F.coalesce("n", F.lit(0)), F.lit(0))).alias("missing_attempt"))
     one = rows.crossJoin(unknown).crossJoin(again).crossJoin(missing)
     names = ["unknown_id", "repeated_attempt", "missing_attempt", "repeat_out_of_range", "result_and_error", "neither", "bad_seconds", "changed_model"]
     return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("violation"), F.col(n).cast("long").alias("n")) for n in names])))

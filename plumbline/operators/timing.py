@@ -64,11 +64,18 @@ def drift_from_first(scores: DataFrame) -> DataFrame:
     return scores.withColumn("drift", F.abs(F.col("score") - first)).groupBy("example").agg(F.coalesce(F.max("drift"), F.lit(0.0)).alias("max_score_drift"))
 
 
-def fixed_denominator(calls: DataFrame, repeats: int) -> DataFrame:
-    """Quality against the planned number of calls, and throughput; calls: example, repeat, correct, tokens, seconds."""
-    some = calls.where(F.col("repeat") < repeats)
+def fixed_denominator(calls: DataFrame, repeats: int | None = None) -> DataFrame:
+    """Quality against the planned number of calls, and throughput; calls: example, repeat, correct, tokens, seconds.
+
+    Without a number, as many calls are planned as the example with the most has, and none is left out.
+    """
+    if repeats is None:
+        planned = calls.agg((F.max("repeat") + 1).alias("planned"))
+        some = calls.crossJoin(F.broadcast(planned))  # one row
+    else:
+        some = calls.where(F.col("repeat") < repeats).withColumn("planned", F.lit(repeats))
     return some.groupBy("example").agg(
-        (F.count_if("correct") / F.lit(float(repeats))).alias("quality"),
+        (F.count_if("correct") / F.first("planned").cast("double")).alias("quality"),
         ratio(F.sum("tokens"), F.sum("seconds")).alias("tokens_per_second"),
         ratio(F.count("*"), F.sum("seconds")).alias("requests_per_second"),
     )

@@ -61,6 +61,16 @@ def fixed_denominator_quality(spark, d):
     return timing.fixed_denominator(a, 20)
 
 
+@query(
+    f"""WITH {ATTEMPTS} SELECT example, round(count(*) FILTER (choice = 'click') / (SELECT max(repeat) + 1 FROM attempts), 6) AS quality, round(sum(tokens) / sum(seconds), 6) AS tokens_per_second,
+    round(count(*) / sum(seconds), 6) AS requests_per_second FROM attempts GROUP BY example"""
+)
+def fixed_denominator_quality_all(spark, d):
+    """All calls, against the greatest number of calls of any user."""
+    a = attempts(spark, d).withColumn("correct", F.coalesce(F.col("choice") == "click", F.lit(False)))
+    return timing.fixed_denominator(a)
+
+
 @query(f"WITH {ATTEMPTS} SELECT event_type, round(max(seconds), 6) AS high_water FROM attempts GROUP BY event_type")
 def memory_high_water(spark, d):
     return timing.high_water(attempts(spark, d), "event_type", "seconds")

@@ -50,7 +50,22 @@ def first_attempt_predictions(spark, d):
 )
 def run_integrity(spark, d):
     """A run with attempts left out, some twice, and two models."""
-    a = attempts(spark, d).withColumnRenamed("example", "id").where("repeat < 40 and event_id % 31 <> 0")
+    return _integrity(spark, d, attempts(spark, d).where("repeat < 40"))
+
+
+@query(
+    f"""WITH {ATTEMPTS}, k AS (SELECT * FROM attempts WHERE event_id % 31 <> 0),
+    per AS (SELECT u.user_id, count(DISTINCT repeat) FILTER (repeat < 40) AS n FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN k ON k.example = u.user_id GROUP BY u.user_id)
+    SELECT unnest(['unknown_id', 'repeated_attempt', 'missing_attempt', 'repeat_out_of_range', 'result_and_error', 'neither', 'bad_seconds', 'changed_model']) AS violation,
+        unnest([0, (SELECT count(*) FROM k WHERE event_id % 97 = 0), (SELECT sum(40 - n) FROM per), (SELECT count(*) + count(*) FILTER (event_id % 97 = 0) FROM k WHERE repeat >= 40), 0, 0, 0, 1])::BIGINT AS n"""
+)
+def run_integrity_all(spark, d):
+    """The same run with the attempts beyond its 40 planned repeats: these are reported."""
+    return _integrity(spark, d, attempts(spark, d))
+
+
+def _integrity(spark, d, some):
+    a = some.withColumnRenamed("example", "id").where("event_id % 31 <> 0")
     a = a.select("id", "repeat", "choice", F.when(F.col("choice").isNull(), "Timeout").alias("error_type"), F.when(F.col("id") % 2 == 0, "m1").otherwise("m2").alias("model"), "seconds", "event_id")
     every = a.unionByName(a.where("event_id % 97 = 0")).drop("event_id")
     return runs.integrity(every, table(spark, d, "events").select(F.col("user_id").alias("id")).distinct(), 40)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import compare, decide
+from plumbline.operators import compare, decide, runs, timing
 from plumbline.queries import QUERIES
 
 
@@ -37,3 +37,18 @@ def test_documents_are_held_against_every_item(spark, data):
     assert whole.keys() == some.keys()
     assert all(whole[i].score >= some[i].score for i in some)
     assert any(r.choice >= 8 for r in whole.values())
+
+
+def test_fixed_denominator_counts_all_calls(spark):
+    rows = [("a", i, i >= 20, 1, 1.0) for i in range(25)] + [("b", 0, True, 3, 1.0)]
+    calls = spark.createDataFrame(rows, "example string, repeat int, correct boolean, tokens int, seconds double")
+    got = {r.example: (r.quality, r.tokens_per_second) for r in timing.fixed_denominator(calls).collect()}
+    assert got == {"a": (5 / 25, 1.0), "b": (1 / 25, 3.0)}
+
+
+def test_integrity_sees_attempts_out_of_range(spark, data):
+    rows = [("a", i, "x", None, "m", 1.0) for i in (0, 2, 3)]  # of two planned: 1 is missing, 2 and 3 are too many
+    a = spark.createDataFrame(rows, "id string, repeat int, choice string, error_type string, model string, seconds double")
+    got = {r.violation: r.n for r in runs.integrity(a, a.select("id").distinct(), 2).collect()}
+    assert (got["missing_attempt"], got["repeat_out_of_range"]) == (1, 2)
+    assert {r.violation: r.n for r in QUERIES["run_integrity_all"](spark, data).collect()}["repeat_out_of_range"] > 0
