@@ -2,11 +2,11 @@
 
 The cover sample: positions whose place modulo 21 is in the perfect difference set {3, 6, 7, 12, 14}. For
 any two places some offset below 21 moves both into the cover, so two equal strings of 50 bytes share a
-30-byte cover sample at a common offset. Samples are ranked first, bucket by bucket: samples that no
-other document has get no rank. Only suffixes with a ranked sample can tie for 50 bytes, so only these
-are sorted, one block of the suffixes' range at a time, and ties are resolved by the 50-byte ranks of a
-bucket (see repeats.py; a rank is the place of a 96-bit fingerprint rather than of the bytes themselves,
-since equality and not order is asked for). Memory is bounded by a chunk, a bucket and a block.
+30-byte cover sample at a common offset. Bucket by bucket, each sample gets one bit: whether another
+document has it. Only windows around shared samples can be equal over 50 bytes, so only these are
+grouped, one block of the fingerprints' range at a time, by 96-bit fingerprints (see repeats.py). No suffix
+is sorted and no rank computed, since equality and not order is asked for: the cover is a filter.
+Memory is bounded by a chunk, a bucket and a block.
 """
 
 from __future__ import annotations
