@@ -1,105 +1,113 @@
 """Removal of long repeats between documents, for words (substring dedup) and bytes (suffix dedup).
 
 A unit (word or byte) goes if a window of `window` units that covers it also starts in a document with
-a smaller id. Windows of all documents are too many to shuffle, so the work is in steps, all in blocks:
-
-1. Samples. Each chunk of documents sends short sample hashes, once each and 4 bytes wide, to the
-   bucket of their hash range. A bucket sorts one block of samples and answers, a bit per sample,
-   which of them other chunks share. `plan` says which positions are samples: any two equal windows
-   share a sample at a common offset, so windows without a shared sample can't repeat.
-2. Live text. Chunks keep only the stretches around shared samples and write them to the shared folder.
-3. Blocks. The live windows' 96-bit hashes are sorted a block of the hash range at a time, each block
-   in buckets; a bucket answers which of a chunk's windows start in a smaller document elsewhere.
-   Shuffle files of a block are freed before the next.
+a smaller id. The texts are packed into chunks where they are scanned, written once, and then:
+
+1. Anchors (words only). Fixed blocks of each document are the index, all rolling windows of a block's
+   length probe it. A chunk sends its distinct probes' short keys to buckets of their range, which
+   answer two bits a key: whether several documents have it, and whether one of them has indexed it.
+2. Pieces. A window's route is the smallest hash among its anchors that hit (words), or among its grams
+   (bytes): equal windows have equal routes. Runs of windows of one route are a piece of text. Equal
+   pieces of a chunk are sent once, with their smallest document, to the bucket of their route.
+3. A bucket orders the windows of routes that several documents take, a bucket at a time, compares them
+   byte for byte, and answers which windows start in a smaller document than their piece's.
 4. Chunks mark the units that flagged windows cover.
 
-A frequent passage costs each chunk one entry, so no bucket, group or task grows with its copies, and
-no pair of documents is ever formed. Equality of windows is equality of two independent hashes of 64 and
-32 bits: for n live windows about n**2 / 2**97 wrong matches are expected (1e-11 for a billion).
+Hashes only say where a window goes and which can be left out because no other document has its
+anchors: whether windows are equal is decided by their bytes. Grams that very many documents hold come
+last in the choice of routes (`heavy`), so that a text beside a frequent passage doesn't go to the
+passage's bucket; what remains there are the passage's own windows, one entry a chunk. No pair of
+documents is ever formed. Chunks and buckets grow with the root of the total, so that a message
+from a chunk to a bucket stays worth its row.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, bounded, chunk_of, free_shuffles, text_bytes
-from .hashing import Rolling, join_bytes, word_spans
+from .common import Written, bounded, free_shuffles, text_bytes
+from .hashing import Rolling, join_bytes, mix, word_spans
+from .suffix_order import equal_windows, same_bytes
 
 NO_ID = np.iinfo(np.int64).max
 
 
 @dataclass(frozen=True)
 class Plan:
-    """unit: byte or word. window: units in a repeat. sample: units in a sample.
+    """unit: byte or word. window: units in a repeat. gram: units in a route's gram (words: in a block).
 
-    Sample positions are those whose place in the document, modulo `period`, is in `cover`. With
-    `anchored`, samples are fixed blocks (place 0 modulo the period) that are probed by all positions.
+    every: all copies go, the first too. chunk_bytes and bucket_bytes: None, by the size of the whole.
     """
 
     unit: str
     window: int
-    sample: int
-    period: int
-    cover: tuple[int, ...]
-    anchored: bool
-    every: bool = False  # all copies go, the first too
-    chunk_bytes: int = 1 << 20
-    bucket_keys: int = 1 << 20
-    blocks: int = 4
+    gram: int
+    every: bool = False
+    chunk_bytes: int | None = None
+    bucket_bytes: int | None = None
+    slice_units: int = 1 << 20
+    heavy: float = 1e-5  # share of all grams from which a gram is chosen last
 
-    @property
-    def density(self) -> float:
-        """About how many samples a byte of text has."""
-        return 1 / 5 if self.unit == "word" else len(self.cover) / self.period
+    def sized(self, total: int) -> Plan:
+        root = math.isqrt(max(0, total))
+        chunk = self.chunk_bytes or min(max(4 << 20, 8 * root), 64 << 20)
+        bucket = self.bucket_bytes or min(max(6 << 20, 8 * root), 64 << 20)
+        return Plan(self.unit, self.window, self.gram, self.every, chunk, bucket, self.slice_units, self.heavy)
 
 
 @dataclass
 class Units:
+    """A chunk's documents one after the other. start, end: of the words in buf; None for bytes."""
+
     ids: np.ndarray
     texts: list[bytes]
     buf: np.ndarray
-    doc: np.ndarray
     first: np.ndarray  # by document: its first unit
     count: np.ndarray
     start: np.ndarray | None = None
     end: np.ndarray | None = None
 
-    def place(self) -> np.ndarray:
-        return np.arange(len(self.doc)) - np.repeat(self.first, self.count)
+    def __len__(self) -> int:
+        return len(self.buf) if self.start is None else len(self.start)
 
-    def codes(self, h: Rolling) -> np.ndarray:
-        if self.start is None:
-            return h.codes[self.buf]
-        return h.spans(h.prefix(h.codes[self.buf]), self.start, self.end)
+    def doc(self, unit: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first + self.count, unit, side="right")
 
     def whole(self, k: int) -> np.ndarray:
-        """Starts of windows of k units that lie in one document."""
-        n = len(self.doc) - k + 1
-        return self.doc[:n] == self.doc[k - 1 :] if n > 0 else np.zeros(0, bool)
+        """By unit: whether k units from here lie in one document."""
+        out = np.ones(len(self), bool)
+        for first, n in zip(self.first.tolist(), self.count.tolist(), strict=True):
+            out[max(first, first + n - k + 1) : first + n] = False
+        return out
+
+    def by_document(self, marked: np.ndarray) -> np.ndarray:
+        run = np.concatenate([[0], np.cumsum(marked, dtype=np.int64)])
+        return run[self.first + self.count] - run[self.first]
+
+    def runs(self, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of maximal marked runs, none over a document's end."""
+        cut = np.zeros(len(marked) + 1, bool)
+        cut[self.first], cut[-1] = True, True
+        before = np.r_[False, marked[:-1]] & ~cut[:-1]
+        after = np.r_[marked[1:], False] & ~cut[1:]
+        return np.flatnonzero(marked & ~before), np.flatnonzero(marked & ~after) + 1
 
 
 def _units(unit: str, ids: np.ndarray, texts: list[bytes]) -> Units:
     buf, lengths = join_bytes(texts)
-    n = len(texts)
     if unit == "byte":
-        return Units(ids, texts, buf, np.repeat(np.arange(n), lengths), np.cumsum(lengths) - lengths, lengths)
+        return Units(ids, texts, buf, np.cumsum(lengths) - lengths, lengths)
     start, end, doc = word_spans(buf, lengths)
-    count = np.bincount(doc, minlength=n)
-    return Units(ids, texts, buf, doc, np.cumsum(count) - count, count, start, end)
-
-
-def _documents(t: pa.Table, unit: str) -> tuple[Units, list]:
-    """A chunk's documents in one fixed order, whatever order they came in."""
-    ids, texts = t["doc_id"].to_pylist(), t["text"].to_pylist()
-    rows = sorted((NO_ID if i is None else i, x or b"") for i, x in zip(ids, texts, strict=True))
-    return _units(unit, np.array([i for i, _ in rows], np.int64), [x for _, x in rows]), [None if i == NO_ID else i for i, _ in rows]
+    count = np.bincount(doc, minlength=len(texts))
+    return Units(ids, texts, buf, np.cumsum(count) - count, count, start, end)
 
 
 _HASHES: dict[int, Rolling] = {}
@@ -109,253 +117,490 @@ def _hash(seed: int) -> Rolling:
     return _HASHES.setdefault(seed, Rolling(seed))
 
 
-def _groups(sorted_keys: np.ndarray) -> np.ndarray:
-    """Where a new key starts."""
-    new = np.empty(len(sorted_keys), bool)
-    if len(new):
-        new[0] = True
-        np.not_equal(sorted_keys[1:], sorted_keys[:-1], out=new[1:])
-    return np.flatnonzero(new)
+_CODEC = "zstd"
 
 
-def _samples(u: Units, plan: Plan, buckets: int):
-    """Distinct sample keys in order, whether each is indexed, in several documents here; positions and their key's number."""
-    h = _hash(11).windows(u.codes(_hash(11)), plan.sample)
-    ok = u.whole(plan.sample)
-    indexed = np.isin(u.place()[: len(ok)] % plan.period, plan.cover)
-    at = np.flatnonzero(ok if plan.anchored else ok & indexed)
-    h = h[at]
-    key = (((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
-    order = np.argsort(key)
-    key = key[order]
-    begin = _groups(key)
-    if not len(begin):
-        none = np.zeros(0, bool)
-        return key, none, none, at, np.zeros(0, np.int64)
-    doc = u.doc[at[order]]
-    several = np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin)
-    index = np.logical_or.reduceat(indexed[at[order]], begin)
-    number = np.empty(len(at), np.int64)
-    number[order] = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(key)))
-    return key[begin], index, several, at, number
+def _packed(*arrays: np.ndarray) -> bytes:
+    head = np.array([len(arrays), *(a.nbytes for a in arrays)], np.int64).tobytes()
+    raw = b"".join([head, *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=_CODEC, asbytes=True)
 
 
-def _by_bucket(bucket: np.ndarray) -> list[tuple[int, slice]]:
-    begin = _groups(bucket)
-    if not len(begin):
-        return []
-    return [(int(bucket[a]), slice(int(a), int(b))) for a, b in zip(begin, [*begin[1:], len(bucket)], strict=True)]
+def _unpacked(body: bytes, *kinds) -> list[np.ndarray]:
+    raw = pa.decompress(body[8:], int.from_bytes(body[:8], "little"), codec=_CODEC, asbytes=True)
+    sizes = np.frombuffer(raw, np.int64, len(kinds) + 1)[1:]
+    out, at = [], 8 * (len(kinds) + 1)
+    for kind, n in zip(kinds, sizes.tolist(), strict=True):
+        out.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at))
+        at += n
+    return out
+
+
+def _begins(*keys: np.ndarray) -> np.ndarray:
+    """Where a new key starts, of keys in order."""
+    n = len(keys[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _grams(u: Units, plan: Plan) -> Iterator[tuple[int, int, np.ndarray]]:
+    """A slice's first unit, its units, and the hashes of all grams that its windows have (over document ends too)."""
+    h = _hash(11)
+    for a in range(0, len(u), plan.slice_units):
+        b = min(len(u), a + plan.slice_units + plan.window - 1)
+        if u.start is None:
+            codes = h.codes[u.buf[a:b]]
+        else:
+            low, high = int(u.start[a]), int(u.end[b - 1])
+            codes = h.spans(h.prefix(h.codes[u.buf[low:high]]), u.start[a:b] - low, u.end[a:b] - low)
+        yield a, min(plan.slice_units, len(u) - a), h.windows(codes, plan.gram)
 
 
-_SEND = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("ids", pa.binary())])
-_REPLY = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
+_CHUNK = pa.schema([("chunk", pa.int64()), ("units", pa.int64()), ("body", pa.binary()), ("grams", pa.binary())])
+_ASK = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("body", pa.binary())])
+_SAY = pa.schema([("chunk", pa.int64()), ("anchors", pa.bool_()), ("bucket", pa.int64()), ("bits", pa.binary())])
 
 
 def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def _ask_samples(plan: Plan, buckets: int) -> Callable[[pa.Table], pa.Table]:
-    def ask(t: pa.Table) -> pa.Table:
-        chunk = t["chunk"][0].as_py()
-        key, index, _, _, _ = _samples(_documents(t, plan.unit)[0], plan, buckets)
-        rows = []
-        for b, part in _by_bucket((key >> np.uint64(32)).astype(np.int64)):
-            rows.append((b, chunk, key[part].astype(np.uint32).tobytes(), np.packbits(index[part]).tobytes() if plan.anchored else None, None))
-        return _rows(_SEND, rows)
+def _ddl(schema: pa.Schema) -> str:
+    kinds = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string", pa.bool_(): "boolean"}
+    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
-    return ask
 
+def _frequent(u: Units, plan: Plan) -> bytes | None:
+    """Grams of a chunk that could be frequent in the whole: a hundredth of its documents' number in a slice."""
+    if plan.unit == "word":
+        return None
+    found, times = [], []
+    for _, n, h in _grams(u, plan):
+        h = np.sort(h[:n])
+        begin = _begins(h)
+        count = np.diff(begin, append=len(h))
+        least = max(8, n * plan.heavy)
+        found.append(h[begin[count >= least]])
+        times.append(count[count >= least])
+    return _packed(np.concatenate([np.zeros(0, np.uint64), *found]), np.concatenate([np.zeros(0, np.int64), *times]))
 
-def _answer_samples(plan: Plan) -> Callable[[pa.Table], pa.Table]:
-    """A sample is shared if two chunks have it and one of them indexes it."""
 
-    def answer(t: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint32) for x in t["keys"].to_pylist()]
-        size = np.array([len(k) for k in keys])
-        every = np.concatenate(keys)
-        order = np.argsort(every)
-        begin = _groups(every[order])
-        times = np.diff(begin, append=len(every))
-        good = times > 1
-        if plan.anchored:
-            index = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(t["more"].to_pylist(), size, strict=True)])
-            good &= np.maximum.reduceat(index[order], begin) > 0
-        flag = np.empty(len(every), bool)
-        flag[order] = np.repeat(good, times)
-        return _replies(t, size, flag)
+def _pack(plan: Plan):
+    """Chunks of neighbouring documents; a document is never cut. Words are joined by one space."""
 
-    return answer
+    def run(batches):
+        task, n = TaskContext.get().partitionId() << 32, 0
 
+        def chunk(ids, texts):
+            u = _units(plan.unit, np.array(ids, np.int64), texts)
+            body = _packed(u.ids, np.array([len(x) for x in texts], np.int64), u.buf)
+            return _rows(_CHUNK, [(task + n, len(u), body, _frequent(u, plan))]).to_batches()
 
-def _replies(t: pa.Table, size: np.ndarray, flag: np.ndarray) -> pa.Table:
-    bucket, chunks, rows, at = t["bucket"][0].as_py(), t["chunk"].to_pylist(), [], 0
-    for c, n in zip(chunks, size, strict=True):
-        part = flag[at : at + n]
-        at += n
-        if part.any():
-            rows.append((c, bucket, np.packbits(part).tobytes()))
-    return _rows(_REPLY, rows)
+        ids, texts, size = [], [], 0
+        for batch in batches:
+            for i, x in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                x = x or b""
+                ids.append(NO_ID if i is None else i)
+                texts.append(b" ".join(x.split()) if plan.unit == "word" else x)
+                size += len(x) + 16
+                if size >= plan.chunk_bytes:
+                    yield from chunk(ids, texts)
+                    ids, texts, size, n = [], [], 0, n + 1
+        if ids:
+            yield from chunk(ids, texts)
 
+    return run
 
-def _bits(replies: pa.Table, bucket: np.ndarray) -> np.ndarray:
-    """The buckets' answers, by the place of the key in the chunk's order."""
-    said = dict(zip(replies["bucket"].to_pylist(), replies["bits"].to_pylist(), strict=True))
-    out = np.zeros(len(bucket), bool)
-    for b, part in _by_bucket(bucket):
-        if b in said:
-            out[part] = np.unpackbits(np.frombuffer(said[b], np.uint8), count=part.stop - part.start)
-    return out
 
+def _open(plan: Plan, body: bytes) -> Units:
+    ids, lengths, buf = _unpacked(body, np.int64, np.int64, np.uint8)
+    raw, ends = buf.tobytes(), np.cumsum(lengths).tolist()
+    return _units(plan.unit, ids, [raw[e - n : e] for e, n in zip(ends, lengths.tolist(), strict=True)])
 
-def _cover(n: int, starts: np.ndarray, before: int, after: int) -> np.ndarray:
-    """Marks [s - before, s + after) for each start."""
-    d = np.bincount(np.maximum(starts - before, 0), minlength=n + 1)[: n + 1] - np.bincount(np.minimum(starts + after, n), minlength=n + 1)[: n + 1]
-    return np.cumsum(d)[:n] > 0
 
+# -- anchors -------------------------------------------------------------------------------------------
 
-def _runs(marked: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal marked runs in one document."""
-    if not len(marked):
-        return (np.zeros(0, np.int64),) * 2
-    joined = marked[1:] & marked[:-1] & (doc[1:] == doc[:-1])
-    return np.flatnonzero(marked & ~np.r_[False, joined]), np.flatnonzero(marked & ~np.r_[joined, False]) + 1
-
-
-_LIVE = pa.schema([("chunk", pa.int32()), ("ids", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary())])
-
-
-def _keep_live(plan: Plan, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def keep(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return _LIVE.empty_table()
-        u, _ = _documents(docs, plan.unit)
-        key, index, several, at, number = _samples(u, plan, buckets)
-        shared = _bits(replies, (key >> np.uint64(32)).astype(np.int64)) | (several & index)
-        hit = at[shared[number]]
-        n, extra = len(u.doc), plan.window - plan.sample
-        whole = np.zeros(n, bool)
-        whole[: max(0, n - plan.window + 1)] = u.whole(plan.window)
-        low = np.maximum(hit - extra, u.first[u.doc[hit]])
-        d = np.bincount(low, minlength=n + 1) - np.bincount(hit + 1, minlength=n + 1)
-        begins = np.flatnonzero((np.cumsum(d)[:n] > 0) & whole)
-        a, b = _runs(_cover(n, begins, 0, plan.window), u.doc)
-        if not len(a):
-            return _LIVE.empty_table()
-        if u.start is None:
-            parts = [u.buf[x:y].tobytes() for x, y in zip(a, b, strict=True)]
-        else:
-            parts = [u.buf[u.start[x] : u.end[y - 1]].tobytes() for x, y in zip(a, b, strict=True)]
-        lengths = np.array([len(p) for p in parts], np.int64)
-        return _rows(_LIVE, [(docs["chunk"][0].as_py(), u.ids[u.doc[a]].tobytes(), a.astype(np.int64).tobytes(), lengths.tobytes(), b"".join(parts))])
 
-    return keep
+@dataclass
+class Probes:
+    """Distinct keys of a chunk's rolling windows of a block's length, in order; each window's key number (-1: none)."""
+
+    key: np.ndarray
+    bucket: np.ndarray
+    indexed: np.ndarray
+    several: np.ndarray  # several documents of this chunk have it
+    number: np.ndarray
+    hash: np.ndarray
+
+
+def _probes(u: Units, plan: Plan, buckets: int) -> Probes:
+    h = np.concatenate([np.zeros(0, np.uint64), *(part[:n] for _, n, part in _grams(u, plan))])
+    h = np.append(h, np.zeros(len(u) - len(h), np.uint64))
+    at = np.flatnonzero(u.whole(plan.gram))
+    own = h[at]
+    order = np.argsort(own)
+    key = own[order]
+    begin = _begins(key)
+    number = np.full(len(u), -1, np.int64)
+    number[at[order]] = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(key)))
+    if not len(begin):
+        none = np.zeros(0, bool)
+        return Probes(key, key.astype(np.int64), none, none, number, h)
+    doc = u.doc(at)
+    indexed = ((at - u.first[doc]) % plan.gram == 0)[order]
+    who = u.ids[doc][order]
+    several = np.minimum.reduceat(who, begin) != np.maximum.reduceat(who, begin)
+    return Probes(key[begin], _bucket_of(key[begin], buckets), np.logical_or.reduceat(indexed, begin), several, number, h)
 
 
 def _bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets are ranges of the key, and blocks ranges of buckets."""
+    """Buckets are ranges of the key."""
     return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _live_windows(plan: Plan, row: dict, buckets: int, block: int | None = None):
-    """Distinct (key, check) of a chunk's live windows (of one block, or all) in order: those, smallest id, bucket; each window's start, whether the chunk itself flags it, number."""
-    ids, starts, lengths = (np.frombuffer(row[k], np.int64) for k in ("ids", "starts", "lengths"))
-    ends = np.cumsum(lengths)
-    texts = [row["data"][e - n : e] for e, n in zip(ends, lengths, strict=True)]
-    u = _units(plan.unit, ids, texts)
-    at = np.flatnonzero(u.whole(plan.window))
-    key = _hash(12).windows(u.codes(_hash(12)), plan.window)[at]
-    if block is not None:
-        mine = _bucket_of(key, buckets) * plan.blocks // buckets == block
-        at, key = at[mine], key[mine]
-    check = _hash(13).spans(_hash(13).prefix(u.codes(_hash(13))), at, at + plan.window)
-    check = (check >> np.uint64(32)).astype(np.uint32)
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    edges = [*_begins(bucket).tolist(), len(bucket)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(bucket[a]), slice(a, b)
+
+
+def _ask_anchors(plan: Plan, buckets: int):
+    def run(batches):
+        for batch in batches:
+            for chunk, body in zip(batch["chunk"].to_pylist(), batch["body"].to_pylist(), strict=True):
+                p = _probes(_open(plan, body), plan, buckets)
+                out = []
+                for b, s in _by_bucket(p.bucket):
+                    # within a bucket the keys' upper halves hardly differ: 32 bits of their middle tell them apart
+                    short = (mix(p.key[s]) >> np.uint64(32)).astype(np.uint32)
+                    flags = np.packbits(np.concatenate([p.indexed[s], p.several[s]]))
+                    out.append((b, chunk, np.int64(len(short)).tobytes() + short.tobytes() + flags.tobytes()))
+                yield from _rows(_ASK, out).to_batches()
+
+    return run
+
+
+def _answer_anchors(t: pa.Table) -> pa.Table:
+    """Of each key: whether several documents have it, and whether one of these has indexed it."""
+    keys, indexed, several = [], [], []
+    for body in t["body"].to_pylist():
+        n = int(np.frombuffer(body, np.int64, 1)[0])
+        keys.append(np.frombuffer(body, np.uint32, n, 8))
+        flags = np.unpackbits(np.frombuffer(body, np.uint8, offset=8 + 4 * n), count=2 * n).astype(bool)
+        indexed.append(flags[:n])
+        several.append(flags[n:])
+    size = [len(k) for k in keys]
+    key, indexed, several = np.concatenate(keys), np.concatenate(indexed), np.concatenate(several)
     order = np.argsort(key)
-    k, c = key[order], check[order]
-    if ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any():
-        order = np.lexsort((check, key))
-        k, c = key[order], check[order]
-    new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])] if len(k) else np.zeros(0, bool)
-    begin = np.flatnonzero(new)
-    wid = u.ids[u.doc[at]]
-    least, most = (f.reduceat(wid[order], begin) if len(begin) else wid for f in (np.minimum, np.maximum))
-    number = np.empty(len(at), np.int64)
-    number[order] = np.cumsum(new) - 1
-    bucket = _bucket_of(k[begin], buckets)
-    start = starts[u.doc[at]] + u.place()[at]
-    own = (most > least)[number] if plan.every else wid > least[number]
-    return k[begin], c[begin], least, bucket, start, own, number
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of the same rank together, so that the high ones compress away."""
-    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
-
-
-def _unplanes(x: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
-
-
-def _ask_windows(plan: Plan, buckets: int, block: int):
-    def ask(batches):
+    begin = _begins(key[order])
+    times = np.diff(begin, append=len(key))
+    shared = (times > 1) | np.logical_or.reduceat(several[order], begin)
+    hit = shared & np.logical_or.reduceat(indexed[order], begin)
+    out_shared, out_hit = np.empty(len(key), bool), np.empty(len(key), bool)
+    out_shared[order], out_hit[order] = np.repeat(shared, times), np.repeat(hit, times)
+    rows, at, bucket = [], 0, t["bucket"][0].as_py()
+    for chunk, n in zip(t["chunk"].to_pylist(), size, strict=True):
+        part = out_shared[at : at + n]
+        if part.any():
+            rows.append((chunk, True, bucket, np.packbits(np.concatenate([part, out_hit[at : at + n]])).tobytes()))
+        at += n
+    return _rows(_SAY, rows)
+
+
+def _anchor_bits(p: Probes, said: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    shared, hit = np.zeros(len(p.key), bool), np.zeros(len(p.key), bool)
+    for b, s in _by_bucket(p.bucket):
+        if b in said:
+            n = s.stop - s.start
+            bits = np.unpackbits(np.frombuffer(said[b], np.uint8), count=2 * n).astype(bool)
+            shared[s], hit[s] = bits[:n], bits[n:]
+    return shared, hit
+
+
+# -- pieces --------------------------------------------------------------------------------------------
+
+
+def _least_within(x: np.ndarray, k: int) -> np.ndarray:
+    """The least of each k neighbours."""
+    step, out = 1, x
+    while 2 * step <= k:
+        out = np.minimum(out[:-step], out[step:])
+        step *= 2
+    rest = k - step
+    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
+
+
+class Heavy:
+    """Frequent grams: a small table of bits first, then a search."""
+
+    def __init__(self, grams: np.ndarray):
+        self.grams = np.sort(grams)
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def last(self, h: np.ndarray) -> np.ndarray:
+        """The hashes in another order: frequent ones after all others."""
+        h = h >> np.uint64(1)
+        if len(self.grams):
+            at = np.flatnonzero(self.bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            found = np.minimum(np.searchsorted(self.grams, h[at]), len(self.grams) - 1)
+            at = at[self.grams[found] == h[at]]
+            h[at] |= np.uint64(1 << 63)
+        return h
+
+
+@dataclass
+class Pieces:
+    """Distinct pieces of a chunk by bucket and route, and all their occurrences.
+
+    Of a distinct piece: route, bucket, an occurrence's first unit, windows, smallest and greatest id.
+    Of an occurrence: first unit, windows, id, number of its distinct piece.
+    """
+
+    route: np.ndarray
+    bucket: np.ndarray
+    unit: np.ndarray
+    windows: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
+    at: np.ndarray
+    long: np.ndarray
+    id: np.ndarray
+    number: np.ndarray
+
+
+def _span(u: Units, plan: Plan, at: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A piece's first byte and its length."""
+    last = at + windows + plan.window - 2
+    if u.start is None:
+        return at, last + 1 - at
+    return u.start[at], u.end[last] - u.start[at]
+
+
+def _pieces(u: Units, plan: Plan, buckets: int, heavy: Heavy, said: dict[int, bytes] | None) -> Pieces:
+    whole = u.whole(plan.window)
+    inner = plan.window - plan.gram + 1
+    at, long, route, content = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    if said is not None:
+        p = _probes(u, plan, buckets)
+        shared, hit = (np.append(x, False)[p.number] for x in _anchor_bits(p, said))
+        # a window is live if other documents have all its blocks and have indexed one; the least of these is its route
+        no = np.uint64(2**64 - 1)
+        key = np.where(hit, p.hash >> np.uint64(1), no)
+        key[~shared] = no
+        part = _least_within(key, inner)
+        dead = _least_within(shared.astype(np.uint8), inner) == 0
+        part = np.append(part, np.full(len(u) - len(part), no))
+        dead = np.append(dead, np.ones(len(u) - len(dead), bool))
+        slices = [(0, len(u), part, whole & ~dead & (part != no))]
+    else:
+
+        def each():
+            for a, n, h in _grams(u, plan):
+                part = _least_within(heavy.last(h), inner) if len(h) >= inner else h[:0]
+                part = np.append(part, np.zeros(max(0, n - len(part)), np.uint64))[:n]
+                yield a, n, part, whole[a : a + n]
+
+        slices = each()
+    h = _hash(12)
+    for a, n, part, ok in slices:
+        new = ok.copy()
+        new[1:] &= ~ok[:-1] | (part[1:] != part[:-1])
+        end = ok.copy()
+        end[:-1] &= ~ok[1:] | (part[1:] != part[:-1])
+        begin, stop = np.flatnonzero(new), np.flatnonzero(end) + 1
+        if not len(begin):
+            continue
+        at.append(begin + a)
+        long.append(stop - begin)
+        route.append(part[begin])
+        low, size = _span(u, plan, at[-1], long[-1])
+        base, top = int(low[0]), int(low[-1] + size[-1])
+        content.append(h.spans(h.prefix(h.codes[u.buf[base:top]]), low - base, low - base + size))
+    at, long, route, content = (np.concatenate(x) for x in (at, long, route, content))
+    low, size = _span(u, plan, at, long)
+    bucket = _bucket_of(mix(route), buckets)
+    order = np.lexsort((size, content, route, bucket))
+    at, long, route, content, bucket, low, size = (x[order] for x in (at, long, route, content, bucket, low, size))
+    begin = _begins(bucket, route, content, size)
+    times = np.diff(begin, append=len(at))
+    number = np.repeat(np.arange(len(begin)), times)
+    # of equal hashes only equal bytes are one piece
+    if not same_bytes(u.buf, low[begin][number], low, size).all():
+        number, begin = _apart(u, low, size, begin)
+    ids = u.ids[u.doc(at)]
+    least = np.full(len(begin), NO_ID)
+    most = np.full(len(begin), np.iinfo(np.int64).min)
+    np.minimum.at(least, number, ids)
+    np.maximum.at(most, number, ids)
+    return Pieces(route[begin], bucket[begin], at[begin], long[begin], least, most, at, long, ids, number)
+
+
+def _apart(u: Units, low: np.ndarray, size: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and first occurrences of distinct pieces where equal hashes hide different bytes."""
+    number, first = np.empty(len(low), np.int64), []
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(low)], strict=True):
+        seen: dict[bytes, int] = {}
+        for i in range(a, b):
+            text = u.buf[low[i] : low[i] + size[i]].tobytes()
+            if text not in seen:
+                seen[text] = len(first)
+                first.append(i)
+            number[i] = seen[text]
+    return number, np.array(first, np.int64)
+
+
+def _message(u: Units, plan: Plan, p: Pieces, s: slice) -> bytes:
+    low, size = _span(u, plan, p.unit[s], p.windows[s])
+    begin = np.cumsum(size) - size
+    take = np.repeat(low - begin, size) + np.arange(int(size.sum()))
+    arrays = [p.route[s], size.astype(np.uint32), p.windows[s].astype(np.uint32), p.least[s]]
+    return _packed(*arrays, p.most[s] if plan.every else np.zeros(0, np.int64), u.buf[take])
+
+
+def _send(plan: Plan, chunk: int, u: Units, p: Pieces) -> Iterator[pa.RecordBatch]:
+    out, size = [], 0
+    for b, s in _by_bucket(p.bucket):
+        out.append((b, chunk, _message(u, plan, p, s)))
+        size += len(out[-1][2])
+        if size > 4 << 20:
+            yield from _rows(_ASK, out).to_batches()
+            out, size = [], 0
+    yield from _rows(_ASK, out).to_batches()
+
+
+def _ask_bytes(plan: Plan, buckets: int, heavy: np.ndarray):
+    def run(batches):
+        table = Heavy(heavy)
         for batch in batches:
-            for row in batch.to_pylist():
-                key, check, least, bucket, _, _, _ = _live_windows(plan, row, buckets, block)
-                out = [(b, row["chunk"], key[s].tobytes(), check[s].tobytes(), _planes(least[s])) for b, s in _by_bucket(bucket)]
-                yield from _rows(_SEND, out).to_batches()
+            for chunk, body in zip(batch["chunk"].to_pylist(), batch["body"].to_pylist(), strict=True):
+                u = _open(plan, body)
+                yield from _send(plan, chunk, u, _pieces(u, plan, buckets, table, None))
+
+    return run
+
+
+def _ask_words(plan: Plan, buckets: int):
+    def ask(chunks: pa.Table, said: pa.Table) -> pa.Table:
+        if not chunks.num_rows or not said.num_rows:
+            return _ASK.empty_table()
+        u = _open(plan, chunks["body"][0].as_py())
+        heard = dict(zip(said["bucket"].to_pylist(), said["bits"].to_pylist(), strict=True))
+        parts = list(_send(plan, chunks["chunk"][0].as_py(), u, _pieces(u, plan, buckets, Heavy(np.zeros(0, np.uint64)), heard)))
+        return pa.Table.from_batches(parts, schema=_ASK)
 
     return ask
 
 
-def _answer_windows(plan: Plan) -> Callable[[pa.Table], pa.Table]:
-    """A chunk's window is flagged if a smaller id (for every copy: any) has it in another chunk."""
+def _answer(plan: Plan) -> Callable[[pa.Table], pa.Table]:
+    """A window is flagged if a smaller id than its piece's smallest has it (every: if another id has it)."""
 
     def answer(t: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
-        size = np.array([len(k) for k in keys])
-        key = np.concatenate(keys)
-        check = np.concatenate([np.frombuffer(x, np.uint32) for x in t["more"].to_pylist()])
-        least = np.concatenate([_unplanes(x, np.int64) for x in t["ids"].to_pylist()])
-        order = np.argsort(key)
-        k, c = key[order], check[order]
-        if ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any():
-            order = np.lexsort((check, key))
-            k, c = key[order], check[order]
-        begin = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
-        times = np.diff(begin, append=len(key))
-        flag = np.empty(len(key), bool)
-        if plan.every:
-            flag[order] = np.repeat(times > 1, times)
-        else:
-            flag[order] = np.repeat(np.minimum.reduceat(least[order], begin), times) < least[order]
-        return _replies(t, size, flag)
+        parts = [_unpacked(body, np.uint64, np.uint32, np.uint32, np.int64, np.int64, np.uint8) for body in t["body"].to_pylist()]
+        route, size, windows, least, most, buf = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if not plan.every:
+            most = least
+        counts = [int(x[2].sum()) for x in parts]
+        del parts
+        size, windows = size.astype(np.int64), windows.astype(np.int64)
+        order = np.argsort(route)
+        begin = _begins(route[order])
+        live = np.empty(len(route), bool)
+        live[order] = np.repeat(np.minimum.reduceat(least[order], begin) < np.maximum.reduceat(most[order], begin), np.diff(begin, append=len(route)))
+        flag = np.zeros(int(windows.sum()), bool)
+        entry = np.flatnonzero(live)
+        if len(entry):
+            low = (np.cumsum(size) - size)[entry]
+            first = (np.cumsum(windows) - windows)[entry]
+            n, m = size[entry], windows[entry]
+            own = np.cumsum(n) - n
+            text = buf[np.repeat(low - own, n) + np.arange(int(n.sum()))]
+            inner = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+            at = np.repeat(first, m) + inner
+            if plan.unit == "byte":
+                start, long = np.repeat(own, m) + inner, None
+            else:
+                begins, ends, piece = word_spans(text, n)
+                word = np.searchsorted(piece, np.arange(len(n)))
+                begins_at = np.repeat(word, m) + inner
+                start = begins[begins_at]
+                long = ends[begins_at + plan.window - 1] - start
+            order, begin = equal_windows(text, own, n, start, plan.window if long is None else long)
+            times = np.diff(begin, append=len(order))
+            lowest, highest = np.repeat(least[entry], m)[order], np.repeat(most[entry], m)[order]
+            if plan.every:
+                found = np.repeat(np.minimum.reduceat(lowest, begin) < np.maximum.reduceat(highest, begin), times)
+            else:
+                found = np.repeat(np.minimum.reduceat(lowest, begin), times) < lowest
+            flag[at[order]] = found
+        rows, a, bucket = [], 0, t["bucket"][0].as_py()
+        for chunk, n in zip(t["chunk"].to_pylist(), counts, strict=True):
+            if flag[a : a + n].any():
+                rows.append((chunk, False, bucket, np.packbits(flag[a : a + n]).tobytes()))
+            a += n
+        return _rows(_SAY, rows)
 
     return answer
 
 
-_GONE = pa.schema([("chunk", pa.int32()), ("starts", pa.binary())])
+def _cover(n: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Marks [start, stop) for each pair."""
+    d = np.bincount(starts, minlength=n + 1)[: n + 1] - np.bincount(stops, minlength=n + 1)[: n + 1]
+    return np.cumsum(d)[:n] > 0
+
 
+def _gone(u: Units, plan: Plan, p: Pieces, said: dict[int, bytes]) -> np.ndarray:
+    """By unit: whether a flagged window covers it."""
+    bits = np.zeros(int(p.windows.sum()), bool)
+    first = np.cumsum(p.windows) - p.windows
+    for b, s in _by_bucket(p.bucket):
+        if b in said:
+            a, z = first[s.start], first[s.stop - 1] + p.windows[s.stop - 1]
+            bits[a:z] = np.unpackbits(np.frombuffer(said[b], np.uint8), count=z - a)
+    own = (p.most > p.least)[p.number] if plan.every else p.id > p.least[p.number]
+    starts = [p.at[own]]
+    stops = [p.at[own] + p.long[own] + plan.window - 1]
+    rest = np.flatnonzero(~own & (np.add.reduceat(bits, first, dtype=np.int64) > 0)[p.number]) if len(first) else np.zeros(0, np.int64)
+    if len(rest):
+        m = p.long[rest]
+        inner = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+        flagged = np.flatnonzero(bits[np.repeat(first[p.number[rest]], m) + inner])
+        at = (np.repeat(p.at[rest], m) + inner)[flagged]
+        starts.append(at)
+        stops.append(at + plan.window)
+    return _cover(len(u), np.concatenate(starts), np.concatenate(stops))
+
+
+def _finish(plan: Plan, buckets: int, anchor_buckets: int, heavy: np.ndarray, finish: Callable, schema: pa.Schema):
+    def last(chunks: pa.Table, said: pa.Table) -> pa.Table:
+        if not chunks.num_rows:
+            return schema.empty_table()
+        u = _open(plan, chunks["body"][0].as_py())
+        heard: dict[bool, dict[int, bytes]] = {True: {}, False: {}}
+        for kind, b, bits in zip(said["anchors"].to_pylist(), said["bucket"].to_pylist(), said["bits"].to_pylist(), strict=True):
+            heard[kind][b] = bits
+        p = _pieces(u, plan, buckets, Heavy(heavy), heard[True] if plan.unit == "word" else None)
+        ids = [None if i == NO_ID else i for i in u.ids.tolist()]
+        return finish(u, ids, _gone(u, plan, p, heard[False]))
 
-def _mark(plan: Plan, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Starts of the flagged windows, as deltas."""
+    return last
 
-    def mark(live: pa.Table, replies: pa.Table) -> pa.Table:
-        rows = []
-        for row in live.to_pylist():
-            _, _, _, bucket, start, own, number = _live_windows(plan, row, buckets)
-            flagged = _bits(replies, bucket)[number] | own
-            gone = np.sort(start[flagged])
-            if len(gone):
-                rows.append((row["chunk"], _planes(np.diff(gone, prepend=0))))
-        return _rows(_GONE, rows)
 
-    return mark
+def _heavy_grams(chunks: DataFrame, plan: Plan, total: int) -> np.ndarray:
+    """Grams that make up at least plan.heavy of all: at most 1 / plan.heavy of them, so they may be collected and broadcast."""
 
+    def each(batches):
+        for batch in batches:
+            for body in batch["grams"].to_pylist():
+                h, n = _unpacked(body, np.uint64, np.int64)
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
-def _ddl(schema: pa.Schema) -> str:
-    kinds = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
-    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
+    found = chunks.select("grams").mapInArrow(each, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = found.where(F.col("n") >= max(64.0, total * plan.heavy)).select("gram").collect()
+    return np.array([r[0] for r in rows], np.int64).view(np.uint64) >> np.uint64(1)
 
 
 def remove_repeats(documents: DataFrame, plan: Plan, finish: Callable, schema: pa.Schema) -> DataFrame:
@@ -364,40 +609,26 @@ def remove_repeats(documents: DataFrame, plan: Plan, finish: Callable, schema: p
     Null texts are empty; rows of a null id count as after all others, and rows of one id as one document.
     """
     spark = documents.sparkSession
-    total = text_bytes(documents)
-    docs = bounded(documents).select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("binary").alias("text"),
-        chunk_of(F.col("doc_id").cast("long"), total, plan.chunk_bytes).alias("chunk"),
-    )
-    buckets = max(4, math.ceil(total * plan.density / plan.bucket_keys))
-    asked = docs.groupBy("chunk").applyInArrow(_ask_samples(plan, buckets), _ddl(_SEND))
-    answered = asked.groupBy("bucket").applyInArrow(_answer_samples(plan), _ddl(_REPLY))
-    live = Written(
-        docs.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(_keep_live(plan, buckets), _ddl(_LIVE)),
-        "live",
-        **{"parquet.block.size": str(16 << 20)},
-    )
-    del asked, answered
-    free_shuffles(spark)
-    buckets = plan.blocks * max(1, math.ceil(text_bytes(live.read(), "data") / (1 if plan.unit == "byte" else 6) / plan.bucket_keys / plan.blocks))
-    replies = None
-    for block in range(plan.blocks):
-        asked = live.read().mapInArrow(_ask_windows(plan, buckets, block), _ddl(_SEND))
-        part = Written(asked.groupBy("bucket").applyInArrow(_answer_windows(plan), _ddl(_REPLY)), "flags")
+    plan = plan.sized(text_bytes(documents))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    written = Written(bounded(docs).mapInArrow(_pack(plan), _ddl(_CHUNK)), "chunks", **{"parquet.block.size": str(16 << 20)})
+    total = written.read().agg(F.coalesce(F.sum("units"), F.lit(0))).first()[0]
+    chunks = bounded(written.read().select("chunk", "body"))
+    words = plan.unit == "word"
+    if words:
+        heavy = np.zeros(0, np.uint64)
+        buckets = max(4, math.ceil(4 * total / plan.bucket_bytes))
+        asked = chunks.mapInArrow(_ask_anchors(plan, buckets), _ddl(_ASK))
+        anchors = Written(asked.groupBy("bucket").applyInArrow(_answer_anchors, _ddl(_SAY)), "anchors")
         del asked
         free_shuffles(spark)
-        replies = part.read() if replies is None else replies.unionAll(part.read())
-    gone = Written(live.read().groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_mark(plan, buckets), _ddl(_GONE)), "gone")
-    del replies
-    live.drop()
+        asked = chunks.groupBy("chunk").cogroup(anchors.read().groupBy("chunk")).applyInArrow(_ask_words(plan, buckets), _ddl(_ASK))
+    else:
+        heavy = _heavy_grams(written.read(), plan, total)
+        buckets = max(4, math.ceil(4 * total / plan.bucket_bytes))  # a piece of text is about four times what it adds
+        asked = chunks.mapInArrow(_ask_bytes(plan, buckets, heavy), _ddl(_ASK))
+    found = Written(asked.groupBy("bucket").applyInArrow(_answer(plan), _ddl(_SAY)), "flags")
+    del asked
     free_shuffles(spark)
-
-    def last(docs: pa.Table, gone: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return schema.empty_table()
-        u, ids = _documents(docs, plan.unit)
-        starts = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(_unplanes(x, np.int64)) for x in gone["starts"].to_pylist())])
-        return finish(u, ids, _cover(len(u.doc), starts, 0, plan.window) if len(starts) else np.zeros(len(u.doc), bool))
-
-    return docs.groupBy("chunk").cogroup(gone.read().groupBy("chunk")).applyInArrow(last, _ddl(schema))
+    said = found.read().unionAll(anchors.read()) if words else found.read()
+    return chunks.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(_finish(plan, buckets, buckets, heavy, finish, schema), _ddl(schema))

@@ -1,8 +1,9 @@
 """Substring dedup by fixed-block anchors.
 
 Non-overlapping blocks of 7 words are the index; every rolling window of 7 words probes it. A repeat of
-13 words holds a whole block of the document it repeats, so all repeats are hit; hits are extended to the
-13-word windows around them, and those windows' maximal runs are what goes (see repeats.py).
+13 words holds a whole block of the document it repeats, and all its blocks are in both documents, so
+hits lead to all repeats. Around a hit the 13-word windows are held against those of the other documents
+that hit the same anchor, byte for byte; the maximal runs of repeated windows are what goes (see repeats.py).
 """
 
 from __future__ import annotations
@@ -13,15 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import Plan, Units, _runs, remove_repeats
+from .repeats import Plan, Units, remove_repeats
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_spans", pa.int64())])
 KEPT = pa.schema([("doc_id", pa.int64()), ("kept_text", pa.string())])
 
 
 def plan(window: int = 13, **more) -> Plan:
-    block = (window + 1) // 2
-    return Plan("word", window, block, block, (0,), anchored=True, blocks=1, **more)
+    return Plan("word", window, (window + 1) // 2, **more)
 
 
 def _kept(u: Units, gone: np.ndarray) -> list[bytes]:
@@ -33,9 +33,11 @@ def _kept(u: Units, gone: np.ndarray) -> list[bytes]:
 
 
 def _digests(u: Units, ids: list, gone: np.ndarray) -> pa.Table:
-    run = np.bincount(u.doc[_runs(gone, u.doc)[0]], minlength=len(ids))
-    removed = np.bincount(u.doc[gone], minlength=len(ids))
-    return pa.table([pa.array(ids, pa.int64()), u.count.astype(np.int64), removed.astype(np.int64), [hashlib.sha256(k).hexdigest() for k in _kept(u, gone)], run.astype(np.int64)], schema=SCHEMA)
+    run = np.zeros(len(gone), bool)
+    run[u.runs(gone)[0]] = True
+    return pa.table(
+        [pa.array(ids, pa.int64()), u.count.astype(np.int64), u.by_document(gone), [hashlib.sha256(k).hexdigest() for k in _kept(u, gone)], u.by_document(run)], schema=SCHEMA
+    )
 
 
 def _texts(u: Units, ids: list, gone: np.ndarray) -> pa.Table:

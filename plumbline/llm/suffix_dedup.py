@@ -1,12 +1,10 @@
 """Suffix-array dedup by difference-cover blockwise construction.
 
-The cover sample: positions whose place modulo 21 is in the perfect difference set {3, 6, 7, 12, 14}. For
-any two places some offset below 21 moves both into the cover, so two equal strings of 50 bytes share a
-30-byte cover sample at a common offset. Bucket by bucket, each sample gets one bit: whether another
-document has it. Only windows around shared samples can be equal over 50 bytes, so only these are
-grouped, one block of the fingerprints' range at a time, by 96-bit fingerprints (see repeats.py). No suffix
-is sorted and no rank computed, since equality and not order is asked for: the cover is a filter.
-Memory is bounded by a chunk, a bucket and a block.
+Windows of 50 bytes are dealt into suffix buckets by the least of their grams' hashes, so that equal
+windows meet in one bucket. Buckets are sorted one at a time: cover samples (places modulo 21 in the perfect
+difference set {3, 6, 7, 12, 14}) are ranked first, suffixes are sorted by their first 24 bytes, and longer
+ties are resolved by the ranks (suffix_order.py). Neighbours that share 50 bytes are repeats, and the smallest
+document of such a stretch keeps them. Memory is bounded by a chunk or a bucket (repeats.py).
 """
 
 from __future__ import annotations
@@ -17,34 +15,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import Plan, Units, _runs, remove_repeats
-
-#: A perfect difference set modulo 21: all differences occur.
-PERIOD, COVER = 21, (3, 6, 7, 12, 14)
+from .repeats import Plan, Units, remove_repeats
+from .suffix_order import PERIOD
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
-def plan(window: int = 50, **more) -> Plan:
-    if window <= PERIOD:
-        raise ValueError(f"window must be over {PERIOD} bytes")
-    return Plan("byte", window, window - PERIOD + 1, PERIOD, COVER, anchored=False, **more)
+def plan(window: int = 50, gram: int = 16, **more) -> Plan:
+    if window < 8 * 3 + PERIOD:
+        raise ValueError(f"window must be at least {8 * 3 + PERIOD} bytes")
+    return Plan("byte", window, gram, **more)
 
 
 def _digests(u: Units, ids: list, gone: np.ndarray) -> pa.Table:
-    run = np.bincount(u.doc[_runs(gone, u.doc)[0]], minlength=len(ids))
-    removed = np.bincount(u.doc[gone], minlength=len(ids))
-    kept = []
-    for text, first, n, r in zip(u.texts, u.first, u.count, removed, strict=True):
+    run = np.zeros(len(gone), bool)
+    run[u.runs(gone)[0]] = True
+    removed, kept = u.by_document(gone), []
+    for text, first, n, r in zip(u.texts, u.first.tolist(), u.count.tolist(), removed.tolist(), strict=True):
         kept.append(hashlib.sha256(u.buf[first : first + n][~gone[first : first + n]].tobytes() if r else text).hexdigest())
-    return pa.table([pa.array(ids, pa.int64()), u.count.astype(np.int64), removed.astype(np.int64), run.astype(np.int64), kept], schema=SCHEMA)
+    return pa.table([pa.array(ids, pa.int64()), u.count.astype(np.int64), removed, u.by_document(run), kept], schema=SCHEMA)
 
 
 def _spans(u: Units, ids: list, gone: np.ndarray) -> pa.Table:
-    a, b = _runs(gone, u.doc)
-    first = u.first[u.doc[a]]
-    return pa.table([pa.array([ids[i] for i in u.doc[a]], pa.int64()), (a - first).astype(np.int64), (b - first).astype(np.int64)], schema=SPANS)
+    a, b = u.runs(gone)
+    doc = u.doc(a)
+    return pa.table([pa.array([ids[i] for i in doc.tolist()], pa.int64()), a - u.first[doc], b - u.first[doc]], schema=SPANS)
 
 
 def suffix_dedup(documents: DataFrame, window: int = 50, **more) -> DataFrame:
