@@ -10,30 +10,27 @@ members form groups of their own.
 
 from __future__ import annotations
 
-import hashlib
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, bounded, free_shuffles, fresh
+from .common import Written, free_shuffles, fresh
 
-_RUN = re.compile(rb"[\x20\x09-\x0D]+")
-_DIGESTS = "doc_id long, digest binary"
+_RUN = r"[\x20\x09-\x0D]+"
 
 
-def normalised(text: bytes) -> bytes:
-    """Each [\\x20\\x09-\\x0D]+ becomes one space."""
-    return _RUN.sub(b" ", text)
+def digest(text: Column) -> Column:
+    """SHA-256 of the text with each [\\x20\\x09-\\x0D]+ as one space; null counts as empty.
 
-
-def _digest(batches):
-    for batch in batches:
-        sums = [hashlib.sha256(normalised(x or b"")).digest() for x in batch["text"].to_pylist()]
-        yield pa.record_batch([batch["doc_id"], pa.array(sums, pa.binary())], names=["doc_id", "digest"])
+    Texts that aren't valid UTF-8 are taken byte by byte, so that none of their bytes is replaced.
+    """
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    latin = F.decode(text.cast("binary"), F.lit("ISO-8859-1"))
+    by_byte = F.sha2(F.encode(F.regexp_replace(latin, _RUN, " "), "ISO-8859-1"), 256)
+    return F.unhex(F.when(F.is_valid_utf8(text), F.sha2(F.regexp_replace(text, _RUN, " "), 256)).otherwise(by_byte))
 
 
 class PerfectHash:
@@ -123,8 +120,7 @@ def exact_dedup(documents: DataFrame, history_share: float = 0.5) -> DataFrame:
     only if its group has no other id, and keep_id is null then. Other columns are ignored.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    digests = Written(bounded(docs).mapInArrow(_digest, _DIGESTS), "digests")
+    digests = Written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest")), "digests")
     split = digests.read().agg(F.percentile_approx("doc_id", history_share, 1000)).first()[0]
     past = F.coalesce(F.col("doc_id") <= F.lit(split).cast("long"), F.lit(False))
     found = hold_against_history(digests.read().where(past), digests.read().where(~past))
@@ -136,7 +132,22 @@ def exact_dedup(documents: DataFrame, history_share: float = 0.5) -> DataFrame:
 
 
 def keep_first(documents: DataFrame, history_share: float = 0.5) -> DataFrame:
-    """The documents' rows without repeats: one row of each group of equal texts. Rows with a null doc_id stay, as a decision can't name them."""
-    name = fresh(documents, "gone_")
-    gone = exact_dedup(documents, history_share).where("not kept").select(F.col("doc_id").alias(name)).distinct().hint("shuffle_hash")  # texts stream by, unsorted
-    return documents.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    """The documents' rows without repeats: one row of each group of equal texts.
+
+    Rows are told apart by doc_id and digest, so an id that two texts share loses only the text that goes.
+    Of equal rows of one id, a null id too, one stays: any, as only other columns can differ.
+    """
+    key, own, there = fresh(documents, "key_"), fresh(documents, "digest_"), fresh(documents, "there_")
+    decided = Written(exact_dedup(documents, history_share).groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("kept"), F.count("*").alias("n")), "kept").read()
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("doc_id").alias(key), F.unhex("text_sha256").alias(there)).hint("shuffle_hash")  # texts stream by, unsorted
+
+    texts = documents.withColumn(own, digest(F.col("text")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(there))
+    once = texts.join(named(decided.where("not kept or n > 1")), same, "left_anti").drop(own)
+    repeated = decided.where("kept and n > 1")
+    if repeated.isEmpty():
+        return once
+    some = texts.join(named(repeated), same, "left_semi").withColumn(key, F.col("doc_id").cast("long"))
+    return once.unionByName(some.dropDuplicates([key, own]).drop(key, own))

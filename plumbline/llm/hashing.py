@@ -1,7 +1,9 @@
 """Vectorised rolling hashes over bytes and over words.
 
 A hash of a window is a polynomial over the units' random 64-bit codes, modulo 2**64, moved to a
-common origin and mixed. All windows of one length cost a few passes over the array.
+common origin and mixed. All windows of one length cost a few passes over the array. Some texts have equal
+hashes under every seed (a Thue-Morse sequence and its complement), so these hashes only say where to
+look: what is equal is decided by bytes.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """One member of the hash family; two seeds give independent hashes."""
+    """One member of the hash family."""
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
@@ -58,6 +60,17 @@ class Rolling:
         return mix((p[k:] - p[:-k]) * self._powers(len(units))[1][: len(units) - k + 1])
 
 
+    def stretches(self, buf: np.ndarray, low: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+        """Hashes of stretches in order of their beginnings, some of the text at a time."""
+        out, a = np.empty(len(low), np.uint64), 0
+        while a < len(low):
+            b = max(a + 1, int(np.searchsorted(low, low[a] + most)))
+            base, top = int(low[a]), int((low[a:b] + size[a:b]).max())
+            out[a:b] = self.spans(self.prefix(self.codes[buf[base:top]]), low[a:b] - base, low[a:b] - base + size[a:b])
+            a = b
+        return out
+
+
 def word_spans(buf: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words [^\\x20\\x09-\\x0D]+ of concatenated texts, and each one's text number."""
     if not len(buf):

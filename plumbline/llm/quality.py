@@ -1,9 +1,8 @@
 """Quality classifier: hashed word n-gram logistic regression, trained by follow-the-regularised-leader.
 
-Features of a text: its words, its words' shapes (runs of small and capital letters, digits and other
-bytes as they are), pairs of neighbouring shapes, and pairs of a word with itself. All are hashed into
-one table; a feature's value is the root of its count, and a text's vector has length one. A score is
-the logistic function of the sparse dot product with the weights.
+Features of a text: its words, pairs and triples of neighbouring words, hashed into one table; a feature's value is
+the root of its count, and a text's vector has length one. A score is the logistic function of the
+sparse dot product with the weights.
 
 Training takes a bounded sample of the labelled rows (`max_train`, those with the smallest hash of the
 doc_id) in one task, since each update needs the one before; scoring takes all rows. The weights are a
@@ -25,18 +24,13 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import bounded, fresh
 from .hashing import Rolling, join_bytes, mix, word_spans
 
-_WORDS, _SHAPES = Rolling(21), Rolling(22)
-
-_CLASS = np.arange(256, dtype=np.uint8)
-_CLASS[ord("a") : ord("z") + 1] = ord("a")
-_CLASS[ord("A") : ord("Z") + 1] = ord("A")
-_CLASS[ord("0") : ord("9") + 1] = ord("0")
-_CLASS[0x80:] = ord("a")
+_WORDS = Rolling(21)
 
 
 @dataclass(frozen=True)
 class Settings:
     bits: int = 18
+    n_grams: int = 3
     max_train: int = 16_384
     epochs: int = 3
     alpha: float = 1.0
@@ -50,27 +44,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def features(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(texts: list[bytes], bits: int, n_grams: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, feature and value, in order of text and feature; every text has the feature 0 (the bias)."""
     buf, lengths = join_bytes(texts)
     start, end, doc = word_spans(buf, lengths)
-    word = _WORDS.spans(_WORDS.prefix(_WORDS.codes[buf]), start, end)
-    # shapes: classes of bytes, runs taken once, hashed over the bytes that are left
-    kind = _CLASS[buf]
-    left = np.ones(len(buf), bool)
-    left[1:] = kind[1:] != kind[:-1]
-    left[start] = True
-    before = np.concatenate([[0], np.cumsum(left)])
-    shape = _SHAPES.spans(_SHAPES.prefix(_SHAPES.codes[kind[left]]), before[start], before[end])
-    same = doc[1:] == doc[:-1]
-    pair = mix(shape[:-1] * np.uint64(3) + shape[1:])[same]
-    twice = np.flatnonzero(same & (word[1:] == word[:-1]))
-    n = len(texts)
-    size = np.uint64((1 << bits) - 1)
-    at = np.concatenate([doc, doc, doc[1:][same], doc[1:][twice]])
-    h = np.concatenate([word, shape ^ np.uint64(0x5A5A), pair, np.full(len(twice), mix(np.array([7], np.uint64))[0])])
-    key = (at.astype(np.uint64) << np.uint64(bits)) | (h % size + np.uint64(1))
-    key = np.sort(key)
+    gram = _WORDS.spans(_WORDS.prefix(_WORDS.codes[buf]), start, end)
+    word, keys, n, size = gram, [], len(texts), np.uint64((1 << bits) - 1)
+    for k in range(n_grams):
+        inside = doc[: len(gram)] == doc[k:]
+        keys.append((doc[: len(gram)][inside].astype(np.uint64) << np.uint64(bits)) | (mix(gram[inside] + np.uint64(k)) % size + np.uint64(1)))
+        gram = mix(gram[:-1] * np.uint64(3) + word[k + 1 :])
+    key = np.sort(np.concatenate(keys))
     new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     count = np.diff(new, append=len(key))
     key = key[new]
@@ -115,12 +99,12 @@ class FollowTheLeader:
         self.n[at] = after
 
 
-def _features(bits: int):
+def _features(s: Settings):
     def run(batches):
         for batch in batches:
             texts, rows = [x or b"" for x in batch["text"].to_pylist()], []
             for part in slices(texts):
-                at, feature, value = features(texts[part], bits)
+                at, feature, value = features(texts[part], s.bits, s.n_grams)
                 cut = np.searchsorted(at, np.arange(part.stop - part.start + 1))
                 rows += [(feature[a:b].tobytes(), value[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.record_batch(
@@ -155,7 +139,9 @@ def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
     known = known.where("doc_id is not null and label = most").select("doc_id", "label", place.alias("place"))
     sample = known.orderBy("place", "doc_id").limit(settings.max_train)  # bounded, so it may be broadcast
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = bounded(docs.join(F.broadcast(sample), "doc_id").select("place", "label", "text")).mapInArrow(_features(settings.bits), "place long, label int, feature binary, value binary")
+    # rows that share an id teach by one of their texts, so that rows are bounded too
+    docs = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "place", "label").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
+    rows = bounded(docs.select("place", "label", "text")).mapInArrow(_features(settings), "place long, label int, feature binary, value binary")
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(settings.epochs))))
     row = bounded(rows.repartition(1).sortWithinPartitions("epoch", "place", "feature")).mapInArrow(_train(settings), "weights binary").collect()
     return np.frombuffer(row[0]["weights"], np.float32) if row else np.zeros(1 << settings.bits, np.float32)
@@ -168,9 +154,10 @@ def score(documents: DataFrame, weights: np.ndarray, settings: Settings = Settin
 
     def run(batches):
         for batch in batches:
-            texts, out = [(x or "").encode() for x in batch.column(place).to_pylist()], [np.zeros(0)]
+            column = batch.column(place)
+            texts, out = [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()], [np.zeros(0)]
             for part in slices(texts):
-                at, feature, value = features(texts[part], settings.bits)
+                at, feature, value = features(texts[part], settings.bits, settings.n_grams)
                 dot = np.bincount(at, weights=sent.value[feature].astype(np.float64) * value, minlength=part.stop - part.start)
                 out.append(1 / (1 + np.exp(-np.clip(dot, -35, 35))))
             yield pa.record_batch([*batch.columns, pa.array(np.concatenate(out))], names=[*batch.schema.names, name])

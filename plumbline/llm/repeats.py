@@ -3,12 +3,13 @@
 A unit (word or byte) goes if a window of `window` units that covers it also starts in a document with
 a smaller id. The texts are packed into chunks where they are scanned, written once, and then:
 
-1. Anchors (words only). Fixed blocks of each document are the index, all rolling windows of a block's
-   length probe it. A chunk sends its distinct probes' short keys to buckets of their range, which
-   answer two bits a key: whether several documents have it, and whether one of them has indexed it.
-2. Pieces. A window's route is the smallest hash among its anchors that hit (words), or among its grams
-   (bytes): equal windows have equal routes. Runs of windows of one route are a piece of text. Equal
-   pieces of a chunk are sent once, with their smallest document, to the bucket of their route.
+1. Anchors. Words: fixed blocks of each document are the index, all rolling windows of a block's
+   length probe it. Bytes: a window's anchor is the least hash among its grams. A chunk sends its distinct
+   anchors' short keys to buckets of their range, which answer two bits a key: whether several documents
+   have it, and whether one of them has indexed it.
+2. Pieces. A window's route is the least of its anchors that hit: equal windows have equal routes. Runs of
+   windows of one route are a piece of text. Equal pieces of a chunk are sent once, with their smallest
+   document, to the bucket of their route.
 3. A bucket orders the windows of routes that several documents take, a bucket at a time, compares them
    byte for byte, and answers which windows start in a smaller document than their piece's.
 4. Chunks mark the units that flagged windows cover.
@@ -44,7 +45,7 @@ NO_ID = np.iinfo(np.int64).max
 class Plan:
     """unit: byte or word. window: units in a repeat. gram: units in a route's gram (words: in a block).
 
-    every: all copies go, the first too. chunk_bytes and bucket_bytes: None, by the size of the whole.
+    every: windows go that at least `need` documents have, a column of theirs, from all of them. chunk_bytes and bucket_bytes: None, by the size of the whole.
     """
 
     unit: str
@@ -53,14 +54,14 @@ class Plan:
     every: bool = False
     chunk_bytes: int | None = None
     bucket_bytes: int | None = None
-    slice_units: int = 1 << 20
+    slice_units: int | None = None
     heavy: float = 1e-5  # share of all grams from which a gram is chosen last
 
     def sized(self, total: int) -> Plan:
         root = math.isqrt(max(0, total))
         chunk = self.chunk_bytes or min(max(4 << 20, 8 * root), 64 << 20)
         bucket = self.bucket_bytes or min(max(6 << 20, 8 * root), 64 << 20)
-        return Plan(self.unit, self.window, self.gram, self.every, chunk, bucket, self.slice_units, self.heavy)
+        return Plan(self.unit, self.window, self.gram, self.every, chunk, bucket, self.slice_units or (1 << 20 if self.unit == "byte" else 1 << 17), self.heavy)
 
 
 @dataclass
@@ -74,6 +75,7 @@ class Units:
     count: np.ndarray
     start: np.ndarray | None = None
     end: np.ndarray | None = None
+    need: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.buf) if self.start is None else len(self.start)
@@ -194,66 +196,95 @@ def _pack(plan: Plan):
     def run(batches):
         task, n = TaskContext.get().partitionId() << 32, 0
 
-        def chunk(ids, texts):
+        def chunk(ids, texts, needs):
             u = _units(plan.unit, np.array(ids, np.int64), texts)
-            body = _packed(u.ids, np.array([len(x) for x in texts], np.int64), u.buf)
+            body = _packed(u.ids, np.array([len(x) for x in texts], np.int64), np.array(needs, np.int64), u.buf)
             return _rows(_CHUNK, [(task + n, len(u), body, _frequent(u, plan))]).to_batches()
 
-        ids, texts, size = [], [], 0
+        ids, texts, needs, size = [], [], [], 0
         for batch in batches:
-            for i, x in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for i, x, need in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["need"].to_pylist(), strict=True):
                 x = x or b""
                 ids.append(NO_ID if i is None else i)
+                needs.append(need)
                 texts.append(b" ".join(x.split()) if plan.unit == "word" else x)
                 size += len(x) + 16
                 if size >= plan.chunk_bytes:
-                    yield from chunk(ids, texts)
-                    ids, texts, size, n = [], [], 0, n + 1
+                    yield from chunk(ids, texts, needs)
+                    ids, texts, needs, size, n = [], [], [], 0, n + 1
         if ids:
-            yield from chunk(ids, texts)
+            yield from chunk(ids, texts, needs)
 
     return run
 
 
 def _open(plan: Plan, body: bytes) -> Units:
-    ids, lengths, buf = _unpacked(body, np.int64, np.int64, np.uint8)
+    ids, lengths, need, buf = _unpacked(body, np.int64, np.int64, np.int64, np.uint8)
     raw, ends = buf.tobytes(), np.cumsum(lengths).tolist()
-    return _units(plan.unit, ids, [raw[e - n : e] for e, n in zip(ends, lengths.tolist(), strict=True)])
+    u = _units(plan.unit, ids, [raw[e - n : e] for e, n in zip(ends, lengths.tolist(), strict=True)])
+    u.need = need
+    return u
 
 
 # -- anchors -------------------------------------------------------------------------------------------
 
 
 @dataclass
-class Probes:
-    """Distinct keys of a chunk's rolling windows of a block's length, in order; each window's key number (-1: none)."""
+class Anchors:
+    """Distinct keys of a chunk's anchors, in order; number: the key's number of each window or piece (-1: none)."""
 
     key: np.ndarray
     bucket: np.ndarray
     indexed: np.ndarray
     several: np.ndarray  # several documents of this chunk have it
     number: np.ndarray
-    hash: np.ndarray
 
 
-def _probes(u: Units, plan: Plan, buckets: int) -> Probes:
+def _anchors(key: np.ndarray, ids: np.ndarray, indexed: np.ndarray, buckets: int) -> Anchors:
+    order = np.argsort(key)
+    begin = _begins(key[order])
+    number = np.empty(len(key), np.int64)
+    number[order] = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(key)))
+    if not len(begin):
+        none = np.zeros(0, bool)
+        return Anchors(key, key.astype(np.int64), none, none, number)
+    who, key = ids[order], key[order][begin]
+    several = np.minimum.reduceat(who, begin) != np.maximum.reduceat(who, begin)
+    return Anchors(key, _bucket_of(key, buckets), np.logical_or.reduceat(indexed[order], begin), several, number)
+
+
+def _word_anchors(u: Units, plan: Plan, buckets: int) -> tuple[Anchors, np.ndarray]:
+    """Blocks that start at each word, as probes and, at every block's length, as the index; and their hashes by word."""
     h = np.concatenate([np.zeros(0, np.uint64), *(part[:n] for _, n, part in _grams(u, plan))])
     h = np.append(h, np.zeros(len(u) - len(h), np.uint64))
     at = np.flatnonzero(u.whole(plan.gram))
-    own = h[at]
-    order = np.argsort(own)
-    key = own[order]
-    begin = _begins(key)
-    number = np.full(len(u), -1, np.int64)
-    number[at[order]] = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(key)))
-    if not len(begin):
-        none = np.zeros(0, bool)
-        return Probes(key, key.astype(np.int64), none, none, number, h)
     doc = u.doc(at)
-    indexed = ((at - u.first[doc]) % plan.gram == 0)[order]
-    who = u.ids[doc][order]
-    several = np.minimum.reduceat(who, begin) != np.maximum.reduceat(who, begin)
-    return Probes(key[begin], _bucket_of(key[begin], buckets), np.logical_or.reduceat(indexed, begin), several, number, h)
+    found = _anchors(h[at], u.ids[doc], (at - u.first[doc]) % plan.gram == 0, buckets)
+    number = np.full(len(u), -1, np.int64)
+    number[at] = found.number
+    found.number = number
+    return found, h
+
+
+def _byte_anchors(u: Units, plan: Plan, buckets: int, heavy: Heavy) -> tuple[Anchors, tuple[np.ndarray, ...]]:
+    """Routes of all windows; and the runs of windows of one route: first window, windows, route."""
+    inner, whole = plan.window - plan.gram + 1, u.whole(plan.window)
+    runs = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for a, n, h in _grams(u, plan):
+        part = _least_within(heavy.last(h), inner) if len(h) >= inner else h[:0]
+        part = np.append(part, np.zeros(max(0, n - len(part)), np.uint64))[:n]
+        runs.append(_same_route(part, whole[a : a + n], a))
+    at, long, route = (np.concatenate(x) for x in zip(*runs, strict=True))
+    return _anchors(mix(route), u.ids[u.doc(at)], np.ones(len(at), bool), buckets), (at, long, route)
+
+
+def _same_route(route: np.ndarray, ok: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring windows of one route: the first, how many, the route."""
+    new, end = ok.copy(), ok.copy()
+    new[1:] &= ~ok[:-1] | (route[1:] != route[:-1])
+    end[:-1] &= ~ok[1:] | (route[1:] != route[:-1])
+    begin = np.flatnonzero(new)
+    return begin + offset, np.flatnonzero(end) + 1 - begin, route[begin]
 
 
 def _bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -267,14 +298,16 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(bucket[a]), slice(a, b)
 
 
-def _ask_anchors(plan: Plan, buckets: int):
+def _ask_anchors(plan: Plan, buckets: int, heavy: np.ndarray):
     def run(batches):
+        table = Heavy(heavy)
         for batch in batches:
             for chunk, body in zip(batch["chunk"].to_pylist(), batch["body"].to_pylist(), strict=True):
-                p = _probes(_open(plan, body), plan, buckets)
+                u = _open(plan, body)
+                p = (_word_anchors(u, plan, buckets) if plan.unit == "word" else _byte_anchors(u, plan, buckets, table))[0]
                 out = []
                 for b, s in _by_bucket(p.bucket):
-                    # within a bucket the keys' upper halves hardly differ: 32 bits of their middle tell them apart
+                    # within a bucket the keys' upper halves hardly differ: 32 mixed bits tell them apart
                     short = (mix(p.key[s]) >> np.uint64(32)).astype(np.uint32)
                     flags = np.packbits(np.concatenate([p.indexed[s], p.several[s]]))
                     out.append((b, chunk, np.int64(len(short)).tobytes() + short.tobytes() + flags.tobytes()))
@@ -310,7 +343,7 @@ def _answer_anchors(t: pa.Table) -> pa.Table:
     return _rows(_SAY, rows)
 
 
-def _anchor_bits(p: Probes, said: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _anchor_bits(p: Anchors, said: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
     shared, hit = np.zeros(len(p.key), bool), np.zeros(len(p.key), bool)
     for b, s in _by_bucket(p.bucket):
         if b in said:
@@ -356,7 +389,8 @@ class Heavy:
 class Pieces:
     """Distinct pieces of a chunk by bucket and route, and all their occurrences.
 
-    Of a distinct piece: route, bucket, an occurrence's first unit, windows, smallest and greatest id.
+    Of a distinct piece: route, bucket, an occurrence's first unit, windows, smallest id (every: what it
+    needs), and for `every` how many documents have it.
     Of an occurrence: first unit, windows, id, number of its distinct piece.
     """
 
@@ -365,7 +399,7 @@ class Pieces:
     unit: np.ndarray
     windows: np.ndarray
     least: np.ndarray
-    most: np.ndarray
+    docs: np.ndarray
     at: np.ndarray
     long: np.ndarray
     id: np.ndarray
@@ -380,48 +414,23 @@ def _span(u: Units, plan: Plan, at: np.ndarray, windows: np.ndarray) -> tuple[np
     return u.start[at], u.end[last] - u.start[at]
 
 
-def _pieces(u: Units, plan: Plan, buckets: int, heavy: Heavy, said: dict[int, bytes] | None) -> Pieces:
-    whole = u.whole(plan.window)
-    inner = plan.window - plan.gram + 1
-    at, long, route, content = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    if said is not None:
-        p = _probes(u, plan, buckets)
+def _pieces(u: Units, plan: Plan, buckets: int, anchor_buckets: int, heavy: Heavy, said: dict[int, bytes]) -> Pieces:
+    if plan.unit == "word":
+        p, h = _word_anchors(u, plan, anchor_buckets)
         shared, hit = (np.append(x, False)[p.number] for x in _anchor_bits(p, said))
         # a window is live if other documents have all its blocks and have indexed one; the least of these is its route
-        no = np.uint64(2**64 - 1)
-        key = np.where(hit, p.hash >> np.uint64(1), no)
-        key[~shared] = no
-        part = _least_within(key, inner)
+        inner, no = plan.window - plan.gram + 1, np.uint64(2**64 - 1)
+        least = _least_within(np.where(hit, h >> np.uint64(1), no), inner)
         dead = _least_within(shared.astype(np.uint8), inner) == 0
-        part = np.append(part, np.full(len(u) - len(part), no))
+        least = np.append(least, np.full(len(u) - len(least), no))
         dead = np.append(dead, np.ones(len(u) - len(dead), bool))
-        slices = [(0, len(u), part, whole & ~dead & (part != no))]
+        at, long, route = _same_route(least, u.whole(plan.window) & ~dead & (least != no), 0)
     else:
-
-        def each():
-            for a, n, h in _grams(u, plan):
-                part = _least_within(heavy.last(h), inner) if len(h) >= inner else h[:0]
-                part = np.append(part, np.zeros(max(0, n - len(part)), np.uint64))[:n]
-                yield a, n, part, whole[a : a + n]
-
-        slices = each()
-    h = _hash(12)
-    for a, n, part, ok in slices:
-        new = ok.copy()
-        new[1:] &= ~ok[:-1] | (part[1:] != part[:-1])
-        end = ok.copy()
-        end[:-1] &= ~ok[1:] | (part[1:] != part[:-1])
-        begin, stop = np.flatnonzero(new), np.flatnonzero(end) + 1
-        if not len(begin):
-            continue
-        at.append(begin + a)
-        long.append(stop - begin)
-        route.append(part[begin])
-        low, size = _span(u, plan, at[-1], long[-1])
-        base, top = int(low[0]), int(low[-1] + size[-1])
-        content.append(h.spans(h.prefix(h.codes[u.buf[base:top]]), low - base, low - base + size))
-    at, long, route, content = (np.concatenate(x) for x in (at, long, route, content))
+        p, (at, long, route) = _byte_anchors(u, plan, anchor_buckets, heavy)
+        live = _anchor_bits(p, said)[0][p.number]
+        at, long, route = at[live], long[live], route[live]
     low, size = _span(u, plan, at, long)
+    content = _hash(12).stretches(u.buf, low, size)
     bucket = _bucket_of(mix(route), buckets)
     order = np.lexsort((size, content, route, bucket))
     at, long, route, content, bucket, low, size = (x[order] for x in (at, long, route, content, bucket, low, size))
@@ -431,12 +440,12 @@ def _pieces(u: Units, plan: Plan, buckets: int, heavy: Heavy, said: dict[int, by
     # of equal hashes only equal bytes are one piece
     if not same_bytes(u.buf, low[begin][number], low, size).all():
         number, begin = _apart(u, low, size, begin)
-    ids = u.ids[u.doc(at)]
-    least = np.full(len(begin), NO_ID)
-    most = np.full(len(begin), np.iinfo(np.int64).min)
-    np.minimum.at(least, number, ids)
-    np.maximum.at(most, number, ids)
-    return Pieces(route[begin], bucket[begin], at[begin], long[begin], least, most, at, long, ids, number)
+    doc = u.doc(at)
+    ids, least, docs = u.ids[doc], np.full(len(begin), NO_ID), np.zeros(0, np.int64)
+    np.minimum.at(least, number, u.need[doc] if plan.every else ids)
+    if plan.every:
+        docs = np.bincount(np.unique(number * len(u.ids) + doc) // len(u.ids), minlength=len(begin))
+    return Pieces(route[begin], bucket[begin], at[begin], long[begin], least, docs, at, long, ids, number)
 
 
 def _apart(u: Units, low: np.ndarray, size: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -453,12 +462,21 @@ def _apart(u: Units, low: np.ndarray, size: np.ndarray, begin: np.ndarray) -> tu
     return number, np.array(first, np.int64)
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Bytes of the same rank together, so that the high ones compress away."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).reshape(-1)
+
+
+def _unplanes(x: np.ndarray, kind) -> np.ndarray:
+    return np.ascontiguousarray(x.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
 def _message(u: Units, plan: Plan, p: Pieces, s: slice) -> bytes:
     low, size = _span(u, plan, p.unit[s], p.windows[s])
     begin = np.cumsum(size) - size
     take = np.repeat(low - begin, size) + np.arange(int(size.sum()))
-    arrays = [p.route[s], size.astype(np.uint32), p.windows[s].astype(np.uint32), p.least[s]]
-    return _packed(*arrays, p.most[s] if plan.every else np.zeros(0, np.int64), u.buf[take])
+    route = (mix(p.route[s]) & np.uint64(2**32 - 1)).astype(np.uint32)
+    return _packed(route, _planes(size.astype(np.uint32)), _planes(p.least[s]), _planes(p.docs[s]) if plan.every else np.zeros(0, np.uint8), u.buf[take])
 
 
 def _send(plan: Plan, chunk: int, u: Units, p: Pieces) -> Iterator[pa.RecordBatch]:
@@ -472,44 +490,36 @@ def _send(plan: Plan, chunk: int, u: Units, p: Pieces) -> Iterator[pa.RecordBatc
     yield from _rows(_ASK, out).to_batches()
 
 
-def _ask_bytes(plan: Plan, buckets: int, heavy: np.ndarray):
-    def run(batches):
-        table = Heavy(heavy)
-        for batch in batches:
-            for chunk, body in zip(batch["chunk"].to_pylist(), batch["body"].to_pylist(), strict=True):
-                u = _open(plan, body)
-                yield from _send(plan, chunk, u, _pieces(u, plan, buckets, table, None))
-
-    return run
-
-
-def _ask_words(plan: Plan, buckets: int):
+def _ask_windows(plan: Plan, buckets: int, anchor_buckets: int, heavy: np.ndarray):
     def ask(chunks: pa.Table, said: pa.Table) -> pa.Table:
         if not chunks.num_rows or not said.num_rows:
             return _ASK.empty_table()
         u = _open(plan, chunks["body"][0].as_py())
         heard = dict(zip(said["bucket"].to_pylist(), said["bits"].to_pylist(), strict=True))
-        parts = list(_send(plan, chunks["chunk"][0].as_py(), u, _pieces(u, plan, buckets, Heavy(np.zeros(0, np.uint64)), heard)))
+        parts = list(_send(plan, chunks["chunk"][0].as_py(), u, _pieces(u, plan, buckets, anchor_buckets, Heavy(heavy), heard)))
         return pa.Table.from_batches(parts, schema=_ASK)
 
     return ask
 
 
 def _answer(plan: Plan) -> Callable[[pa.Table], pa.Table]:
-    """A window is flagged if a smaller id than its piece's smallest has it (every: if another id has it)."""
+    """A window is flagged if a smaller id than its piece's smallest has it (every: if as many documents have it as are needed)."""
 
     def answer(t: pa.Table) -> pa.Table:
-        parts = [_unpacked(body, np.uint64, np.uint32, np.uint32, np.int64, np.int64, np.uint8) for body in t["body"].to_pylist()]
-        route, size, windows, least, most, buf = (np.concatenate(x) for x in zip(*parts, strict=True))
-        if not plan.every:
-            most = least
-        counts = [int(x[2].sum()) for x in parts]
+        parts = [_unpacked(body, np.uint32, np.uint8, np.uint8, np.uint8, np.uint8) for body in t["body"].to_pylist()]
+        entries = np.array([len(x[0]) for x in parts])
+        route, buf = (np.concatenate([x[i] for x in parts]) for i in (0, 4))
+        size = np.concatenate([_unplanes(x[1], np.uint32) for x in parts]).astype(np.int64)
+        least = np.concatenate([_unplanes(x[2], np.int64) for x in parts])
+        docs = np.concatenate([_unplanes(x[3], np.int64) for x in parts])
         del parts
-        size, windows = size.astype(np.int64), windows.astype(np.int64)
+        windows = (size if plan.unit == "byte" else np.bincount(word_spans(buf, size)[2], minlength=len(size))) - plan.window + 1
+        counts = np.add.reduceat(windows, np.cumsum(entries) - entries).tolist()
         order = np.argsort(route)
         begin = _begins(route[order])
-        live = np.empty(len(route), bool)
-        live[order] = np.repeat(np.minimum.reduceat(least[order], begin) < np.maximum.reduceat(most[order], begin), np.diff(begin, append=len(route)))
+        live, own = np.empty(len(route), bool), least[order]
+        several = np.add.reduceat(docs[order], begin) >= np.minimum.reduceat(own, begin) if plan.every else np.minimum.reduceat(own, begin) < np.maximum.reduceat(own, begin)
+        live[order] = np.repeat(several, np.diff(begin, append=len(route)))
         flag = np.zeros(int(windows.sum()), bool)
         entry = np.flatnonzero(live)
         if len(entry):
@@ -530,9 +540,9 @@ def _answer(plan: Plan) -> Callable[[pa.Table], pa.Table]:
                 long = ends[begins_at + plan.window - 1] - start
             order, begin = equal_windows(text, own, n, start, plan.window if long is None else long)
             times = np.diff(begin, append=len(order))
-            lowest, highest = np.repeat(least[entry], m)[order], np.repeat(most[entry], m)[order]
+            lowest = np.repeat(least[entry], m)[order]
             if plan.every:
-                found = np.repeat(np.minimum.reduceat(lowest, begin) < np.maximum.reduceat(highest, begin), times)
+                found = np.repeat(np.add.reduceat(np.repeat(docs[entry], m)[order], begin), times) >= lowest
             else:
                 found = np.repeat(np.minimum.reduceat(lowest, begin), times) < lowest
             flag[at[order]] = found
@@ -560,7 +570,7 @@ def _gone(u: Units, plan: Plan, p: Pieces, said: dict[int, bytes]) -> np.ndarray
         if b in said:
             a, z = first[s.start], first[s.stop - 1] + p.windows[s.stop - 1]
             bits[a:z] = np.unpackbits(np.frombuffer(said[b], np.uint8), count=z - a)
-    own = (p.most > p.least)[p.number] if plan.every else p.id > p.least[p.number]
+    own = np.zeros(len(p.at), bool) if plan.every else p.id > p.least[p.number]
     starts = [p.at[own]]
     stops = [p.at[own] + p.long[own] + plan.window - 1]
     rest = np.flatnonzero(~own & (np.add.reduceat(bits, first, dtype=np.int64) > 0)[p.number]) if len(first) else np.zeros(0, np.int64)
@@ -582,7 +592,7 @@ def _finish(plan: Plan, buckets: int, anchor_buckets: int, heavy: np.ndarray, fi
         heard: dict[bool, dict[int, bytes]] = {True: {}, False: {}}
         for kind, b, bits in zip(said["anchors"].to_pylist(), said["bucket"].to_pylist(), said["bits"].to_pylist(), strict=True):
             heard[kind][b] = bits
-        p = _pieces(u, plan, buckets, Heavy(heavy), heard[True] if plan.unit == "word" else None)
+        p = _pieces(u, plan, buckets, anchor_buckets, Heavy(heavy), heard[True])
         ids = [None if i == NO_ID else i for i in u.ids.tolist()]
         return finish(u, ids, _gone(u, plan, p, heard[False]))
 
@@ -610,25 +620,21 @@ def remove_repeats(documents: DataFrame, plan: Plan, finish: Callable, schema: p
     """
     spark = documents.sparkSession
     plan = plan.sized(text_bytes(documents))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    need = F.col("need") if plan.every else F.lit(0).cast("long").alias("need")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), need)
     written = Written(bounded(docs).mapInArrow(_pack(plan), _ddl(_CHUNK)), "chunks", **{"parquet.block.size": str(16 << 20)})
     total = written.read().agg(F.coalesce(F.sum("units"), F.lit(0))).first()[0]
     chunks = bounded(written.read().select("chunk", "body"))
-    words = plan.unit == "word"
-    if words:
-        heavy = np.zeros(0, np.uint64)
-        buckets = max(4, math.ceil(4 * total / plan.bucket_bytes))
-        asked = chunks.mapInArrow(_ask_anchors(plan, buckets), _ddl(_ASK))
-        anchors = Written(asked.groupBy("bucket").applyInArrow(_answer_anchors, _ddl(_SAY)), "anchors")
-        del asked
-        free_shuffles(spark)
-        asked = chunks.groupBy("chunk").cogroup(anchors.read().groupBy("chunk")).applyInArrow(_ask_words(plan, buckets), _ddl(_ASK))
-    else:
-        heavy = _heavy_grams(written.read(), plan, total)
-        buckets = max(4, math.ceil(4 * total / plan.bucket_bytes))  # a piece of text is about four times what it adds
-        asked = chunks.mapInArrow(_ask_bytes(plan, buckets, heavy), _ddl(_ASK))
+    heavy = _heavy_grams(written.read(), plan, total) if plan.unit == "byte" else np.zeros(0, np.uint64)
+    # an anchor's key is 4 bytes, one for each word or 18 bytes; a piece of text is four times what it adds, a third of the text may be live
+    anchor_buckets, buckets = (max(4, math.ceil(x * total / plan.bucket_bytes)) for x in ((4, 8) if plan.unit == "word" else (0.25, 2)))
+    asked = chunks.mapInArrow(_ask_anchors(plan, anchor_buckets, heavy), _ddl(_ASK))
+    anchors = Written(asked.groupBy("bucket").applyInArrow(_answer_anchors, _ddl(_SAY)), "anchors")
+    del asked
+    free_shuffles(spark)
+    asked = chunks.groupBy("chunk").cogroup(anchors.read().groupBy("chunk")).applyInArrow(_ask_windows(plan, buckets, anchor_buckets, heavy), _ddl(_ASK))
     found = Written(asked.groupBy("bucket").applyInArrow(_answer(plan), _ddl(_SAY)), "flags")
     del asked
     free_shuffles(spark)
-    said = found.read().unionAll(anchors.read()) if words else found.read()
-    return chunks.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(_finish(plan, buckets, buckets, heavy, finish, schema), _ddl(schema))
+    said = found.read().unionAll(anchors.read())
+    return chunks.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(_finish(plan, buckets, anchor_buckets, heavy, finish, schema), _ddl(schema))

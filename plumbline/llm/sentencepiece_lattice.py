@@ -12,7 +12,8 @@ units, and units are sampled one by one without changing any share. Equal units
 share one forward pass. All is vectorised over a slice's units, one step of the lattice at a time.
 
 Text is taken as it is: no normalisation, no added space. A space is written as the piece character
-U+2581; characters without a piece, U+2581 itself among them, are spelt in byte pieces.
+U+2581; characters without a piece, U+2581 itself among them, and bytes that aren't UTF-8 are spelt in
+byte pieces. Hashes find pieces and group equal units; bytes decide.
 """
 
 from __future__ import annotations
@@ -27,12 +28,13 @@ from pyspark.sql import functions as F
 from .common import bounded
 from .hashing import Rolling, join_bytes, mix
 from .quality import slices
+from .suffix_order import eight_bytes, same_bytes, same_words
 
 #: The public vocabulary's place; a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 
-_HASH, _CHECK = Rolling(31), Rolling(32)
+_HASH = Rolling(31)
 
 
 @dataclass
@@ -47,6 +49,7 @@ class Vocabulary:
         self.size = np.array([len(p) for p in self.pieces])
         self.start = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(self.pieces), np.uint8)
+        self.words = eight_bytes(self.bytes)
         text = np.ones(len(self.pieces), bool)
         text[self.byte_ids] = False
         self.tables, prefixes = {}, {}
@@ -125,12 +128,17 @@ def _units(buf: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _distinct(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A representative of each distinct unit, and each unit's number."""
+    """A representative of each distinct unit, and each unit's number. A hash groups them, their bytes decide."""
     codes = _HASH.spans(_HASH.prefix(_HASH.codes[buf]), start, end)
-    check = _CHECK.spans(_CHECK.prefix(_CHECK.codes[buf]), start, end)
     _, first, number = np.unique(codes, return_index=True, return_inverse=True)
-    if (check[first][number] != check).any() or ((end - start)[first][number] != end - start).any():
-        _, first, number = np.unique(np.stack([codes, check], axis=1), axis=0, return_index=True, return_inverse=True)
+    if not (((end - start)[first][number] == end - start) & same_bytes(buf, start[first][number], start, np.minimum(end - start, (end - start)[first][number]))).all():
+        seen: dict[bytes, int] = {}
+        first, number = [], np.empty(len(start), np.int64)
+        for i, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
+            if (k := seen.setdefault(buf[a:b].tobytes(), len(first))) == len(first):
+                first.append(i)
+            number[i] = k
+        first = np.array(first)
     return first, number
 
 
@@ -148,6 +156,7 @@ class Lattice:
         prefix = _HASH.prefix(_HASH.codes[own])
         alive, begin, after, piece = np.arange(len(own)), [], [], []
         single = np.zeros(len(own), bool)  # has a piece for its one character
+        words = eight_bytes(own)
         lead = (own & 0xC0) != 0x80
         chars = np.where(own < 0x80, 1, np.where(own < 0xE0, 2, np.where(own < 0xF0, 3, 4)))
         alive = alive[lead]
@@ -159,13 +168,17 @@ class Lattice:
             if n in v.tables:
                 at, ids = v.tables[n].find(h)
                 at = alive[at]
+                same = same_words(words, at, v.words, v.start[ids], np.full(len(at), n))
+                at, ids = at[same], ids[same]
                 begin.append(at)
                 after.append(np.full(len(at), n))
                 piece.append(ids)
                 single[at[chars[at] == n]] = True
             alive = alive[v.prefixes[n].find(h)[0]] if n in v.prefixes else alive[:0]
-        # characters without a piece: a path of byte pieces
-        spelt = np.flatnonzero(~single[np.maximum.accumulate(np.where(lead, np.arange(len(own)), 0))])
+        # characters without a piece, and bytes of no character: a path of byte pieces
+        begins = np.flatnonzero(single)
+        inside = np.bincount(begins, minlength=len(own) + 1) - np.bincount(begins + chars[begins], minlength=len(own) + 1)
+        spelt = np.flatnonzero(np.cumsum(inside)[:-1] == 0)
         begin, after = np.concatenate([*begin, spelt]), np.concatenate([*after, np.ones(len(spelt), np.int64)])
         piece = np.concatenate([*piece, v.byte_ids[own[spelt]]]).astype(np.int64)
         source = node[begin]
@@ -280,7 +293,8 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = [None if p is None else decode(sent.value, np.array(p, np.int64)).decode() for p in batch["pieces"].to_pylist()]
-            yield pa.record_batch([batch["doc_id"], pa.array(out, pa.string())], names=["doc_id", "text"])
+            out = [None if p is None else decode(sent.value, np.array(p, np.int64)) for p in batch["pieces"].to_pylist()]
+            yield pa.record_batch([batch["doc_id"], pa.array(out, pa.binary())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "pieces").mapInArrow(run, "doc_id long, text string")
+    decoded = bounded(encoded.select("doc_id", "pieces")).mapInArrow(run, "doc_id long, text binary")
+    return decoded.select("doc_id", F.col("text").cast("string").alias("text"))  # as bytes so far: all of them come back

@@ -1,8 +1,8 @@
 """SimHash near-dedup by anchor-point covering.
 
 Anchors are the words of a covering code over the fingerprint's bits: a direct sum of perfect cyclic
-codes on separate blocks of bits (two binary Golay codes of length 23 and radius 3, and for very many
-fingerprints a Hamming code of length 15 and radius 1 as well). Each block lies within its radius r of
+codes on separate blocks of bits (two binary Golay codes of length 23 and radius 3, and a Hamming code of
+length 15 and radius 1): 2^35 anchors, so that few fingerprints share one at any size of the table. Each block lies within its radius r of
 exactly one code word, so each fingerprint has one home anchor. If x and y differ in at most t bits, t_i
 of them in block i, then y lies within r_i + t_i of x's home word in each block. So every distinct
 fingerprint goes to its home, and to all anchors within the radius plus the threshold; those that meet
@@ -26,8 +26,6 @@ from .components import connected_components
 
 #: Length, generator polynomial and radius of the perfect cyclic codes.
 GOLAY, HAMMING = (23, 0b110001110101, 3), (15, 0b10011, 1)
-#: From so many distinct fingerprints on, anchors have the third block too.
-MANY = 1 << 26
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -158,18 +156,17 @@ def simhash_links(nodes: DataFrame, threshold: int, codes: tuple) -> DataFrame:
     return probes.join(homes, "anchor").where(near & (F.col("fp") != F.col("fp2"))).select(F.greatest("node", "node2").alias("v"), F.least("node", "node2").alias("w"))
 
 
-def simhash_dedup(documents: DataFrame, shingle: int = 3, threshold: int = 2) -> DataFrame:
+def simhash_dedup(documents: DataFrame, shingle: int = 3, threshold: int = 2, codes: tuple = (GOLAY, GOLAY, HAMMING)) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every document.
 
     Documents whose fingerprints differ in at most `threshold` bits are linked; component_id is the
     smallest doc_id that links reach. Null and empty texts have fingerprint zero and are linked like any
     other. A row with a null doc_id is no one's component_id; it gets that of the others it reaches, null
-    if there are none. Repeated rows give repeated rows. Other columns are ignored.
+    if there are none. Repeated rows give repeated rows. Other columns are ignored. Any codes give the same links.
     """
     spark = documents.sparkSession
     prints = Written(fingerprints(documents, shingle), "fingerprints")
     nodes = Written(prints.read().where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    codes = (GOLAY, GOLAY) if nodes.read().count() < MANY else (GOLAY, GOLAY, HAMMING)
     free_shuffles(spark)
     found = connected_components(simhash_links(nodes.read(), threshold, codes))
     by_print = nodes.read().join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))

@@ -24,20 +24,24 @@ OFFSET = np.array([[min(d for d in range(PERIOD) if (a + d) % PERIOD in COVER an
 _HEAD = 3  # eight-byte words that are compared before ranks
 
 
-def same_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, step: int = 1 << 21) -> np.ndarray:
+def same_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """For each pair of stretches of one size: whether their bytes are equal."""
     out = a == b
     todo = np.flatnonzero(~out)
-    if not len(todo):
-        return out
-    # size - k bytes at a time, eight wide: pairs drop out at their first difference or their end
-    word = _words(buf)
-    at = np.zeros(len(todo), np.int64)
+    if len(todo):
+        word = eight_bytes(buf)
+        out[todo] = same_words(word, a[todo], word, b[todo], size[todo])
+    return out
+
+
+def same_words(one: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The same for stretches of two buffers, given as eight_bytes: pairs drop out at their first difference or their end."""
+    out = np.zeros(len(a), bool)
+    todo, at = np.arange(len(a)), np.zeros(len(a), np.int64)
     while len(todo):
         rest = size[todo] - at
-        x, y = word[a[todo] + at], word[b[todo] + at]
-        shift = (8 - np.minimum(rest, 8)).astype(np.uint64) * np.uint64(8)
-        equal = ((x ^ y) >> shift == 0) | (rest <= 0)
+        shift = (8 - np.clip(rest, 1, 8)).astype(np.uint64) * np.uint64(8)
+        equal = ((one[a[todo] + at] ^ other[b[todo] + at]) >> shift == 0) | (rest <= 0)
         done = equal & (rest <= 8)
         out[todo[done]] = True
         on = equal & ~done
@@ -45,7 +49,7 @@ def same_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray,
     return out
 
 
-def _words(buf: np.ndarray) -> np.ndarray:
+def eight_bytes(buf: np.ndarray) -> np.ndarray:
     """By position: the eight bytes from there on as a number that sorts like them; zeros after the end."""
     x = np.concatenate([buf, np.zeros(15, np.uint8)]).astype(np.uint16)
     x = x[:-1] << np.uint16(8) | x[1:]
@@ -76,7 +80,7 @@ def sample_ranks(word: np.ndarray, low: np.ndarray, size: np.ndarray, depth: int
 
 def suffix_order(text: np.ndarray, low: np.ndarray, size: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of the suffixes at `start` (of their pieces, at `low`), right for `depth` bytes at least; and the words of the text."""
-    word = np.concatenate([_words(text), np.zeros(depth + 8, np.uint64)])
+    word = np.concatenate([eight_bytes(text), np.zeros(depth + 8, np.uint64)])
     keys = [word[start + 8 * k] for k in range(_HEAD)]
     order = np.lexsort(keys[::-1])
     new = np.zeros(len(start), bool)
@@ -126,8 +130,7 @@ def equal_windows(text: np.ndarray, low: np.ndarray, size: np.ndarray, start: np
             x = word[at + k]
             new[1:] |= x[1:] != x[:-1]
         return order, np.flatnonzero(new)
-    h = Rolling(14)
-    key = h.spans(h.prefix(h.codes[text]), start, start + long)
+    key = Rolling(14).stretches(text, start, long)
     order = np.lexsort((long, key))
     begin_all, todo, out = [], order, []
     while len(todo):

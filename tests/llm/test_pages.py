@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
+import random
+import time
 import zlib
 
 import pytest
 
-from plumbline.llm.html_extract import blocks, extract_main_text, host_of
-from plumbline.llm.warc import WarcError, export_archives, read_files, read_records, warc_round_trip, write_archives, write_record
+from plumbline.llm import html_extract
+from plumbline.llm.html_extract import choose, extract_main_text, host_of, parse
+from plumbline.llm.warc import WarcError, export_archives, payload_digest, read_archives, read_files, read_records, warc_round_trip, write_archives, write_record
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x:1}</style><script>var t="</p><article>no</article>";</script></head>
 <body class="has-sidebar"><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><!-- an ad --><div class="ad-slot">buy</div>
@@ -18,10 +22,12 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x:1}</style><scrip
 <section id="comments"><p>first!</p></section><aside>see also</aside><footer>by me</footer></article><footer>&copy; all</footer></body></html>"""
 
 
+def main(page):
+    return choose(parse(page), {}, 10)
+
+
 def test_blocks():
-    inside, outside = blocks(PAGE)
-    assert inside == ["Big & small", "one two three", "four five <tag> © 5 &am", "x", "y"]
-    assert outside == []
+    assert main(PAGE) == ["Big & small", "one two three", "four five <tag> © 5 &am", "x", "y"]
 
 
 @pytest.mark.parametrize(
@@ -36,16 +42,92 @@ def test_blocks():
         ("<table><tr><td>a<td>b</tr><tr><td>c</table>", ["a b", "c"]),
         ("<p>&#8364;&#x20AC;&euro;</p>", ["€€€"]),
         ('<a href="x>y">link</a> <p title=\'a"b>c\'>t', ["link", "t"]),
+        ('<p class="a>b</p> c', ["b", "c"]),  # a quote that is never closed
+        ("<html><head><title>t</title><body><p>x", ["x"]),
+        ("<head><meta charset=x><p>x", ["x"]),  # a head that isn't ended
+        ("<ul><li hidden>a<li>b<ul><li>c</ul></ul>", ["b", "c"]),
         ("<nav>" * 3000 + "x", []),
     ],
 )
 def test_odd_pages(page, want):
-    inside, outside = blocks(page)
-    assert inside + outside == want
+    assert [b.text for b in parse(page).blocks] == want
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article><p>The body.</p><article class="comment"><p>A comment that is longer than the body.</p></article></article>', ["The body."]),
+        ('<article><p>The body.</p></article><article class="comment"><p>A comment that is longer than the body.</p></article>', ["The body."]),
+        ('<article class="ad sponsored"><p>Buy this, and that, and all of it.</p></article><article><p>The body.</p></article>', ["The body."]),
+        ('<article><p>Read also</p></article><div><p>The real body, which is so much longer than what the article element holds.</p></div>', ["The real body, which is so much longer than what the article element holds."]),
+        ('<article><div class="search-results-explained"><p>Text.</p></div></article>', ["Text."]),
+        ('<article><p class="social-history">Text.</p></article>', ["Text."]),
+        ("<main><p>The body, at some length.</p><article><p>Teaser</p></article></main><div>x</div>", ["The body, at some length."]),
+        ("<p>Text and more text.</p><ul><li><a href=x>Home</a><li><a href=y>About us and them</a></ul>", ["Text and more text."]),
+        ("<article></article><footer>f</footer>", []),
+    ],
+)
+def test_what_is_the_article(page, want):
+    assert main(page) == want
+
+
+@pytest.mark.parametrize("part", ['<a "', '<a x="', "<a x='", "<div>", "</div>", "<b>", "<p><b>", "<script", "<![", "<table><p>", "<ul><li>", '<div class="ad', "&amp", "<!--"])
+def test_hostile_pages_take_linear_time(part):
+    begin = time.process_time()
+    main(part * (1_000_000 // len(part)) + "</b>" * 100_000)
+    assert time.process_time() - begin < 60  # a quadratic parser takes hours
 
 
 def test_stray_end_tags_are_no_text():
-    assert blocks("<article><p>a</p></b></article></article><p>b")[0] == ["a"]
+    assert main("<article><p>a</p></b></article></article><p>b") == ["a"]
+
+
+def plain_cover(streams, run, need):
+    """By stream of (host, words), whether each word is in a run that as many streams of its host have as are needed."""
+    seen = {}
+    for n, (host, words) in enumerate(streams):
+        for i in range(len(words) - run + 1):
+            seen.setdefault((host, *words[i : i + run]), set()).add(n)
+    out = []
+    for host, words in streams:
+        marks = [False] * len(words)
+        for i in range(len(words) - run + 1):
+            if len(seen[(host, *words[i : i + run])]) >= need[host]:
+                marks[i : i + run] = [True] * run
+        out.append(marks)
+    return out
+
+
+def test_host_array_equals_brute_force(spark):
+    rng = random.Random(4)
+    common = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 16))) for _ in range(8)]
+    rows, sources = [], {}
+    for i in range(60):
+        parts = [rng.choice(common) if rng.random() < 0.6 else " ".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(5)]
+        host = rng.choice(["x.org", "x.org", "y.org"])
+        sources[i] = (host, parts)
+        rows.append((i, f"http://{host}/{i}", "".join(f"<div>{p}</div>" for p in parts)))
+    need = {h: max(3, math.ceil(0.3 * sum(x[0] == h for x in sources.values()))) for h in ("x.org", "y.org")}
+    cover = plain_cover([(h, [w for p in parts for w in [*p.split(), ""]]) for h, parts in sources.values()], 6, need)
+    got = {r.page_id: r.text for r in extract_main_text(pages(spark, rows), run=6).collect()}
+    assert any(map(any, cover))
+    for i, (_, parts) in sources.items():
+        want, at = [], 0
+        for p in parts:
+            n = len(p.split())
+            want.append(html_extract._unique_part(p.split(), cover[i][at : at + n], 6))
+            at += n + 1
+        assert got[i] == "\n\n".join(x for x in want if x)
+
+
+def test_hints_in_an_article_need_the_host(spark):
+    """A class that may be furniture's goes where the host repeats its text, and stays where it doesn't."""
+    promo = "get the best of our stories in your mailbox every single week for free"
+    body = "<article><p>Story {0} of {0} words.</p><p class='newsletter-story'>{1}</p></article>"
+    rows = [(i, f"http://a.org/{i}", body.format(i, promo)) for i in range(6)] + [(i, f"http://b.org/{i}", body.format(i, f"a letter of {i} that says what only {i} can say at such a length {i}")) for i in range(6, 12)]
+    got = {r.page_id: r.text for r in extract_main_text(pages(spark, rows)).collect()}
+    assert got[0] == "Story 0 of 0 words."
+    assert got[7].startswith("Story 7 of 7 words.\n\na letter of 7")
 
 
 def pages(spark, rows):
@@ -113,6 +195,35 @@ def test_files_round_trip(spark, tmp_path):
         assert zlib.decompress(f.read_bytes(), 31).startswith(b"WARC/1.1\r\n")
 
 
+def foreign(headers, block, version=b"WARC/1.0"):
+    lines = b"".join(f"{k}: {v}\r\n".encode() for k, v in headers.items())
+    return zlib.compress(version + b"\r\n" + lines + b"Content-length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n", wbits=31)
+
+
+def test_archives_of_other_writers(spark):
+    http = b"HTTP/1.1 200 OK\r\nserver: x\r\nTransfer-Encoding: chunked\r\n\r\n"
+    archive = b"".join(
+        [
+            foreign({"warc-type": "warcinfo", "Content-Type": "application/warc-fields"}, b"software: x\r\n"),
+            foreign({"WARC-Type": "request", "Content-Type": "application/http; msgtype=request"}, b"GET / HTTP/1.1\r\nHost: x\r\n\r\n"),
+            foreign({"WARC-TYPE": "response", "content-type": "application/http;msgtype=response", "WARC-Target-URI": "http://x/", "WARC-Payload-Digest": "sha1:" + payload_digest(b"hello")}, http + b"5\r\nhello\r\n0\r\n\r\n"),
+            foreign({"WARC-Type": "response", "Content-Type": "application/http"}, b"HTTP/1.0 200 OK\r\nX: a\r\n b\r\n\r\nno length"),
+            foreign({"WARC-Type": "resource", "Content-Type": "text/plain", "WARC-Block-Digest": "sha256:" + hashlib.sha256(b"text").hexdigest()}, b"text"),
+            foreign({"WARC-Type": "metadata", "WARC-Block-Digest": "blake3:zzz"}, b"a: b"),
+            foreign({"WARC-Type": "revisit", "Content-Type": "application/http", "WARC-Profile": "http://x/server-not-modified"}, b"HTTP/1.1 304 Not Modified\r\nContent-Length: 77\r\n\r\n"),
+        ]
+    )
+    got = list(read_records(archive, piece=11))
+    assert [r.kind for r in got] == ["warcinfo", "request", "response", "response", "resource", "metadata", "revisit"]
+    assert (got[3].payload, got[3].http.get("x"), got[3].length) == (b"no length", "a b", 9)
+    assert got[6].length == 77
+    rows = read_archives(spark.createDataFrame([(bytearray(archive),)], "archive binary")).collect()
+    assert [(r.record_type, r.payload_bytes, r.page_id) for r in rows][3:5] == [("response", 9, None), ("resource", 4, None)]
+    assert rows[2].target_uri == "http://x/" and rows[4].payload_digest == payload_digest(b"text")
+    with pytest.raises(WarcError, match="block digest"):
+        list(read_records(foreign({"WARC-Type": "resource", "WARC-Block-Digest": "md5:" + "0" * 32}, b"text")))
+
+
 def test_a_broken_archive_is_refused():
     a = write_record(1, "http://x", b"hello", 5, sha(b"hello"), None)
     b = write_record(2, "http://y", b"world", 5, sha(b"world"), None)
