@@ -3,11 +3,12 @@
 A page is parsed in one pass into blocks of text; elements that HTML itself sets apart (scripts, menus,
 footers, forms, asides, hidden parts) go. Each block belongs to its innermost article or main element, or
 to none. The blocks that structure leaves open (those outside articles, and those inside one whose class
-only hints at furniture) are the page's token stream. The streams of a host are concatenated, and the
+hints at furniture) are the page's token stream. The streams of a host are concatenated, and the
 engine of repeats.py finds every run of `run` tokens that a share of the host's distinct pages have (a host
 may hold a third of all pages, so no host is ever in one task). These runs are covered by boilerplate:
 
-* a page without an article keeps what isn't covered: its unique runs;
+* a page without an article keeps what isn't covered: its unique runs. What some pages name an advert by its class,
+  and so drop, is in the streams too, and uncovers the same text on pages that don't;
 * covered text doesn't count when the text outside articles is held against that inside;
 * in an article a block goes if its class hints at furniture and it is covered. Neither is enough alone: hosts
   publish the same sentences and articles on many pages, and these are text.
@@ -78,6 +79,7 @@ class Block:
     linked: int  # characters in links
     group: int
     hint: bool  # a class has a part that could be furniture's
+    named: bool  # a class or id is furniture's name: never the article's, but it shows what the host repeats
 
     @property
     def prose(self) -> int:
@@ -114,9 +116,9 @@ class _Parser:
         self.out = Page([], [], [])
         self.text: list[str] = []
         self.linked = 0
-        self.stack: list[tuple] = []  # name, opened a group, dropped, hints, is a link
+        self.stack: list[tuple] = []  # name, opened a group, dropped, hints, named, is a link
         self.open: dict[str, list[int]] = {}
-        self.group, self.dropped, self.hints, self.links = _NONE, 0, 0, 0
+        self.group, self.dropped, self.hints, self.named, self.links = _NONE, 0, 0, 0, 0
 
     def run(self) -> Page:
         page, at, n = self.page, 0, len(self.page)
@@ -141,7 +143,7 @@ class _Parser:
 
     def flush(self) -> None:
         if block := " ".join("".join(self.text).split()):
-            self.out.blocks.append(Block(block, min(self.linked, len(block)), self.group, self.hints > 0))
+            self.out.blocks.append(Block(block, min(self.linked, len(block)), self.group, self.hints > 0, self.named > 0))
         self.text.clear()
         self.linked = 0
 
@@ -197,33 +199,34 @@ class _Parser:
         self.breaks(name)
         if name in _VOID:
             return at
-        drops, hints = self.judge(name, attributes)
-        holds = name in ("article", "main") and not self.dropped and not drops
-        if (drops or hints or holds) and not self.dropped:
+        drops, named, hints = self.judge(name, attributes)
+        holds = name in ("article", "main") and not self.dropped and not named and not drops
+        if (drops or named or hints or holds) and not self.dropped:
             self.flush()
         self.open.setdefault(name, []).append(len(self.stack))
-        self.stack.append((name, self.group if holds else None, drops, hints, name == "a"))
+        self.stack.append((name, self.group if holds else None, drops, named, hints, name == "a"))
         if holds:
             self.out.parents.append(self.group)
             self.out.names.append(name)
             self.group = len(self.out.parents) - 1
         self.dropped += drops
+        self.named += named
         self.hints += hints
         self.links += name == "a"
         return at
 
-    def judge(self, name: str, attributes: dict[str, str]) -> tuple[bool, bool]:
-        """Whether an element is furniture for certain, and whether it may be."""
+    def judge(self, name: str, attributes: dict[str, str]) -> tuple[bool, bool, bool]:
+        """Whether an element is set apart by HTML itself, is named as furniture, and may be furniture."""
         if name in _DROPPED or (name == "header" and self.group == _NONE):
-            return True, False
+            return True, False, False
         if not attributes or name in ("html", "body", "main"):
-            return False, False
+            return False, False, False
         if "hidden" in attributes or attributes.get("aria-hidden") == "true" or _HIDDEN.search(attributes.get("style", "").lower()):
-            return True, False
+            return True, False, False
         if _ROLES.intersection(attributes.get("role", "").lower().split()):
-            return True, False
+            return True, False, False
         named, hint = _furniture(f"{attributes.get('class', '')} {attributes.get('id', '')}")
-        return named, hint and not named and name != "article"
+        return False, named, hint and not named and name != "article"
 
     def breaks(self, name: str) -> None:
         if not self.dropped:
@@ -241,13 +244,14 @@ class _Parser:
         """Everything down to the innermost open element of that name."""
         to = self.open[name][-1]
         while len(self.stack) > to:
-            top, around, drops, hints, link = self.stack.pop()
+            top, around, drops, named, hints, link = self.stack.pop()
             self.open[top].pop()
-            if (drops or hints or around is not None) and not self.dropped:
+            if (drops or named or hints or around is not None) and not self.dropped:
                 self.flush()
             if around is not None:
                 self.group = around
             self.dropped -= drops
+            self.named -= named
             self.hints -= hints
             self.links -= link
 
@@ -258,7 +262,7 @@ def parse(page: str) -> Page:
 
 def _ambiguous(p: Page) -> list[int]:
     """Blocks of which structure doesn't say whether they are the article's, by number."""
-    return [i for i, b in enumerate(p.blocks) if b.hint or b.group == _NONE or p.names[b.group] == "main"]
+    return [i for i, b in enumerate(p.blocks) if b.hint or b.named or b.group == _NONE or p.names[b.group] == "main"]
 
 
 def _unique_part(words: list[str], covered: list[bool], run: int) -> str:
@@ -274,9 +278,11 @@ def _unique_part(words: list[str], covered: list[bool], run: int) -> str:
 
 def choose(p: Page, covered: dict[int, list[bool]], run: int) -> list[str]:
     """The article's blocks. covered: by ambiguous block, whether each of its words is in a run that the host repeats."""
-    texts = [b.text for b in p.blocks]
+    texts = ["" if b.named else b.text for b in p.blocks]
     for i, marks in covered.items():
         b = p.blocks[i]
+        if b.named:
+            continue
         if b.group == _NONE or p.names[b.group] == "main":
             texts[i] = _unique_part(b.text.split(" "), marks, run)
         elif b.hint and 5 * sum(marks) >= 4 * len(marks):

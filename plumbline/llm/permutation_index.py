@@ -1,16 +1,17 @@
 """Approximate nearest neighbours by a permutation index.
 
-Pivots are a bounded sample of the vectors. A vector is represented by its nearest pivots in order, and
-posted in the inverted file of each of them with its place. A query adds up the files of its own nearest
-pivots: with l pivots a vector and place l for the others, Spearman's footrule is l(l+1) less twice the
-sum of l - max(place in query, place in vector) over the common pivots. The candidates are reranked by
-exact distance in the order of their footrule, a batch at a time, until `patience` batches running no
-longer change the nearest: a dense cluster, whose footrules hardly differ, is gone through as far as it
-takes.
-
-Vectors are in blocks of fixed size, each with its own inverted files, and the stated queries are in
-blocks too; a pair of blocks is a task's unit. Each block contributes its share of candidates, so recall
-doesn't depend on how the rows are dealt out. Equal vectors of a block are one candidate that stands for all its ids.
+Pivots are a bounded sample of the vectors, about 8 for each root of their number. A vector is represented
+by its `length` nearest pivots in order, and posted in the inverted files of the first `posted` of them. A
+query visits the files of its own nearest pivots only. What it finds there is ranked by Spearman's footrule (with l
+places and l for the pivots that aren't among them: l(l+1) less twice the sum of l - max(place in query, place
+in vector) over the common pivots), and the best part is reranked by exact distance.
+
+Files are dealt into buckets of bounded size; a task has a bucket's files and the queries that visit one
+of them. Of equal vectors only as many are posted as a query can want, those with the smallest ids, and
+equal query vectors are searched once, so a vector that a third of all rows share is no hot key.
+
+How much must be visited is the data's: where distances hardly differ (vectors spread evenly over a sphere) a tenth of
+the files is needed for a recall of 0.9, and the work per query still grows with the table; `reach` says how many.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Written, free_shuffles
+from .common import Written, bounded, free_shuffles
 
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_POST = "bucket int, vec_id long, near binary, embedding array<double>"
 
 
 def valid_vectors(embeddings: DataFrame) -> DataFrame:
@@ -51,90 +53,108 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray
     return np.argsort(far, axis=1, kind="stable")[:, :length]
 
 
-class InvertedFiles:
-    """For each pivot: the vectors that have it among their nearest, and length - place."""
+def closeness(near: np.ndarray, mine: np.ndarray, pivots: int, length: int) -> np.ndarray:
+    """l(l+1)/2 less half the footrule distance between a query's pivots and each vector's, of which the first l count."""
+    place = np.full(pivots, length)
+    place[mine[:length]] = np.arange(min(length, len(mine)))
+    return np.maximum(length - np.maximum(place[near[:, :length]], np.arange(min(length, near.shape[1]))), 0).sum(axis=1)
+
+
+def _post(pivots: np.ndarray, length: int, posted: int, visited: int, buckets: int, queries: bool):
+    """A row for each bucket that holds one of a vector's files; of a query, one of the files that it visits."""
+
+    def run(batches):
+        for batch in batches:
+            x, ids = _matrix(batch["embedding"]), batch["vec_id"].to_numpy(zero_copy_only=False)
+            for a in range(0, len(x), 1024):
+                near = nearest_pivots(x[a : a + 1024], pivots, max(length, visited if queries else posted)).astype(np.int32)
+                own = np.sort(near[:, : visited if queries else posted] % buckets, axis=1)
+                new = np.ones(own.shape, bool)
+                new[:, 1:] = own[:, 1:] != own[:, :-1]
+                at, _ = np.nonzero(new)
+                rows = [r.tobytes() for r in near]
+                yield pa.record_batch(
+                    [
+                        pa.array(own[new].astype(np.int32)),
+                        pa.array(ids[a : a + 1024][at]),
+                        pa.array([rows[i] for i in at], pa.binary()),
+                        batch["embedding"].slice(a, 1024).take(pa.array(at)),
+                    ],
+                    names=["bucket", "vec_id", "near", "embedding"],
+                )
 
-    def __init__(self, near: np.ndarray, pivots: int):
-        n, self.length = near.shape
-        self.n = n
-        flat = near.ravel()
-        order = np.argsort(flat, kind="stable")
-        self.rows = (order // self.length).astype(np.int32)
-        self.credit = (self.length - order % self.length).astype(np.int32)
-        self.first = np.searchsorted(flat[order], np.arange(pivots + 1))
-
-    def closeness(self, near: np.ndarray) -> np.ndarray:
-        """l(l+1)/2 less half the footrule distance, for all vectors."""
-        out = np.zeros(self.n, np.int32)
-        for place, p in enumerate(near):
-            a, b = self.first[p], self.first[p + 1]
-            out[self.rows[a:b]] += np.minimum(self.credit[a:b], self.length - place)
-        return out
+    return run
 
 
-def _search(pivots: np.ndarray, length: int, k: int, share: float, least: int, patience: int):
+def _search(pivots: int, length: int, posted: int, visited: int, buckets: int, k: int, share: float, least: int):
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         if not vectors.num_rows or not queries.num_rows:
             return _OUT.empty_table()
-        x, ids = _matrix(vectors["embedding"]), vectors["vec_id"].to_numpy()
-        q, asked = _matrix(queries["embedding"]), queries["vec_id"].to_numpy()
-        order = np.lexsort((ids, *x.T[::-1]))
-        x, ids = x[order], ids[order]
-        new = np.r_[True, (x[1:] != x[:-1]).any(axis=1)]
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(x))
-        x = x[first]
-        files = InvertedFiles(nearest_pivots(x, pivots, length), len(pivots))
-        most = min(len(x), max(least, math.ceil(share * len(x))))
-        out = []
-        for vector, me, near in zip(q, asked, nearest_pivots(q, pivots, length), strict=True):
-            close = files.closeness(near)
-            order = np.argsort(-close, kind="stable")
-            distance, best, idle = np.empty(len(x)), order[:0], 0
-            for begin in range(0, len(x), most):
-                batch = order[begin : begin + most]
-                distance[batch] = np.sqrt(((x[batch] - vector) ** 2).sum(axis=1))
-                both = np.concatenate([best, batch])
-                both = both[np.argsort(distance[both], kind="stable")]
-                # with every candidate as near as the last one wanted
-                both = both[distance[both] <= distance[both[min(k, len(both) - 1)]]]
-                idle = idle + 1 if np.isin(both, best).all() else 0
-                if idle == patience:
-                    break
-                best = both
-            rows = [(d, i) for b, d in zip(best, distance[best], strict=True) for i in ids[first[b] : min(last[b], first[b] + k + 1)] if i != me]
-            out += [(me, i, d) for d, i in sorted(rows)[:k]]
-        return pa.table([pa.array([r[j] for r in out], f.type) for j, f in enumerate(_OUT)], schema=_OUT)
+        bucket = vectors["bucket"][0].as_py()
+        order = np.argsort(vectors["vec_id"].to_numpy())  # ties to the smaller id
+        x, ids = _matrix(vectors["embedding"])[order], vectors["vec_id"].to_numpy()[order]
+        near = np.stack([np.frombuffer(b, np.int32) for b in vectors["near"].to_pylist()])[order]
+        # the bucket's inverted files
+        row, place = np.nonzero(near[:, :posted] % buckets == bucket)
+        pivot = near[row, place]
+        by_pivot = np.argsort(pivot, kind="stable")
+        row, pivot = row[by_pivot], pivot[by_pivot]
+        asked, out = queries["vec_id"].to_pylist(), [[], [], []]
+        for vector, me, mine in zip(_matrix(queries["embedding"]), asked, queries["near"].to_pylist(), strict=True):
+            mine = np.frombuffer(mine, np.int32)
+            files = mine[:visited][mine[:visited] % buckets == bucket]
+            first, last = np.searchsorted(pivot, files, "left"), np.searchsorted(pivot, files, "right")
+            found = np.zeros(len(x), bool)
+            for a, b in zip(first.tolist(), last.tolist(), strict=True):
+                found[row[a:b]] = True
+            found = np.flatnonzero(found)
+            most = max(least, math.ceil(share * len(found)))
+            if len(found) > most:
+                close = closeness(near[found], mine, pivots, length)
+                found = np.sort(found[np.argsort(-close, kind="stable")[:most]])
+            distance = np.sqrt(((x[found] - vector) ** 2).sum(axis=1))
+            best = np.argsort(distance, kind="stable")[: k + 1]
+            out[0] += [me] * len(best)
+            out[1] += ids[found[best]].tolist()
+            out[2] += distance[best].tolist()
+        return pa.table([pa.array(c, f.type) for c, f in zip(out, _OUT, strict=True)], schema=_OUT)
 
     return run
 
 
 def nearest(
-    embeddings: DataFrame, every: int = 100, k: int = 10, pivots: int = 256, length: int = 128, share: float = 0.04, least: int = 320, patience: int = 2, block: int = 8192, queries: int = 4096
+    embeddings: DataFrame, every: int = 100, k: int = 10, density: float = 8.0, length: int = 64, posted: int = 4, reach: float = 0.1, visited: int = 128, share: float = 0.3, least: int = 320, block: int = 32_768
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by `every`.
 
     Nearness: Euclidean distance in double precision, ties to the smaller vec_id; a row isn't its own
     neighbour. Rows that valid_vectors leaves out take no part. At most k rows a query, all there are if
-    fewer; an empty table gives none. share and least: how many of a block's vectors are reranked at a
-    time. Other columns are ignored.
+    fewer; an empty table gives none. density: pivots for each root of the number of vectors, 65,536 at most.
+    reach and visited: the share of all files that a query visits, and how many at least. share and least: how
+    many of a bucket's candidates are reranked. block: postings in a bucket. Other columns are ignored.
     """
     spark = embeddings.sparkSession
-    rows = Written(valid_vectors(embeddings), "vectors")
+    v = Written(valid_vectors(embeddings), "vectors").read()
     free_shuffles(spark)
-    v = rows.read()
-    sample = v.orderBy(F.xxhash64(F.lit(7), "vec_id"), "vec_id").select("embedding").limit(pivots).collect()
-    chosen = np.unique(np.array([r[0] for r in sample], np.float64).reshape(len(sample), len(sample[0][0]) if sample else 0), axis=0)
-    length = max(1, min(length, (len(chosen) + 1) // 2))
     total = v.count()
-    asked = v.where(F.pmod("vec_id", F.lit(every)) == 0)
-    n_blocks, q_blocks = max(1, math.ceil(total / block)), max(1, math.ceil(asked.count() / queries))
-
-    def deal(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-
-    left = deal(v, "vb", n_blocks, "qb", q_blocks).groupBy("vb", "qb")
-    right = deal(asked, "qb", q_blocks, "vb", n_blocks).groupBy("vb", "qb")
-    found = left.cogroup(right).applyInArrow(_search(chosen, length, k, share, least, patience), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    count = min(65_536, max(64, int(density * math.sqrt(total))))
+    sample = v.orderBy(F.xxhash64(F.lit(7), "vec_id"), "vec_id").select("embedding").limit(count).collect()
+    pivots = np.unique(np.array([r[0] for r in sample], np.float64).reshape(len(sample), len(sample[0][0]) if sample else 0), axis=0)
+    length, posted = max(1, min(length, (len(pivots) + 1) // 2)), min(posted, max(1, len(pivots)))
+    visited = min(len(pivots), max(visited, math.ceil(reach * len(pivots))))
+    buckets = max(8, math.ceil(total * posted / block))
+    # of equal vectors the k + 1 smallest ids can be wanted: k, and the query's own
+    copies = v.withColumn("copy", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("copy") <= k + 1).select("vec_id", "embedding")
+    queries = v.where(F.pmod("vec_id", F.lit(every)) == 0)
+    asked = Written(queries.groupBy("embedding").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "embedding"), "asked").read()
+    posts = bounded(copies).mapInArrow(_post(pivots, length, posted, visited, buckets, False), _POST)
+    visits = bounded(asked).mapInArrow(_post(pivots, length, posted, visited, buckets, True), _POST)
+    search = _search(len(pivots), length, posted, visited, buckets, k, share, least)
+    found = posts.groupBy("bucket").cogroup(visits.groupBy("bucket")).applyInArrow(search, "query_id long, vec_id long, score double").distinct()
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    found = Written(found.withColumn("place", best).where(F.col("place") <= k + 1), "found").read()
+    lists = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("best"))  # k + 1 at most
+    own = queries.join(asked.select(F.col("vec_id").alias("query_id"), "embedding"), "embedding").select("query_id", F.col("vec_id").alias("me"))
+    free_shuffles(spark)
+    rows = own.join(lists, "query_id").select("me", F.posexplode(F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("me")), 1, k)).alias("pos", "b"))
+    return rows.select(F.col("me").alias("query_id"), (F.col("pos") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))

@@ -10,8 +10,8 @@ a smaller id. The texts are packed into chunks where they are scanned, written o
 2. Pieces. A window's route is the least of its anchors that hit: equal windows have equal routes. Runs of
    windows of one route are a piece of text. Equal pieces of a chunk are sent once, with their smallest
    document, to the bucket of their route.
-3. A bucket orders the windows of routes that several documents take, a bucket at a time, compares them
-   byte for byte, and answers which windows start in a smaller document than their piece's.
+3. A bucket brings equal pieces together. Where several pieces share a route, it orders their windows,
+   byte for byte. It answers which windows start in a smaller document than their piece's.
 4. Chunks mark the units that flagged windows cover.
 
 Hashes only say where a window goes and which can be left out because no other document has its
@@ -439,7 +439,7 @@ def _pieces(u: Units, plan: Plan, buckets: int, anchor_buckets: int, heavy: Heav
     number = np.repeat(np.arange(len(begin)), times)
     # of equal hashes only equal bytes are one piece
     if not same_bytes(u.buf, low[begin][number], low, size).all():
-        number, begin = _apart(u, low, size, begin)
+        number, begin = _apart(u.buf, low, size, begin)
     doc = u.doc(at)
     ids, least, docs = u.ids[doc], np.full(len(begin), NO_ID), np.zeros(0, np.int64)
     np.minimum.at(least, number, u.need[doc] if plan.every else ids)
@@ -448,13 +448,13 @@ def _pieces(u: Units, plan: Plan, buckets: int, anchor_buckets: int, heavy: Heav
     return Pieces(route[begin], bucket[begin], at[begin], long[begin], least, docs, at, long, ids, number)
 
 
-def _apart(u: Units, low: np.ndarray, size: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _apart(buf: np.ndarray, low: np.ndarray, size: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and first occurrences of distinct pieces where equal hashes hide different bytes."""
     number, first = np.empty(len(low), np.int64), []
     for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(low)], strict=True):
         seen: dict[bytes, int] = {}
         for i in range(a, b):
-            text = u.buf[low[i] : low[i] + size[i]].tobytes()
+            text = buf[low[i] : low[i] + size[i]].tobytes()
             if text not in seen:
                 seen[text] = len(first)
                 first.append(i)
@@ -502,6 +502,45 @@ def _ask_windows(plan: Plan, buckets: int, anchor_buckets: int, heavy: np.ndarra
     return ask
 
 
+def _distinct(buf: np.ndarray, low: np.ndarray, size: np.ndarray, route: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pieces by route: an entry of each; and each entry's piece. Hashes bring equal ones together, bytes decide."""
+    content = _hash(12).stretches(buf, low, size)
+    order = np.lexsort((size, content, route))
+    begin = _begins(route[order], content[order], size[order])
+    number = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(order)))
+    if not same_bytes(buf, low[order[begin]][number], low[order], size[order]).all():
+        number, begin = _apart(buf, low[order], size[order], begin)
+    piece = np.empty(len(order), np.int64)
+    piece[order] = number
+    return order[begin], piece
+
+
+def _by_window(plan: Plan, buf: np.ndarray, low: np.ndarray, size: np.ndarray, windows: np.ndarray, route: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For each window of distinct pieces, by route: the least value of the pieces that have it (every: their sum)."""
+    out = np.repeat(value, windows)
+    begin = _begins(route)
+    several = np.repeat(np.diff(begin, append=len(route)) > 1, np.diff(begin, append=len(route)))
+    some = np.flatnonzero(several)  # a route's only piece has its windows for itself
+    if not len(some):
+        return out
+    n, m = size[some], windows[some]
+    own = np.cumsum(n) - n
+    text = buf[np.repeat(low[some] - own, n) + np.arange(int(n.sum()))]
+    inner = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+    at = np.repeat((np.cumsum(windows) - windows)[some], m) + inner
+    if plan.unit == "byte":
+        start, long = np.repeat(own, m) + inner, plan.window
+    else:
+        begins, ends, piece = word_spans(text, n)
+        word = np.repeat(np.searchsorted(piece, np.arange(len(n))), m) + inner
+        start = begins[word]
+        long = ends[word + plan.window - 1] - start
+    order, begin = equal_windows(text, own, n, start, long)
+    values = np.repeat(value[some], m)[order]
+    out[at[order]] = np.repeat((np.add if plan.every else np.minimum).reduceat(values, begin), np.diff(begin, append=len(order)))
+    return out
+
+
 def _answer(plan: Plan) -> Callable[[pa.Table], pa.Table]:
     """A window is flagged if a smaller id than its piece's smallest has it (every: if as many documents have it as are needed)."""
 
@@ -515,37 +554,18 @@ def _answer(plan: Plan) -> Callable[[pa.Table], pa.Table]:
         del parts
         windows = (size if plan.unit == "byte" else np.bincount(word_spans(buf, size)[2], minlength=len(size))) - plan.window + 1
         counts = np.add.reduceat(windows, np.cumsum(entries) - entries).tolist()
-        order = np.argsort(route)
-        begin = _begins(route[order])
-        live, own = np.empty(len(route), bool), least[order]
-        several = np.add.reduceat(docs[order], begin) >= np.minimum.reduceat(own, begin) if plan.every else np.minimum.reduceat(own, begin) < np.maximum.reduceat(own, begin)
-        live[order] = np.repeat(several, np.diff(begin, append=len(route)))
-        flag = np.zeros(int(windows.sum()), bool)
-        entry = np.flatnonzero(live)
-        if len(entry):
-            low = (np.cumsum(size) - size)[entry]
-            first = (np.cumsum(windows) - windows)[entry]
-            n, m = size[entry], windows[entry]
-            own = np.cumsum(n) - n
-            text = buf[np.repeat(low - own, n) + np.arange(int(n.sum()))]
-            inner = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-            at = np.repeat(first, m) + inner
-            if plan.unit == "byte":
-                start, long = np.repeat(own, m) + inner, None
-            else:
-                begins, ends, piece = word_spans(text, n)
-                word = np.searchsorted(piece, np.arange(len(n)))
-                begins_at = np.repeat(word, m) + inner
-                start = begins[begins_at]
-                long = ends[begins_at + plan.window - 1] - start
-            order, begin = equal_windows(text, own, n, start, plan.window if long is None else long)
-            times = np.diff(begin, append=len(order))
-            lowest = np.repeat(least[entry], m)[order]
-            if plan.every:
-                found = np.repeat(np.add.reduceat(np.repeat(docs[entry], m)[order], begin), times) >= lowest
-            else:
-                found = np.repeat(np.minimum.reduceat(lowest, begin), times) < lowest
-            flag[at[order]] = found
+        low = np.cumsum(size) - size
+        first, piece = _distinct(buf, low, size, route)
+        # of a distinct piece: its smallest id (every: what it needs) and how many documents have it
+        lowest, number = np.full(len(first), NO_ID), np.zeros(len(first), np.int64)
+        np.minimum.at(lowest, piece, least)
+        if plan.every:
+            np.add.at(number, piece, docs)
+        found = _by_window(plan, buf, low[first], size[first], windows[first], route[first], number if plan.every else lowest)
+        # back from pieces to entries
+        begin = (np.cumsum(windows[first]) - windows[first])[piece]
+        at = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+        flag = found[at] >= np.repeat(least, windows) if plan.every else found[at] < np.repeat(least, windows)
         rows, a, bucket = [], 0, t["bucket"][0].as_py()
         for chunk, n in zip(t["chunk"].to_pylist(), counts, strict=True):
             if flag[a : a + n].any():

@@ -21,8 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, bounded, free_shuffles, fresh
+from .common import Written, bounded, free_shuffles
 from .components import connected_components
+from .near_copies import keep_dissimilar
 
 #: Length, generator polynomial and radius of the perfect cyclic codes.
 GOLAY, HAMMING = (23, 0b110001110101, 3), (15, 0b10011, 1)
@@ -174,8 +175,19 @@ def simhash_dedup(documents: DataFrame, shingle: int = 3, threshold: int = 2, co
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_representatives(documents: DataFrame, shingle: int = 3, threshold: int = 2) -> DataFrame:
-    """The documents' rows without repeats: one document of each component. Rows with a null doc_id stay, as a decision can't name them."""
-    name = fresh(documents, "gone_")
-    gone = simhash_dedup(documents, shingle, threshold).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct().hint("shuffle_hash")  # texts stream by, unsorted
-    return documents.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+def near_pairs(documents: DataFrame, shingle: int, threshold: int, codes: tuple = (GOLAY, GOLAY, HAMMING)) -> DataFrame:
+    """a < b: doc_ids whose links join all documents whose fingerprints are within the threshold."""
+    prints = Written(fingerprints(documents, shingle).where("doc_id is not null"), "fingerprints").read()
+    nodes = Written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes").read()
+    same = prints.join(nodes, "fp").where("doc_id > node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    return same.unionAll(simhash_links(nodes, threshold, codes).select(F.col("w").alias("a"), F.col("v").alias("b"))).distinct()
+
+
+def keep_representatives(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, threshold: int = 2) -> DataFrame:
+    """The documents' rows without near copies: one document of each group, that with the smallest doc_id, stays.
+
+    Documents are linked if the Jaccard similarity of their word shingles says so. Fingerprints within the
+    threshold propose pairs, and near_copies.py proposes those that lie further apart. Rows with a null doc_id
+    stay, as a decision can't name them; rows that share a staying id all stay.
+    """
+    return keep_dissimilar(documents, shingle, similarity, near_pairs(documents, shingle, threshold))

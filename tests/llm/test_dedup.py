@@ -10,9 +10,10 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from plumbline.llm.components import connected_components
-from plumbline.llm.exact_dedup import PerfectHash, exact_dedup, keep_first, normalised
+from plumbline.llm.exact_dedup import PerfectHash, digest, exact_dedup, keep_first
 from plumbline.llm.queries import LLM_ORACLES, LLM_QUERIES
 from plumbline.llm.simhash import GOLAY, HAMMING, anchors, fingerprint, keep_representatives, simhash_dedup, simhash_links
 
@@ -138,8 +139,17 @@ def test_perfect_hash(n):
     assert ((h.slots(other) >= -1) & (h.slots(other) < max(n, 1))).all()
 
 
-def test_normalised():
-    assert normalised(b"  a\t\x0b\n b\xc2\xa0c\x1c d ") == b" a b\xc2\xa0c\x1c d "
+def test_digests_are_of_all_bytes(spark):
+    """Also of texts that aren't UTF-8: none of their bytes is replaced."""
+    raw = [b"  a\t\x0b\n b\xc2\xa0c\x1c d ", b"a\x80 \t b", b"a\x81 \t b", b"", "é  ☃".encode(), b"\xff\xfe\n\n"]
+    got = spark.createDataFrame([(bytearray(x),) for x in raw], "b binary").select(F.hex(digest(F.col("b").cast("string"))).alias("d")).collect()
+    assert [r.d.lower() for r in got] == [hashlib.sha256(re.sub(rb"[\x20\x09-\x0D]+", b" ", x)).hexdigest() for x in raw]
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(1, "a  b"), (2, "a b"), (2, "other"), (3, "c"), (3, "c"), (None, "c"), (None, "d"), (None, "d"), (4, None), (5, "")]
+    kept = keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(1, "a  b"), (2, "other"), (3, "c"), (None, "d"), (4, None)], key=repr)
 
 
 def test_filters_keep_columns(corpus, none):

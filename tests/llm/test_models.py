@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import collections
+import hashlib
 import itertools
 import math
+import os
 
 import numpy as np
 import pytest
@@ -13,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumbline.llm.mixing import Settings, mix_documents, mix_sources, temperature_weights
-from plumbline.llm.permutation_index import InvertedFiles, nearest, nearest_pivots
+from plumbline.llm.permutation_index import closeness, nearest, nearest_pivots
 from plumbline.llm.quality import FollowTheLeader, classify_quality, crc_held_out, features, held_out, keep_quality
 from plumbline.llm.quality import Settings as QualitySettings
 from plumbline.llm.sentencepiece_lattice import decode, decode_documents, encode, encode_documents, load_vocabulary
@@ -61,6 +63,71 @@ def test_features_are_the_same_in_any_batch():
         assert together[2][mine] == pytest.approx(alone[2])
 
 
+def plain_scores(train, texts, s):
+    """The classifier in plain Python: n-grams of words under the same hash, follow-the-regularised-leader, dot products."""
+    from plumbline.llm.hashing import mix
+    from plumbline.llm.quality import _WORDS
+
+    def code(word):
+        buf = np.frombuffer(word, np.uint8)
+        return int(_WORDS.spans(_WORDS.prefix(_WORDS.codes[buf]), np.array([0]), np.array([len(buf)]))[0])
+
+    def mixed(x):
+        return int(mix(np.array([x % 2**64], np.uint64))[0])
+
+    def vector(text):
+        words, counts = [code(w) for w in text.encode().split()], collections.Counter()
+        for n in range(s.n_grams):
+            for i in range(len(words) - n):
+                gram = words[i]
+                for w in words[i + 1 : i + n + 1]:
+                    gram = mixed(gram * 3 + w)
+                counts[mixed(gram + n) % (2**s.bits - 1) + 1] += 1
+        length = math.sqrt(sum(counts.values()))
+        return {0: 1.0} | {f: math.sqrt(c) / length for f, c in counts.items()}
+
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= s.l1 else -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    def score(x):
+        return 1 / (1 + math.exp(-sum(v * weight(i) for i, v in x.items())))
+
+    for _ in range(s.epochs):
+        for text, label in train:
+            x = vector(text)
+            w, p = {i: weight(i) for i in x}, score(x)
+            for i, v in x.items():
+                g = (p - label) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / s.alpha * w[i]
+                n[i] += g * g
+    return [score(vector(t)) for t in texts]
+
+
+def test_scores_equal_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice(["good", "text", "is", "this", "spam!", "buy", "NOW", "é", "1"], int(rng.integers(0, 30)))) for _ in range(120)] + ["", "  "]
+    rows = [(i, t, "q") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality string")
+    labels = spark.createDataFrame([(i, int(t.count("spam") < 2), 0) for i, t in enumerate(texts)], "doc_id long, quality int, toxic int")
+    s = QualitySettings(bits=12, epochs=2)
+    order = [r.id for r in spark.range(len(texts)).orderBy(F.xxhash64(F.lit(1), "id")).collect() if not crc_held_out(r.id)]
+    want = plain_scores([(texts[i], int(texts[i].count("spam") < 2)) for i in order], texts, s)
+    got = {r.doc_id: r.score for r in classify_quality(docs, labels, settings=s).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=1e-5)
+
+
+def test_a_labelled_id_that_many_rows_share(spark):
+    docs = spark.createDataFrame([(1, "a b c")] * 50 + [(1, "x y")] + [(3, "d e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    some = spark.createDataFrame([(1, min(("a b c", "x y"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())), (3, "d e")], "doc_id long, text string")
+    many = {r.score for r in classify_quality(docs, labels).where("doc_id = 3").collect()}
+    assert many == {r.score for r in classify_quality(some, labels).where("doc_id = 3").collect()}
+
+
 def test_updates_follow_the_definition():
     s = QualitySettings(bits=4, l1=0.1, l2=0.5, alpha=0.5, beta=1.0)
     leader, z, n = FollowTheLeader(s), [0.0] * 16, [0.0] * 16
@@ -95,7 +162,7 @@ def test_nearest_on_a_small_table_is_exact(spark):
     df = spark.createDataFrame([(*r, 1.0, "x") for r in rows + odd + rows[:3]], "vec_id long, embedding array<double>, score double, rank string")
     for block in (8192, 100):
         got = collections.defaultdict(list)
-        for r in nearest(df, block=block, queries=2).orderBy("query_id", "rank").collect():
+        for r in nearest(df, block=block).orderBy("query_id", "rank").collect():
             got[r.query_id].append((r.score, r.vec_id))
         want = exact_nearest(rows, 100, 10)
         assert set(got) == set(want)
@@ -111,8 +178,10 @@ def test_nearest_of_few_rows(spark):
     assert nearest(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("size", ["sf0.1"])
+@pytest.mark.parametrize("size", ["sf0.1", "check_s"])
 def test_recall(spark, data, size):
+    if not os.path.exists(f"{data}/../{size}/embeddings.parquet"):
+        pytest.skip("no such table here")
     df = spark.read.parquet(f"{data}/../{size}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
     want, got = exact_nearest(rows, 100, 10), collections.defaultdict(set)
@@ -121,16 +190,25 @@ def test_recall(spark, data, size):
     assert np.mean([len(got[q] & {i for _, i in w}) / len(w) for q, w in want.items()]) >= 0.9
 
 
-def test_footrule_from_inverted_files():
+def test_a_vector_that_very_many_rows_share(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(0, 900, 3)] + [(i, rng.normal(size=3).tolist()) for i in range(1000, 1050)]
+    got = collections.defaultdict(list)
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((pytest.approx(r.score, abs=1e-12), r.vec_id))
+    assert {q: [i for _, i in w] for q, w in got.items()} == {q: [i for _, i in w] for q, w in exact_nearest(rows, 100, 10).items()}
+    assert [i for _, i in got[300]] == [0, 3, 6, 9, 12, 15, 18, 21, 24, 27]
+
+
+def test_footrule():
     rng = np.random.default_rng(2)
     x, pivots, size = rng.normal(size=(50, 5)), rng.normal(size=(12, 5)), 6
     near = nearest_pivots(x, pivots, size)
-    files = InvertedFiles(near, 12)
     place = np.full((50, 12), size)
     np.put_along_axis(place, near, np.arange(size)[None], 1)
     for q in range(5):
         footrule = np.abs(place - place[q]).sum(axis=1)
-        assert (size * (size + 1) - 2 * files.closeness(near[q]) == footrule).all()
+        assert (size * (size + 1) - 2 * closeness(near, near[q], 12, size) == footrule).all()
 
 
 def entropy(w):
@@ -234,6 +312,29 @@ def test_decoding_is_lossless(texts, key):
     assert [decode(v, ids[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)] == raw
 
 
+@pytest.mark.parametrize("raw", [b"a\x80b", b"\xff", b"\xc3", b"\xc3(x", b"\xe2\x98", b"ok \xf0\x9f\x9a end", b"\x80\x80 \xbf"])
+def test_bytes_that_are_no_text(vocabulary, raw):
+    ids, _ = encode(vocabulary, [raw], np.zeros(1, np.uint64), 1)
+    assert decode(vocabulary, ids) == raw
+
+
+def test_rows_that_are_no_text_come_back(spark):
+    df = spark.createDataFrame([(1, bytearray(b"a\x80b")), (2, bytearray(b"fine"))], "doc_id long, b binary").select("doc_id", F.col("b").cast("string").alias("text"))
+    e = encode_documents(df)
+    assert all(r.lossless for r in e.collect())
+    back = decode_documents(e).select("doc_id", F.col("text").cast("binary").alias("b")).collect()
+    assert {r.doc_id: bytes(r.b) for r in back} == {1: b"a\x80b", 2: b"fine"}
+
+
+def test_units_of_equal_hashes_are_told_apart(vocabulary):
+    """A Thue-Morse text and its complement have equal polynomial hashes modulo 2^64."""
+    one = bytes(b"ab"[bin(i).count("1") % 2] for i in range(2048))
+    two = one.translate(bytes.maketrans(b"ab", b"ba"))
+    ids, count = encode(vocabulary, [one, two, one], np.zeros(3, np.uint64), 1)
+    cut = np.concatenate([[0], np.cumsum(count)])
+    assert [decode(vocabulary, ids[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)] == [one, two, one]
+
+
 _VOCABULARY = None
 
 

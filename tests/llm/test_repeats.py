@@ -92,7 +92,7 @@ def test_texts_whose_polynomial_hashes_agree_are_told_apart(spark):
     docs = spark.createDataFrame([(1, " ".join([one] * 13)), (2, " ".join([two] * 13)), (3, " ".join([one] * 13))], "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in substring_dedup(docs).collect()} == {1: 0, 2: 0, 3: 13}
     u = _units("byte", np.array([1, 2, 1]), [one.encode(), two.encode(), one.encode()])
-    number, first = _apart(u, u.first, u.count, np.array([0]))
+    number, first = _apart(u.buf, u.first, u.count, np.array([0]))
     assert number.tolist() == [0, 1, 0] and first.tolist() == [0, 1]
     text = np.frombuffer((one + two + one).encode(), np.uint8)
     order, begin = equal_windows(text, u.first, u.count, u.first, u.count)
