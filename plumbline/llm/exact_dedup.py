@@ -28,7 +28,7 @@ def digest(text: Column) -> Column:
     Texts that aren't valid UTF-8 are taken byte by byte, so that none of their bytes is replaced.
     """
     text = F.coalesce(text.cast("string"), F.lit(""))
-    latin = F.decode(text.cast("binary"), F.lit("ISO-8859-1"))
+    latin = F.decode(text.cast("binary"), "ISO-8859-1")
     by_byte = F.sha2(F.encode(F.regexp_replace(latin, _RUN, " "), "ISO-8859-1"), 256)
     return F.unhex(F.when(F.is_valid_utf8(text), F.sha2(F.regexp_replace(text, _RUN, " "), 256)).otherwise(by_byte))
 

@@ -1,6 +1,7 @@
 """Quality classifier: hashed word n-gram logistic regression, trained by follow-the-regularised-leader.
 
-Features of a text: its words, pairs and triples of neighbouring words, hashed into one table; a feature's value is
+Features of a text: its words (runs of letters and digits, and runs of marks), pairs and triples of
+neighbouring words, hashed into one table; a feature's value is
 the root of its count, and a text's vector has length one. A score is the logistic function of the
 sparse dot product with the weights.
 
@@ -22,20 +23,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import bounded, fresh
-from .hashing import Rolling, join_bytes, mix, word_spans
+from .hashing import Rolling, join_bytes, mix
 
 _WORDS = Rolling(21)
 
+#: What a byte is: white space, part of a word (letters, digits, all beyond ASCII), or a mark.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
+_KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+
 
 @dataclass(frozen=True)
 class Settings:
     bits: int = 18
     n_grams: int = 3
     max_train: int = 16_384
-    epochs: int = 3
-    alpha: float = 1.0
+    epochs: int = 5
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 0.5
+    l1: float = 0.1
     l2: float = 0.001
 
 
@@ -44,10 +50,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def words(buf: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words and of runs of marks, as tokens of their own, and each one's text number."""
+    kind, bounds = _KIND[buf], np.cumsum(lengths)
+    cut = np.zeros(len(buf) + 1, bool)
+    cut[0], cut[bounds] = True, True
+    cut[1:-1] |= kind[1:] != kind[:-1]
+    at = np.flatnonzero(cut)
+    inside = kind[at[:-1]] > 0
+    start = at[:-1][inside]
+    return start, at[1:][inside], np.searchsorted(bounds, start, side="right")
+
+
 def features(texts: list[bytes], bits: int, n_grams: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, feature and value, in order of text and feature; every text has the feature 0 (the bias)."""
     buf, lengths = join_bytes(texts)
-    start, end, doc = word_spans(buf, lengths)
+    start, end, doc = words(buf, lengths)
     gram = _WORDS.spans(_WORDS.prefix(_WORDS.codes[buf]), start, end)
     word, keys, n, size = gram, [], len(texts), np.uint64((1 << bits) - 1)
     for k in range(n_grams):

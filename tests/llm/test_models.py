@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import math
 import os
+import re
 
 import numpy as np
 import pytest
@@ -76,7 +77,7 @@ def plain_scores(train, texts, s):
         return int(mix(np.array([x % 2**64], np.uint64))[0])
 
     def vector(text):
-        words, counts = [code(w) for w in text.encode().split()], collections.Counter()
+        words, counts = [code(w) for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]+", text.encode())], collections.Counter()
         for n in range(s.n_grams):
             for i in range(len(words) - n):
                 gram = words[i]
