@@ -14,25 +14,34 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
 from ..functions.vectors import total
-from .decide import choice, prob_of, ranked_ids
+from .decide import candidate_array, choice, prob_of, ranked_ids
 
 FAILED = "__failed__"
 
 
 def confusion(predictions: DataFrame, labels: DataFrame) -> DataFrame:
-    """gold, predicted, n for all pairs of a label and a label or the failed column; labels: ord, id."""
+    """gold, predicted, n for all pairs of a label and a label or the failed column; labels: ord, id, at most 256."""
     counts = predictions.groupBy("gold", F.coalesce("choice", F.lit(FAILED)).alias("predicted")).agg(F.count("*").alias("n"))
-    right = labels.select(F.col("id").alias("predicted")).unionByName(labels.sparkSession.range(1).select(F.lit(FAILED).alias("predicted")))
-    grid = labels.select(F.col("id").alias("gold")).crossJoin(right)
+    ids = F.transform("candidates", lambda c: c["id"])
+    grid = candidate_array(labels).select(F.explode(ids).alias("gold"), "candidates").select("gold", F.explode(F.concat(ids, F.array(F.lit(FAILED)))).alias("predicted"))
     return grid.join(counts, ["gold", "predicted"], "left").select("gold", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def per_class(matrix: DataFrame) -> DataFrame:
     """label, support, predicted, tp, precision, recall, f1 of a confusion matrix; 0 where undefined."""
-    gold = matrix.groupBy(F.col("gold").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("gold") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp"))
-    seen = matrix.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("predicted"))
-    out = gold.join(seen, "label")
-    return out.select(
+    return _rates(_counts(matrix).where(F.col("label") != FAILED))
+
+
+def _counts(matrix: DataFrame) -> DataFrame:
+    """label, support, predicted, tp, the failed column too: each cell counts for its row and for its column, in one pass."""
+    n, none = F.col("n"), F.lit(0).cast("long")
+    row = F.struct(F.col("gold").alias("label"), n.alias("support"), none.alias("predicted"), F.when(F.col("gold") == F.col("predicted"), n).otherwise(none).alias("tp"))
+    column = F.struct(F.col("predicted").alias("label"), none.alias("support"), n.alias("predicted"), none.alias("tp"))
+    return matrix.select(F.inline(F.array(row, column))).groupBy("label").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
+
+
+def _rates(counts: DataFrame) -> DataFrame:
+    return counts.select(
         "label",
         "support",
         "predicted",
@@ -45,10 +54,13 @@ def per_class(matrix: DataFrame) -> DataFrame:
 
 def summary(matrix: DataFrame) -> DataFrame:
     """One row of the classification summary of a confusion matrix."""
-    c = per_class(matrix)
-    failed = matrix.where(F.col("predicted") == FAILED).agg(F.sum("n").alias("failures"))
+    label = F.col("label") != FAILED
+    c = _rates(_counts(matrix)).withColumn("failures", F.when(~label, F.col("predicted")).otherwise(0))
+    for name in ("support", "predicted", "tp", "precision", "recall", "f1"):
+        c = c.withColumn(name, F.when(label, F.col(name)))
     s, p = F.col("support").cast("double"), F.col("predicted").cast("double")
     one = c.agg(
+        F.sum("failures").alias("failures"),
         F.sum("support").alias("examples"),
         F.sum("tp").alias("correct"),
         F.avg("f1").alias("macro_f1"),
@@ -59,11 +71,11 @@ def summary(matrix: DataFrame) -> DataFrame:
         F.count_if(F.col("predicted") > 0).alias("predicted_label_count"),
         F.max("predicted").alias("most_"),
         F.max("support").alias("major_"),
-        F.count("*").alias("labels_"),
+        F.count("support").alias("labels_"),
         F.sum(s * p).alias("sp_"),
         F.sum(s * s).alias("ss_"),
         F.sum(p * p).alias("pp_"),
-    ).crossJoin(failed)
+    )
     n = F.col("examples").cast("double")
     covariance = F.col("correct") * n - F.col("sp_")
     spread = F.sqrt((n * n - F.col("ss_")) * (n * n - F.col("pp_") - F.col("failures").cast("double") ** 2))
@@ -155,6 +167,14 @@ def score_metrics(predictions: DataFrame, metrics: list[Metric]) -> DataFrame:
     return one.select(F.inline(F.array(*rows)))
 
 
+LEGACY = ["examples", "correct", "failed_or_missing", "accuracy", "macro_f1"]
+
+
+def legacy_summary(summary_: DataFrame) -> DataFrame:
+    """What reports of the first two schemas hold of a summary."""
+    return summary_.select(*LEGACY)
+
+
 def default_metrics() -> list[Metric]:
     """The row-level ones of the default set; the others come from summary()."""
     return [

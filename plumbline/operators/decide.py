@@ -26,9 +26,22 @@ def candidate_array(candidates: DataFrame, *columns: str) -> DataFrame:
     return one.select(F.when(ok, F.col("candidates")).otherwise(F.raise_error(F.lit(f"a question has 1 to {MAX_CANDIDATES} candidates"))).alias("candidates"))
 
 
+def candidate_rows(candidates: DataFrame, *columns: str) -> DataFrame:
+    """The same as rows: ord, id and the named columns; over the bound is an error, not a cut."""
+    return candidate_array(candidates, *columns).select(F.inline("candidates"))
+
+
+def beside(states: DataFrame, candidates: DataFrame, *columns: str) -> DataFrame:
+    """Each state with the array of all candidates."""
+    return states.crossJoin(F.broadcast(candidate_array(candidates, *columns)))
+
+
 def score(states: DataFrame, candidates: DataFrame, scorer: Callable[[Column], Column], *columns: str) -> DataFrame:
     """Adds `shares`: ord, id, score and prob of each candidate. scorer(candidate) gives a score's column."""
-    both = states.crossJoin(F.broadcast(candidate_array(candidates, *columns)))
+    return with_shares(beside(states, candidates, *columns), scorer)
+
+
+def with_shares(both: DataFrame, scorer: Callable[[Column], Column]) -> DataFrame:
     shares = let(
         F.transform("candidates", lambda c: scorer(c).cast("double")),
         lambda scores: let(
@@ -104,6 +117,28 @@ def noul_candidates(instructions: Column, false_text: Column, true_text: Column)
     )
 
 
+def most_shared(states: DataFrame, candidates: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """key, choice, score: the candidate that shares most distinct tokens with each state; the first in order wins ties.
+
+    Both have `t`, distinct tokens. States meet candidates over tokens that both have, never as all pairs. The
+    candidates' tokens are broadcast if they are at most `most`, and joined by a shuffle beyond.
+    """
+    tokens = candidates.select(F.explode("t").alias("token"), "ord")
+    small = tokens.limit(most + 1).count() <= most
+    by_token = tokens.groupBy("token").agg(F.collect_list("ord").alias("ords")) if small else tokens.select("token", F.array("ord").alias("ords"))
+    met = states.select(key, F.explode("t").alias("token")).join(F.broadcast(by_token) if small else by_token, "token")
+    counted = met.select(key, F.explode("ords").alias("ord")).groupBy(key, "ord").agg(F.count("*").alias("n"))
+    top = counted.groupBy(key).agg(F.max(F.struct("n", (-F.col("ord")).alias("o"))).alias("top"))
+    first = candidates.agg(F.min("ord").alias("first_"))
+    out = states.select(key).join(top, key, "left").crossJoin(F.broadcast(first))
+    return out.select(key, F.coalesce(-F.col("top.o"), F.col("first_")).alias("choice"), F.coalesce("top.n", F.lit(0)).cast("double").alias("score"))
+
+
+def swapped(states: DataFrame) -> DataFrame:
+    """The question first: instructions stand where the state stood, and the other way round."""
+    return states.withColumns({"state": F.col("instructions"), "instructions": F.col("state")})
+
+
 def prompt(state: Column, instructions: Column) -> Column:
     return F.concat(strip(state), F.lit("\n\n"), strip(instructions))
 
@@ -114,7 +149,8 @@ def long_shares(df: DataFrame, *keys: str) -> DataFrame:
 
 def permitted(states: DataFrame, candidates: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
     """Only candidates that a state may use, as rows; states without any get none and cost no scoring."""
-    return states.join(allowed, key).join(F.broadcast(candidates.limit(MAX_CANDIDATES)), "id")
+    some = candidate_rows(candidates, *[c for c in candidates.columns if c not in ("ord", "id")])
+    return states.join(allowed, key).join(F.broadcast(some), "id")
 
 
 def encode_distinct(texts: DataFrame, text: str, ord_: str) -> DataFrame:
@@ -122,7 +158,8 @@ def encode_distinct(texts: DataFrame, text: str, ord_: str) -> DataFrame:
 
     The dense ids come from counts by block of the order, so no task holds all texts.
     """
-    first = texts.groupBy(text).agg(F.min(ord_).alias("first_ord"), F.count("*").alias("rows"))
+    # a digest and not the text is what rows are dealt by
+    first = texts.groupBy(F.sha2(text, 256).alias("key_")).agg(F.first(text).alias(text), F.min(ord_).alias("first_ord"), F.count("*").alias("rows"))
     from .running import running
 
     return running(first.withColumn("one", F.lit(1)), "first_ord", {"one": "seq"}).select(text, "first_ord", "rows", (F.col("seq") - 1).cast("long").alias("sequence_id"))

@@ -1,4 +1,7 @@
-"""Data preparation: hash-ordered splits, overlap audits, two-reviewer adjudication."""
+"""Data preparation: hash-ordered splits, overlap audits, two-reviewer adjudication.
+
+Texts are counted and joined by their SHA-256, so that no text is moved as a key.
+"""
 
 from __future__ import annotations
 
@@ -49,7 +52,7 @@ NORMALISATIONS = {
 
 def audit_within(rows: DataFrame, key: Column, label: str = "label") -> DataFrame:
     """Per split: distinct keys, groups of repeats, their rows and pairs, groups of conflicting labels."""
-    per = rows.groupBy("split", key.alias("key")).agg(F.count("*").alias("n"), F.min(label).alias("a"), F.max(label).alias("z"))
+    per = rows.groupBy("split", F.sha2(key, 256).alias("key")).agg(F.count("*").alias("n"), F.min(label).alias("a"), F.max(label).alias("z"))
     again = F.col("n") > 1
     return per.groupBy("split").agg(
         F.count("*").alias("distinct_keys"),
@@ -65,7 +68,7 @@ def audit_between(rows: DataFrame, key: Column, splits: list[str], label: str =
 
     One count per key with a column for each split; pairs of rows are counted, never made.
     """
-    per = rows.groupBy(key.alias("key")).agg(*[F.count_if(F.col("split") == s).alias(f"n_{s}") for s in splits], *[f(F.when(F.col("split") == s, F.col(label))).alias(f"{w}_{s}") for s in splits for w, f in (("a", F.min), ("z", F.max))])
+    per = rows.groupBy(F.sha2(key, 256).alias("key")).agg(*[F.count_if(F.col("split") == s).alias(f"n_{s}") for s in splits], *[f(F.when(F.col("split") == s, F.col(label))).alias(f"{w}_{s}") for s in splits for w, f in (("a", F.min), ("z", F.max))])
     out = []
     for i, a in enumerate(splits):
         for b in splits[i + 1 :]:
@@ -78,13 +81,48 @@ def audit_between(rows: DataFrame, key: Column, splits: list[str], label: str =
 
 def crossing(rows: DataFrame, key: Column, kind: str) -> DataFrame:
     """Keys that occur in more than one split: kind, keys, rows."""
-    per = rows.groupBy(key.alias("key")).agg(F.count_distinct("split").alias("splits"), F.count("*").alias("n")).where("key is not null and splits > 1")
+    per = rows.groupBy(F.sha2(key.cast("string"), 256).alias("key")).agg(F.count_distinct("split").alias("splits"), F.count("*").alias("n")).where("key is not null and splits > 1")
     return per.agg(F.lit(kind).alias("kind"), F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
 
 
 def overlap_rows(test: DataFrame, train: DataFrame, key: str, keep: str) -> DataFrame:
-    """Test rows whose key is in train (keep: semi), or the others (anti)."""
-    return test.join(train.select(key).distinct(), key, f"left_{keep}")
+    """Test rows whose key is in train (keep: semi), or the others (anti). Rows are dealt by the key's digest."""
+    seen = train.select(F.sha2(key, 256).alias("key_")).distinct()
+    return test.withColumn("key_", F.sha2(key, 256)).join(seen, "key_", f"left_{keep}").drop("key_")
+
+
+def fewest_texts(rows: DataFrame, label: str, text: Column) -> DataFrame:
+    """Per split: distinct texts, and the fewest distinct texts of any of its labels."""
+    per = rows.groupBy("split", label).agg(F.count_distinct(F.sha2(text, 256)).alias("n"))
+    every = rows.groupBy("split").agg(F.count_distinct(F.sha2(text, 256)).alias("distinct_texts"))
+    return every.join(per.groupBy("split").agg(F.min("n").alias("fewest_of_a_label")), "split")
+
+
+def review_gaps(votes: DataFrame, tickets: DataFrame, reviewers: list) -> DataFrame:
+    """id, reviewer, gap: missing, repeated or unknown votes; two complete reviews have none. votes: id, reviewer, label."""
+    asked = tickets.select("id", F.explode(F.array(*[F.lit(r) for r in reviewers])).alias("reviewer"))
+    got = votes.groupBy("id", "reviewer").agg(F.count("*").alias("n"), F.count("label").alias("labels"))
+    both = asked.withColumn("asked_", F.lit(True)).join(got, ["id", "reviewer"], "full_outer")
+    gap = F.when(F.col("asked_").isNull(), "unknown").when(F.coalesce(F.col("labels"), F.lit(0)) == 0, "missing").when(F.col("n") > 1, "repeated")
+    return both.select("id", "reviewer", gap.alias("gap")).where("gap is not null")
+
+
+def compile_splits(tickets: DataFrame, resolved: DataFrame) -> DataFrame:
+    """split, id, text, label of resolved tickets; tickets: id, split, text. An unresolved one fails the query."""
+    label = F.when(F.col("how") != "unresolved", F.col("label")).otherwise(F.raise_error(F.lit("a ticket is not resolved")))
+    return tickets.join(resolved, "id").select("split", "id", "text", label.alias("label"))
+
+
+def receipt(compiled: DataFrame) -> DataFrame:
+    """Per split: examples, labels, and a digest that changes if any id, text or label does.
+
+    The digest is over the 256 digests of buckets of rows, each over its rows in order of their own digests.
+    """
+    row = F.sha2(F.concat_ws("\x1f", F.col("id").cast("string"), "text", "label"), 256)
+    lines = compiled.select("split", "label", row.alias("line"))
+    bucket = lines.groupBy("split", F.left("line", F.lit(2)).alias("b")).agg(F.count("*").alias("n"), F.collect_set("label").alias("l"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("h"))
+    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256)
+    return bucket.groupBy("split").agg(F.sum("n").alias("examples"), F.size(F.array_distinct(F.flatten(F.collect_list("l")))).alias("labels"), digest.alias("sha256"))
 
 
 def disagreements(votes: DataFrame) -> DataFrame:

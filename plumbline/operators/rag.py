@@ -84,10 +84,15 @@ def plan(cases: DataFrame, repeats: int) -> DataFrame:
     return cases.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
 
 
+def _mean(value: Column) -> Column:
+    """A mean whose sum can't overflow: values are scaled by a power of two, which changes no digit."""
+    return F.avg(value * F.lit(2.0**-60)) * F.lit(2.0**60)
+
+
 def metric_summary(values: DataFrame, planned: DataFrame) -> DataFrame:
     """metric, mean, observed, unknown, coverage, minimum, maximum, stddev; values: metric, value (nulls unknown); planned: one row, eligible."""
     got = values.groupBy("metric").agg(
-        F.avg("value").alias("mean"), F.count("value").alias("observed"), F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.stddev_pop("value").alias("stddev")
+        _mean(F.col("value")).alias("mean"), F.count("value").alias("observed"), F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.stddev_pop("value").alias("stddev")
     )
     out = got.crossJoin(F.broadcast(planned))
     unknown = F.col("eligible") - F.col("observed")
@@ -117,19 +122,18 @@ def unstable(outputs: DataFrame) -> DataFrame:
     return outputs.groupBy("case_id").agg(F.count_distinct(F.sha2(F.col("output").cast("string"), 256)).alias("n")).where("n > 1").select("case_id", F.col("n").alias("outputs"))
 
 
-def lexical_retrieval(corpus: DataFrame, queries: DataFrame, top: int, block: int = 256, most: int = 10_000) -> DataFrame:
+def lexical_retrieval(corpus: DataFrame, queries: DataFrame, top: int, most: int = 10_000) -> DataFrame:
     """query_id, doc_id, overlap, rank: the documents that share most distinct tokens with a query; ties to the smaller doc_id.
 
     corpus: doc_id, tokens (distinct). queries: query_id, tokens; a stated set of at most `most`, which is
-    checked, since it goes to every task in rows of about `block` queries. Documents aren't shuffled, and
-    what is left of them after the overlap test is cut to the best per task before it moves.
+    checked, since each of its tokens goes to every task with the queries that have it. Documents meet queries
+    over tokens that both have, never as all pairs; what is found is cut to the best per task before it moves.
     """
     if (n := queries.count()) > most:
         raise ValueError(f"{n} queries; at most {most} are sent to every task")
-    number = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // block)))).alias("b")
-    blocks = queries.groupBy(number).agg(F.collect_list(F.struct("query_id", F.col("tokens").alias("wanted"))).alias("asked"))
-    pairs = corpus.crossJoin(F.broadcast(blocks)).select("doc_id", "tokens", F.inline("asked"))
-    found = pairs.select("query_id", "doc_id", F.size(F.array_intersect("tokens", "wanted")).alias("overlap")).where("overlap > 0")
+    asked = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.collect_list("query_id").alias("asked"))
+    met = corpus.select("doc_id", F.explode("tokens").alias("token")).join(F.broadcast(asked), "token")
+    found = met.select("doc_id", F.explode("asked").alias("query_id")).groupBy("query_id", "doc_id").agg(F.count("*").cast("int").alias("overlap"))
     w = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "doc_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 

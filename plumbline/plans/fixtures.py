@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import selection_key, token_set
-from ..functions.vectors import doubles, mean_vector, scale
+from ..functions.vectors import dot, doubles, mean_vector, scale
 from ..operators.classify import with_evidence
-from ..operators.decide import choice, score_vectors
+from ..operators.decide import beside, candidate_rows, choice, score_vectors, with_shares
 from ..operators.prepare import bucket_split
 from ..operators.rag import lexical_retrieval
 
@@ -41,12 +41,14 @@ def protos(spark: SparkSession, d: str) -> DataFrame:
 
 
 def states(spark: SparkSession, d: str) -> DataFrame:
-    return vectors(spark, d).join(F.broadcast(protos(spark, d).select(F.col("proto_id").alias("vec_id")).limit(256)), "vec_id", "left_anti")
+    return vectors(spark, d).join(F.broadcast(candidate_rows(protos(spark, d), "proto_id").select(F.col("proto_id").alias("vec_id"))), "vec_id", "left_anti")
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    """vec_id, gold, shares of all vectors that are no prototypes."""
-    return score_vectors(states(spark, d), protos(spark, d), "vector", FACTOR).select("vec_id", "gold", "vector", "shares")
+    """vec_id, gold, shares of all vectors that are no prototypes: the array of candidates says which these are."""
+    both = beside(vectors(spark, d), protos(spark, d), "vector", "proto_id")
+    others = both.where(~F.exists("candidates", lambda c: c["proto_id"] == F.col("vec_id")))
+    return with_shares(others, lambda c: F.lit(FACTOR) * dot(F.col("vector"), c["vector"])).select("vec_id", "gold", "vector", "shares")
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:

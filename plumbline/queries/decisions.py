@@ -102,30 +102,18 @@ def maxsim_rank(spark, d):
     return s.select("vec_id", F.col("s.id").alias("cand"), F.col("s.score").alias("score"), (F.col("n") + 1).alias("rank"))
 
 
-@query(
-    r"""WITH c AS (SELECT item_id AS ord, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS t FROM benchmark WHERE item_id IN (SELECT item_id FROM benchmark ORDER BY item_id LIMIT 8)),
+OVERLAP = r"""WITH c AS (SELECT item_id AS ord, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS t FROM benchmark),
     s AS (SELECT doc_id, c.ord, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')), c.t)) AS n FROM documents, c)
     SELECT doc_id, ord AS choice, n::DOUBLE AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, ord) = 1"""
-)
-def lexical_overlap_classify(spark, d):
-    """Every document against the first eight benchmark items, by shared distinct words."""
-    items = table(spark, d, "benchmark").orderBy("item_id").limit(8)
-    c = items.select(F.col("item_id").alias("ord"), F.col("item_id").alias("id"), token_set(F.col("text")).alias("t"))
-    docs = table(spark, d, "documents").withColumn("t", token_set(F.col("text")))
-    s = decide.score(docs, c, lambda x: F.size(F.array_intersect("t", x["t"])), "t")
-    return s.select("doc_id", decide.choice(F.col("shares")).alias("choice"), F.array_max(F.transform("shares", lambda x: x["score"])).alias("score"))
 
 
-@query(
-    r"""WITH c AS (SELECT item_id AS ord, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS t FROM benchmark),
-    s AS (SELECT doc_id, c.ord, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')), c.t)) AS n FROM documents, c)
-    SELECT doc_id, ord AS choice, n::DOUBLE AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, ord) = 1"""
-)
-def lexical_overlap_classify_all(spark, d):
-    """Every document against all benchmark items, however many."""
-    c = table(spark, d, "benchmark").select(F.col("item_id").alias("ord"), F.col("item_id").alias("id"), token_set(F.col("text")).alias("t"))
+@query(OVERLAP)
+@query(OVERLAP, name="lexical_overlap_classify_all")
+def lexical_overlap_classify(spark, d):
+    """Every document against all benchmark items, however many, by shared distinct words."""
+    c = table(spark, d, "benchmark").select(F.col("item_id").alias("ord"), token_set(F.col("text")).alias("t"))
     docs = table(spark, d, "documents").select("doc_id", token_set(F.col("text")).alias("t"))
-    return decide.best(docs, c, lambda x: F.size(F.array_intersect("t", x["t"])), "doc_id", "t")
+    return decide.most_shared(docs, c, "doc_id")
 
 
 @query("SELECT 'en' AS choice, count(*) AS examples, round(avg((lang = 'en')::INT), 6) AS accuracy FROM documents")
@@ -142,7 +130,7 @@ def permission_filtered_rank(spark, d):
     """Candidates that a state may not use are gone before anything is scored."""
     s = states(spark, d).select("vec_id", F.col("vector").alias("state"))
     p = protos(spark, d).select("ord", "id", "vector")
-    allowed = s.select("vec_id").crossJoin(F.broadcast(p.select("ord", "id").limit(256))).where((F.col("vec_id") + F.col("ord")) % 3 != 0).select("vec_id", "id")
+    allowed = s.select("vec_id").crossJoin(F.broadcast(decide.candidate_rows(p))).where((F.col("vec_id") + F.col("ord")) % 3 != 0).select("vec_id", "id")
     rows = decide.permitted(s, p, allowed, "vec_id").withColumn("score", dot(F.col("state"), F.col("vector")))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), "ord", "id")))  # at most 256
     out = rows.groupBy("vec_id").agg(ordered.alias("o")).select("vec_id", F.posexplode("o").alias("n", "s"))
@@ -217,7 +205,7 @@ def snapshot_compare_gates(spark, d):
 @query()
 def seeded_execution_order(spark, d):
     """A seeded shuffle of the prototypes' ids: at most one a label."""
-    ids = sorted(r[0] for r in protos(spark, d).select("proto_id").limit(256).collect())
+    ids = sorted(r[0] for r in decide.candidate_rows(protos(spark, d), "proto_id").select("proto_id").collect())
     return compare.seeded_order(spark, ids, 42)
 
 

@@ -109,7 +109,7 @@ def review_queue_fallback(spark, d):
 def json_props_validated(spark, d):
     """Every seventh record is given a repeated key, which parsing alone would merge."""
     e = table(spark, d, "events")
-    raw = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit('{"k":0,'), F.substring("props", 2, 1000))).otherwise(F.col("props"))
+    raw = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit('{"k":0,'), F.substr("props", F.lit(2)))).otherwise(F.col("props"))
     ok = validated_json(raw)
     return e.select("event_id", ok.alias("valid"), F.when(ok, F.get_json_object(raw, "$.k").cast("bigint")).alias("k"))
 

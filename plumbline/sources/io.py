@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import csv_safe
 
@@ -27,12 +27,36 @@ def validated_json(raw):
     return F.try_parse_json(raw).isNotNull()
 
 
-def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Records of JSONL files; a malformed line, a repeated key or a wrong type fails the read. Blank lines are skipped."""
+def json_lines(spark: SparkSession, path: str, schema: StructType | str, numbered: bool = False) -> DataFrame:
+    """Records of JSONL files; a malformed line, a repeated key or a wrong type fails the read. Blank lines are skipped.
+
+    numbered: errors name the line, and `line` is a column. Each file is then read whole, so it must be small.
+    """
     ddl = schema if isinstance(schema, str) else schema.simpleString()
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    checked = F.when(validated_json(F.col("value")), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("malformed JSON or repeated key in "), F.col("_metadata.file_path"))))
-    return lines.select(F.from_json(checked, ddl, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    lines = spark.read.text(path, wholetext=numbered).withColumn("file", F.col("_metadata.file_path"))
+    if numbered:
+        lines = lines.select("file", F.posexplode(F.split("value", "\r?\n")).alias("n", "value")).withColumn("line", F.col("n") + 1)
+    place = F.concat(F.col("file"), F.lit(" line "), F.col("line").cast("string")) if numbered else F.col("file")
+    lines = lines.where(F.trim("value") != "")
+    checked = F.when(validated_json(F.col("value")), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("malformed JSON or repeated key in "), place)))
+    record = F.from_json(checked, ddl, {"mode": "FAILFAST"}).alias("r")
+    return lines.select("line", record).select("line", "r.*") if numbered else lines.select(record).select("r.*")
+
+
+def labelled_cases(spark: SparkSession, path: str, schema: StructType | str, split: str) -> DataFrame:
+    """The cases of one split of a JSONL file; ids must be there and unique among them, or the read fails."""
+    rows = json_lines(spark, path, schema).where(F.col("split") == split)
+    bad = rows.groupBy("id").count().where("id is null or count > 1")
+    if not bad.isEmpty():
+        raise SourceError(f"{path}: missing or repeated ids in split {split}")
+    return rows
+
+
+def case_datasets(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Choice and ranking cases of a dataset of both (`kind`); any other kind fails the query."""
+    known = F.when(F.col("kind").isin("choice", "ranking"), F.col("kind")).otherwise(F.raise_error(F.lit("a case is of kind choice or ranking")))
+    checked = cases.withColumn("kind", known)
+    return tuple(checked.where(F.col("kind") == k).drop("kind") for k in ("choice", "ranking"))
 
 
 def strict_csv(spark: SparkSession, path: str, schema: StructType | str, rows: int | None = None) -> DataFrame:
@@ -43,6 +67,31 @@ def strict_csv(spark: SparkSession, path: str, schema: StructType | str, rows: i
     return df
 
 
+def csv_with_notes(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """CSV with a byte order mark, and perhaps a last column without a name, which is dropped."""
+    first = spark.read.text(path).first()
+    names = [] if first is None else first[0].lstrip("\ufeff").rstrip("\r").split(",")
+    named = spark.createDataFrame([], schema).schema
+    if [n.strip('"') for n in names[: len(named)]] != named.names or len(names) > len(named) + 1 or any(n.strip('"') for n in names[len(named) :]):
+        raise SourceError(f"{path}: other columns than {named.names}")
+    read = StructType([*named.fields, *([StructField("notes_", StringType())] if len(names) > len(named) else [])])
+    df = spark.read.csv(path, schema=read, header=True, multiLine=True, escape='"', mode="FAILFAST", ignoreLeadingWhiteSpace=False)
+    return df.select(*named.names)
+
+
+def split_csv(spark: SparkSession, path: str, schema: StructType | str, split: str, rows: int | None = None) -> DataFrame:
+    """A strict CSV file's rows with `id` as split:number, in file order: one file, read whole, so it must be small."""
+    df = strict_csv(spark, path, schema, rows)
+    return df.select(F.concat(F.lit(f"{split}:"), (F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1).cast("string")).alias("id"), F.lit(split).alias("split"), "*")
+
+
+def source_prefix(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n rows in source order; fewer than n are an error."""
+    if (have := df.count()) < n:
+        raise SourceError(f"{n} rows are asked for, {have} are there")
+    return df.orderBy(order).limit(n)
+
+
 def verified_files(spark: SparkSession, path: str) -> DataFrame:
     """path, length, sha256 of files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
@@ -67,7 +116,8 @@ def new_parquet(df: DataFrame, path: str) -> None:
 def new_csv(df: DataFrame, path: str) -> None:
     """CSV to a place that must not exist, text cells safe for spreadsheets."""
     safe = [csv_safe(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]
-    df.select(*safe).write.mode("errorifexists").csv(path, header=True)
+    # rebalanced, so that no part holds the header only
+    df.select(*safe).hint("rebalance").write.mode("errorifexists").csv(path, header=True)
 
 
 def partial_lines(df: DataFrame, path: str) -> DataFrame:
