@@ -47,6 +47,23 @@ def contradictions(cases: DataFrame, attempts: DataFrame) -> DataFrame:
     return both.where("(correct <> review_correct) or (grounded <> review_grounded)").select("case_id", "repeat")
 
 
+def review_bindings(cases: DataFrame, attempts: DataFrame, reviews: DataFrame) -> DataFrame:
+    """case_id, repeat, bound: whether a review was made of what its attempt says now.
+
+    reviews: case_id, repeat, review_input_sha256. A review without an attempt that can be reviewed is unbound.
+    """
+    now = review_inputs(cases, attempts).select("case_id", "repeat", F.col("review_input_sha256").alias("now_"))
+    both = reviews.join(now, ["case_id", "repeat"], "left")
+    return both.select("case_id", "repeat", F.coalesce(F.col("review_input_sha256") == F.col("now_"), F.lit(False)).alias("bound"))
+
+
+def merged_reviews(cases: DataFrame, attempts: DataFrame) -> DataFrame:
+    """case_id, repeat, answer_correct, answer_grounded, contradicted: an attempt's review first, its case's where it has none."""
+    both = attempts.select("case_id", "repeat", "review_correct", "review_grounded").join(cases.select("case_id", "correct", "grounded"), "case_id")
+    against = F.coalesce(F.col("correct") != F.col("review_correct"), F.lit(False)) | F.coalesce(F.col("grounded") != F.col("review_grounded"), F.lit(False))
+    return both.select("case_id", "repeat", F.coalesce("review_correct", "correct").alias("answer_correct"), F.coalesce("review_grounded", "grounded").alias("answer_grounded"), against.alias("contradicted"))
+
+
 def assess(cases: DataFrame, attempts: DataFrame, k: int) -> DataFrame:
     """Attempts with judgments, in order of case and repeat, and everything that can be said of each trace."""
     both = attempts.join(cases.drop("query"), "case_id")

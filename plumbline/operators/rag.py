@@ -138,6 +138,20 @@ def lexical_retrieval(corpus: DataFrame, queries: DataFrame, top: int, most: int
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+def rewrite(queries: DataFrame, text: str, aliases: dict[str, str]) -> DataFrame:
+    """Adds `rewritten`, with each alias as its canonical name, and `steps`: what was asked and what it became."""
+    out = F.col(text)
+    for alias, name in aliases.items():
+        out = F.replace(out, F.lit(alias), F.lit(name))
+    steps = F.array(F.struct(F.lit("query").alias("step"), F.col(text).alias("value")), F.struct(F.lit("rewrite").alias("step"), F.col("rewritten").alias("value")))
+    return queries.withColumn("rewritten", out).withColumn("steps", steps)
+
+
+def gated(queries: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """query_id, doc_id of the first document found, only where the evidence is enough: others cost no decision."""
+    return queries.select("query_id").join(found.where((F.col("rank") == 1) & (F.col("overlap") >= least)).select("query_id", "doc_id"), "query_id")
+
+
 def pack_context(found: DataFrame, texts: DataFrame, top: int) -> DataFrame:
     """query_id, ids, context: the first texts joined by empty lines."""
     some = found.where(F.col("rank") <= top).join(texts, "doc_id")

@@ -45,6 +45,28 @@ def identity_changes(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("first_model", F.first("model", ignorenulls=True).over(w)).where("model <> first_model").select("id", "repeat", "model", "first_model")
 
 
+def verify(recorded: DataFrame, recomputed: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """metric, recorded, recomputed, agrees: a saved summary against the one that its predictions give; both one row."""
+    names = recomputed.columns
+    rows = lambda df, name: df.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias(name)) for n in names])))
+    both = rows(recomputed, "recomputed").join(rows(recorded, "recorded"), "metric")
+    a, b = F.col("recorded"), F.col("recomputed")
+    return both.select("metric", "recorded", "recomputed", (a.eqNullSafe(b) | F.coalesce(F.abs(a - b) <= tolerance * F.greatest(F.lit(1.0), F.abs(b)), F.lit(False))).alias("agrees"))
+
+
+def trial_gaps(observed: DataFrame, planned: DataFrame, warmups: int, samples: int) -> DataFrame:
+    """run_id, case_id, gap of planned trials that aren't whole: missing, warmups, samples, invalid, several_models.
+
+    observed: run_id, case_id, phase (warmup, sample), valid, model. planned: run_id, case_id; missing workers stay.
+    """
+    count = lambda phase: F.count_if(F.col("phase") == phase)
+    got = observed.groupBy("run_id", "case_id").agg(count("warmup").alias("w"), count("sample").alias("s"), F.count_if(~F.col("valid")).alias("bad"), F.count_distinct("model").alias("models"))
+    both = planned.join(got, ["run_id", "case_id"], "left")
+    gaps = {"missing": F.col("w").isNull(), "warmups": F.col("w") != warmups, "samples": F.col("s") != samples, "invalid": F.col("bad") > 0, "several_models": F.col("models") > 1}
+    found = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in gaps.items()]), lambda x: x.isNotNull())
+    return both.select("run_id", "case_id", F.explode(found).alias("gap"))
+
+
 TIMING_FACTORS = ["device", "dtype", "transport", "hardware"]
 
 

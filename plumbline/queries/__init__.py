@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decisions, evaluation, events, runs, texts  # noqa: F401
+from . import decisions, evaluation, events, records, runs, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 ENTRY = "classification_summary"
