@@ -123,7 +123,7 @@ def _search(pivots: int, length: int, posted: int, visited: int, buckets: int, k
 
 
 def nearest(
-    embeddings: DataFrame, every: int = 100, k: int = 10, density: float = 8.0, length: int = 64, posted: int = 4, reach: float = 0.1, visited: int = 128, share: float = 0.3, least: int = 320, block: int = 32_768
+    embeddings: DataFrame, every: int = 100, k: int = 10, density: float = 8.0, length: int = 64, posted: int = 4, reach: float = 0.1, visited: int = 256, share: float = 0.3, least: int = 320, block: int = 32_768
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by `every`.
 

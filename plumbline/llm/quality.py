@@ -38,7 +38,7 @@ class Settings:
     bits: int = 18
     n_grams: int = 3
     max_train: int = 16_384
-    epochs: int = 5
+    epochs: int = 3
     alpha: float = 2.0
     beta: float = 1.0
     l1: float = 0.1
@@ -84,7 +84,15 @@ def features(texts: list[bytes], bits: int, n_grams: int = 3) -> tuple[np.ndarra
     return at[order], feature[order], value[order].astype(np.float32)
 
 
-def slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[slice]:
+def _tight(x: np.ndarray) -> bytes:
+    return x.nbytes.to_bytes(8, "little") + pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
+def _loose(x: bytes, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True), kind)
+
+
+def slices(texts: list[bytes], most: int = 1 << 19) -> Iterator[slice]:
     """Neighbouring texts of together about `most` bytes."""
     begin = size = 0
     for i, x in enumerate(texts):
@@ -124,7 +132,8 @@ def _features(s: Settings):
             for part in slices(texts):
                 at, feature, value = features(texts[part], s.bits, s.n_grams)
                 cut = np.searchsorted(at, np.arange(part.stop - part.start + 1))
-                rows += [(feature[a:b].tobytes(), value[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                # in order, so that their steps and most values compress to little
+                rows += [(_tight(np.diff(feature[a:b], prepend=np.int32(0))), _tight(value[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.record_batch(
                 [batch["place"], batch["label"], pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
                 names=["place", "label", "feature", "value"],
@@ -140,7 +149,7 @@ def _train(s: Settings):
         leader = FollowTheLeader(s)
         for batch in batches:
             for x in batch.to_pylist():
-                leader.learn(np.frombuffer(x["feature"], np.int32), np.frombuffer(x["value"], np.float32).astype(np.float64), x["label"])
+                leader.learn(np.cumsum(_loose(x["feature"], np.int32)), _loose(x["value"], np.float32).astype(np.float64), x["label"])
         yield pa.record_batch([pa.array([leader.weights(slice(None)).astype(np.float32).tobytes()], pa.binary())], names=["weights"])
 
     return run

@@ -12,7 +12,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from plumbline.llm.common import Written, table  # noqa: E402
 from plumbline.llm.mixing import mix_sources  # noqa: E402
 from plumbline.llm.quality import classify_quality  # noqa: E402
-from plumbline.llm.queries import LLM_QUERIES  # noqa: E402
+from plumbline.llm.queries import LLM_ORACLES, LLM_QUERIES  # noqa: E402
 from plumbline.llm.simhash import simhash_dedup  # noqa: E402
 
 
@@ -62,3 +62,10 @@ def test_query_has_a_row_for_every_row(spark, data, name):
         assert n == 50
     elif not name.startswith("op6"):
         assert n == table(spark, data, rows).count()
+
+
+@pytest.mark.parametrize("name", sorted(LLM_ORACLES))
+def test_query_equals_sql(spark, data, name):
+    from oracle import compare
+
+    assert compare(spark, data, LLM_QUERIES[name], LLM_ORACLES[name]) == []
