@@ -36,7 +36,7 @@ def running(df: DataFrame, order: str, sums: dict[str, str], descending: bool =
     16,384 at most, so the table of their totals is bounded.
     """
     blocks = blocks or min(16_384, max(8, -(-df.count() // block_rows)))
-    cuts = sorted(set(df.approxQuantile(order, [i / blocks for i in range(1, blocks)], 1 / (4 * blocks))))
+    cuts = sorted(set(df.approxQuantile(order, [i / blocks for i in range(1, blocks)], 1 / (4 * blocks)))) if blocks > 1 else []
     dealt = _block(df, order, cuts, -1 if descending else 1)
     key = F.col(order).desc() if descending else F.col(order).asc()
     within = Window.partitionBy("block_").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)

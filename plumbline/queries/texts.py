@@ -315,4 +315,6 @@ def _shared(spark) -> str:
     import tempfile
 
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return found.rstrip("/") if found else "file://" + tempfile.mkdtemp(prefix="plumbline-")
