@@ -65,7 +65,31 @@ def benchmark(runs: DataFrame) -> DataFrame:
         F.count("in_base").alias("common"),
         F.count("*").alias("n"),
     )
-    per = per.crossJoin(F.broadcast(n))
+    return _deltas(per.crossJoin(F.broadcast(n)))
+
+
+def benchmark_beside(rows: DataFrame, systems: list[str]) -> DataFrame:
+    """The same for systems whose choices are columns of one row an example, the first of them the baseline: one pass, no join."""
+    said = F.array(*[F.struct(F.lit(i).alias("run_ord"), F.lit(name).alias("run"), F.col(name).alias("choice")) for i, name in enumerate(systems)])
+    each = rows.select("gold", F.col(systems[0]).alias("base"), F.inline(said))
+    a, b = F.coalesce(F.col("base") == F.col("gold"), F.lit(False)), F.coalesce(F.col("choice") == F.col("gold"), F.lit(False))
+    every = F.count("*")
+    per = each.groupBy("run_ord", "run").agg(
+        F.avg(b.cast("double")).alias("accuracy"),
+        F.count_if(~a & b).alias("fixed"),
+        F.count_if(a & ~b).alias("regressed"),
+        F.count_if(F.col("choice").isNull()).alias("missing"),
+        every.alias("common"),
+        every.alias("n"),
+        every.alias("base_n"),
+        F.avg(a.cast("double")).alias("base_accuracy"),
+        F.count_if(F.col("base").isNull()).alias("base_missing"),
+    )
+    return _deltas(per)
+
+
+def _deltas(per: DataFrame) -> DataFrame:
+    """A row a system, so its windows are over a handful of rows."""
     first = F.col("run_ord") == F.min("run_ord").over(Window.partitionBy(F.lit(1)))
     ok = ~first & (F.col("missing") == 0) & (F.col("base_missing") == 0) & (F.col("common") == F.col("n")) & (F.col("n") == F.col("base_n"))
     per = per.withColumn("eligible", ok).withColumn("p_value", F.when(ok, mcnemar(F.col("fixed"), F.col("regressed"))))

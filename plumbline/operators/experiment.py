@@ -109,18 +109,21 @@ def values(assessed: DataFrame) -> DataFrame:
     return assessed.where(~F.col("diagnostic")).select("case_id", "repeat", F.inline(F.concat(fixed, F.coalesce(own, none))))
 
 
+def _counted(column: str) -> Column:
+    return F.when(~F.col("diagnostic"), F.col(column))
+
+
 def state(cases: DataFrame, assessed: DataFrame, repeats: int) -> DataFrame:
     """One row: planned, recorded, missing, failures, stage_errors, diagnostic, unstable, eligible."""
-    planned = cases.agg((F.count("*") * repeats).alias("planned"))
-    got = assessed.agg(
+    per = assessed.groupBy("case_id").agg(
         F.count("*").alias("recorded"),
         F.count_if(F.col("error_phase").isNotNull()).alias("attempt_failures"),
         F.sum(F.coalesce(F.size(F.map_keys("errors")), F.lit(0)) + F.coalesce(F.size("step_errors"), F.lit(0))).alias("stage_errors"),
         F.count_if("diagnostic").alias("diagnostic"),
+        (F.min(_counted("output_sha256")) < F.max(_counted("output_sha256"))).alias("differs"),
     )
-    many = assessed.where(~F.col("diagnostic") & F.col("output_sha256").isNotNull()).groupBy("case_id").agg(F.count_distinct("output_sha256").alias("n"))
-    unstable = many.agg(F.count_if(F.col("n") > 1).alias("unstable"))
-    one = planned.crossJoin(got).crossJoin(unstable)
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("recorded", "attempt_failures", "stage_errors", "diagnostic")]
+    one = cases.select("case_id").join(per, "case_id", "left").agg((F.count("*") * repeats).alias("planned"), *sums, F.count_if("differs").alias("unstable"))
     failures = F.col("attempt_failures") + F.coalesce("stage_errors", F.lit(0))
     return one.select("planned", "recorded", (F.col("planned") - F.col("recorded")).alias("missing"), failures.alias("failures"), F.coalesce("stage_errors", F.lit(0)).alias("stage_errors"), "diagnostic", "unstable", (F.col("planned") - F.col("diagnostic")).alias("eligible"))
 

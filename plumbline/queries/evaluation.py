@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_safe
+from ..functions.vectors import dot
 from ..operators import classify, compare, decide, ranking, routing
-from ..plans.fixtures import REJECT, centroid_predictions, labels, predictions, protos, scored, table, with_missing
+from ..plans.fixtures import REJECT, centroid_predictions, centroids, labels, predictions, protos, scored, table, with_missing
 from .registry import CENTROIDS, MATRIX, SCORES, mcnemar_sql, query, wilson_sql
 
 
@@ -169,14 +170,12 @@ def mcnemar_exact(spark, d):
 )
 def benchmark_deltas(spark, d):
     """Three systems and a partial run against the first."""
-    a, b = both_systems(spark, d)
-    part = with_missing(predictions(spark, d)).select(F.col("vec_id").alias("id"), "gold", "choice")
-    named = [(a, 0, "prototype"), (b, 1, "centroid"), (a.withColumn("choice", F.lit("L0")), 2, "constant"), (part, 3, "partial")]
-    runs = None
-    for rows, n, name in named:
-        rows = rows.select(F.lit(n).alias("run_ord"), F.lit(name).alias("run"), "id", "gold", "choice")
-        runs = rows if runs is None else runs.unionByName(rows)
-    return compare.benchmark(runs)
+    rows = scored(spark, d).select("vec_id", "gold", "vector", decide.choice(F.col("shares")).alias("prototype"))
+    beside = decide.beside(rows, centroids(spark, d), "vector")
+    near = F.transform("candidates", lambda c: F.struct(c["ord"].alias("ord"), c["id"].alias("id"), dot(F.col("vector"), c["vector"]).alias("score")))
+    partial = F.when(F.col("vec_id") % 17 != 0, F.col("prototype"))
+    every = beside.select("gold", "prototype", decide.choice(near).alias("centroid"), F.lit("L0").alias("constant"), partial.alias("partial"))
+    return compare.benchmark_beside(every, ["prototype", "centroid", "constant", "partial"])
 
 
 @query(

@@ -45,6 +45,24 @@ def test_metrics_stay_in_the_jvm(spark, data, name):
     assert "CartesianProduct" not in p
 
 
+@pytest.mark.parametrize(
+    ("name", "scans", "exchanges"),
+    [("classification_summary", 3, 8), ("benchmark_deltas", 3, 8), ("confusion_matrix", 3, 6), ("choice_scores", 2, 3), ("lexical_retrieval_topn", 2, 4), ("dup_between_splits", 3, 6)],
+)
+def test_scans_and_exchanges(spark, data, name, scans, exchanges):
+    """As planned, before adaptive execution reuses any of them."""
+    tree = plan(QUERIES[name](spark, data)).split("\n\n")[0]
+    assert tree.count("Scan parquet") <= scans
+    assert tree.count("Exchange (") - tree.count("BroadcastExchange (") <= exchanges
+
+
+def test_no_text_is_dealt_by(spark, data):
+    for name in ("dup_within_split", "dup_between_splits", "train_overlap_semi", "dedup_encode_plan", "support_audit_findings"):
+        keys = [x for x in plan(QUERIES[name](spark, data)).splitlines() if x.startswith("Arguments: hashpartitioning(")]
+        assert keys
+        assert not any(f"hashpartitioning({k}" in x for x in keys for k in ("text", "lower(", "regexp"))
+
+
 def test_top_n_is_cut_before_the_shuffle(spark, data):
     assert "WindowGroupLimit" in plan(QUERIES["split_per_label_sha10"](spark, data))
 
