@@ -10,12 +10,14 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
 from .mixing import mix_sources
+from .oracle_repair import REPAIR
 from .permutation_index import nearest
 from .quality import classify_quality
 from .sentencepiece_lattice import encode_documents
 from .simhash import simhash_dedup
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .turn_repair import damaged, repair_turns
 from .warc import warc_round_trip
 
 
@@ -59,9 +61,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_turns(damaged(table(spark, sf_dir, "conversations")))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_simhash_dedup, op3_html_extract, op4_quality, op5_exact_dedup, op6_mixing, op7_permutation_index, op8_sentencepiece, op9_suffix_dedup, op10_warc)
-}
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_simhash_dedup, op3_html_extract, op4_quality, op5_exact_dedup, op6_mixing, op7_permutation_index,
+        op8_sentencepiece, op9_suffix_dedup, op10_warc, op13_turn_repair,
+    )
+}
 
 #: The units that windows cover, by document: maximal runs and the kept rest. Units: doc_id, pos (from 1), unit, of `units`; windows: doc_id, pos, k.
 _COVERED = """least AS (SELECT k, min(doc_id) AS least FROM windows GROUP BY k),
@@ -72,6 +82,7 @@ _COVERED = """least AS (SELECT k, min(doc_id) AS least FROM windows GROUP BY k),
             FROM (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS before FROM marked) GROUP BY doc_id)"""
 
 LLM_ORACLES: dict[str, str] = {
+    "op13_turn_repair": REPAIR,
     "op1_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         units AS (SELECT doc_id, unnest(w) AS unit, generate_subscripts(w, 1) AS pos FROM d),
