@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
@@ -11,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
 from .mixing import mix_sources
 from .oracle_repair import REPAIR
+from .packing import pack_documents
 from .permutation_index import nearest
 from .quality import classify_quality
 from .sentencepiece_lattice import encode_documents
@@ -61,6 +63,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_turns(damaged(table(spark, sf_dir, "conversations")))
 
@@ -69,7 +75,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_simhash_dedup, op3_html_extract, op4_quality, op5_exact_dedup, op6_mixing, op7_permutation_index,
-        op8_sentencepiece, op9_suffix_dedup, op10_warc, op13_turn_repair,
+        op8_sentencepiece, op9_suffix_dedup, op10_warc, op12_packing, op13_turn_repair,
     )
 }
 
