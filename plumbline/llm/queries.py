@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
@@ -21,6 +22,7 @@ from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .turn_repair import damaged, repair_turns
 from .warc import warc_round_trip
+from .whitening import whiten
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +65,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -75,7 +81,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_simhash_dedup, op3_html_extract, op4_quality, op5_exact_dedup, op6_mixing, op7_permutation_index,
-        op8_sentencepiece, op9_suffix_dedup, op10_warc, op12_packing, op13_turn_repair,
+        op8_sentencepiece, op9_suffix_dedup, op10_warc, op11_whitening, op12_packing, op13_turn_repair,
     )
 }
 
