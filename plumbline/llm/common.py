@@ -44,7 +44,7 @@ def bounded(df: DataFrame, batch: str = "8m") -> DataFrame:
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     number = re.fullmatch(r"(\d+)([bkm]?)b?", conf.get(name, "64m").lower())
     size = int(number[1]) * {"k": 1 << 10, "m": 1 << 20}.get(number[2], 1) if number else math.inf
-    if size > 8 << 20:
+    if size > int(batch[:-1]) << 20:
         conf.set(name, batch)
     return df
 

@@ -11,6 +11,7 @@ are taken apart at the end and their pieces cut to fill the others, so a group h
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,33 +30,56 @@ _CUT = pa.schema([*_FIELDS, ("ordinal", pa.int64()), ("ids", pa.binary())])
 _OUT = pa.schema(_FIELDS)
 
 
-def word_ids(path: str, cache: int = 1 << 20):
+#: A word of Latin letters (without the one whose lower case is two characters) and the marks after it: two units that are
+#: normal already, but for capitals.
+_PLAIN = re.compile("([A-Za-zªµºÀ-ÖØ-öø-įıĲ-ɏ]*)([.,!?;:]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself if it is printable and no space, else the next one from U+0100 on."""
+    shown = [b for b in range(256) if b in range(0x21, 0x7F) or b in range(0xA1, 0x100) and b != 0xAD]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
+def word_ids(path: str, cache: int = 1 << 19, latin: bool = True):
     """A function that gives a text's ids as an array, by whole words between ASCII white space.
 
     The tokenizer of `path` must drop white space and look at no word's neighbours. Each distinct word is encoded once;
-    the table of words starts anew when it has more than `cache`.
+    the table of words starts anew when it has more than `cache`. latin: the tokenizer lower-cases, and takes a word's Latin letters and
+    the marks after them each as one unit of byte letters, so its merges are asked directly, without its patterns.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    merges, letters = tokenizer.model, _byte_letters()
     kind = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
     known: dict[str, int] = {}
+    units: dict[str, list[int]] = {"": []}
     flat, starts = np.zeros(0, kind), np.zeros(1, np.int64)
 
+    def unit(x: str) -> list[int]:
+        if x not in units:
+            units[x] = [t.id for t in merges.tokenize(x if x.isascii() else "".join(letters[b] for b in x.encode()))]
+        return units[x]
+
     def learn(words: list[str]) -> np.ndarray:
         nonlocal flat, starts
         if len(known) > cache:
-            known.clear()
+            known.clear(), units.clear(), units.update({"": []})
             flat, starts = flat[:0], starts[:1]
         new = [w for w in words if w not in known]
+        plain = [_PLAIN.fullmatch(w) if latin else None for w in new]
+        others = [w for w, m in zip(new, plain, strict=True) if not m]
+        full = iter([e.ids for a in range(0, len(others), 1024) for e in tokenizer.encode_batch_fast(others[a : a + 1024], add_special_tokens=False)])
+        ids = [unit(m[1].lower()) + unit(m[2]) if m else next(full) for m in plain]
         if new:
-            ids = [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             flat = np.concatenate([flat, np.fromiter((i for x in ids for i in x), kind)])
             starts = np.concatenate([starts, starts[-1] + np.cumsum([len(x) for x in ids])])
-        return np.fromiter((known[w] for w in words), np.int64, len(words))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
-    def encode(texts: pa.Array, slice_words: int = 1 << 19) -> Iterator[list[np.ndarray]]:
+    def encode(texts: pa.Array, slice_words: int = 1 << 18) -> Iterator[list[np.ndarray]]:
         """Each text's ids, as a list of arrays."""
         words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         bounds, values = words.offsets.to_numpy(), words.values
@@ -201,7 +225,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, window: int = 2048, end
     """
     if window < 1 or pieces < 1 or slack < 0:
         raise ValueError("window and pieces must be positive, slack not negative")
-    docs = bounded(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    docs = bounded(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "2m")
     cut = Written(docs.mapInArrow(_cut(tokenizer, window, end), f"{_PIECE}, ordinal long, ids binary"), "pieces").read()
     rest = cut.where("sequence_id is null")
     groups = max(1, math.ceil(rest.count() / pieces))

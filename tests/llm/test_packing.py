@@ -85,8 +85,9 @@ TEXTS = ["don't stop", "a\x0bb\x0cc\x1cd\x85e f", "é ́x ́", "İstanbul ΣΑ
 def test_words_are_independent(tokenizer):
     """Ids by words are those of the whole text, with a table that starts anew all the time too."""
     rng = random.Random(3)
-    alphabet = "abcXYZéßΣ'’.,!?<|>01  \t\n\x0b\x0c\r\x1c\x85 ́ 中日"
+    alphabet = "abcXYZéÉßǅŸſİıŉΣµÅÅ'’.,!?<|>01  \t\n\x0b\x0c\r\x1c\x85 ́ 中日"
     texts = TEXTS + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(2000)]
+    texts += [chr(c) + 'a' + chr(c) + '. A' + chr(c) for c in range(0x21, 0x300)] + ['?!. ;;: ... a.b a..b .a']
     want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     for cache, size in ((1 << 20, 1 << 19), (50, 64)):
         encode, _ = word_ids(PATH, cache)
