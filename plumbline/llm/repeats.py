@@ -25,6 +25,7 @@ from a chunk to a bucket stays worth its row.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import Written, bounded, free_shuffles, text_bytes
 from .hashing import Rolling, join_bytes, mix, word_spans
-from .suffix_order import equal_windows, same_bytes
+from .suffix_order import equal_token_windows, equal_windows, same_bytes
 
 NO_ID = np.iinfo(np.int64).max
 
@@ -444,10 +445,51 @@ def _pieces(u: Units, plan: Plan, buckets: int, anchor_buckets: int, heavy: Heav
     ids, least, docs = u.ids[doc], np.full(len(begin), NO_ID), np.zeros(0, np.int64)
     np.minimum.at(least, number, u.need[doc] if plan.every else ids)
     if plan.every:
-        docs = np.bincount(np.unique(number * len(u.ids) + doc) // len(u.ids), minlength=len(begin))
+        held = np.unique(number * len(u.ids) + doc)
+        docs = np.bincount(held // len(u.ids), minlength=len(begin))
+        again = _said_again(u, plan, route[begin], at[begin], long[begin], held // len(u.ids), held % len(u.ids))
+        if again:
+            return _with_again(Pieces(route[begin], bucket[begin], at[begin], long[begin], least, docs, at, long, ids, number), again)
     return Pieces(route[begin], bucket[begin], at[begin], long[begin], least, docs, at, long, ids, number)
 
 
+def _said_again(u: Units, plan: Plan, route: np.ndarray, unit: np.ndarray, windows: np.ndarray, piece: np.ndarray, doc: np.ndarray) -> Counter:
+    """Runs of windows that documents have in an earlier piece of the same route already: (piece, first window, windows), and in how many documents.
+
+    piece, doc: which documents have which of the distinct pieces.
+    """
+    out = Counter()
+    order = np.lexsort((piece, route[piece], doc))
+    piece, doc = piece[order], doc[order]
+    begin = _begins(doc, route[piece])
+    count = np.diff(begin, append=len(piece))
+    for a, n in zip(begin[count > 1].tolist(), count[count > 1].tolist(), strict=True):
+        seen: set[bytes] = set()
+        for j in piece[a : a + n].tolist():
+            low = unit[j] + np.arange(windows[j])
+            own = [u.buf[x:y].tobytes() for x, y in zip(u.start[low].tolist(), u.end[low + plan.window - 1].tolist(), strict=True)]
+            old = np.array([False, *(w in seen for w in own), False])
+            edges = np.flatnonzero(old[1:] != old[:-1]).tolist()
+            out.update((j, x, y - x) for x, y in zip(edges[::2], edges[1::2], strict=True))
+            seen.update(own)
+    return out
+
+
+def _with_again(p: Pieces, again: Counter) -> Pieces:
+    """The same with entries that take back what several pieces of one document count twice; these are never flagged."""
+    j, first, long = np.array(list(again), np.int64).T
+    n = len(p.route)
+    bucket = np.concatenate([p.bucket, p.bucket[j]])
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    columns = (
+        (p.route, p.route[j]), (p.bucket, p.bucket[j]), (p.unit, p.unit[j] + first), (p.windows, long),
+        (p.least, np.full(len(j), NO_ID)), (p.docs, -np.array(list(again.values()), np.int64)),
+    )
+    return Pieces(*(np.concatenate(c)[order] for c in columns), p.at, p.long, p.id, place[:n][p.number])
+
+
 def _apart(buf: np.ndarray, low: np.ndarray, size: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and first occurrences of distinct pieces where equal hashes hide different bytes."""
     number, first = np.empty(len(low), np.int64), []
@@ -535,8 +577,16 @@ def _by_window(plan: Plan, buf: np.ndarray, low: np.ndarray, size: np.ndarray, w
         word = np.repeat(np.searchsorted(piece, np.arange(len(n))), m) + inner
         start = begins[word]
         long = ends[word + plan.window - 1] - start
-    order, begin = equal_windows(text, own, n, start, long)
-    values = np.repeat(value[some], m)[order]
+    if plan.every:
+        order, begin = equal_token_windows(text, begins, ends, piece, word, plan.window)
+        group = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(order)))
+        values = np.zeros(len(order), np.int64)
+        # a piece that has a window twice has it once
+        once = np.unique(group * len(route) + np.repeat(some, m)[order], return_index=True)[1]
+        values[once] = np.repeat(value[some], m)[order][once]
+    else:
+        order, begin = equal_windows(text, own, n, start, long)
+        values = np.repeat(value[some], m)[order]
     out[at[order]] = np.repeat((np.add if plan.every else np.minimum).reduceat(values, begin), np.diff(begin, append=len(order)))
     return out
 

@@ -8,12 +8,14 @@ no comparison goes deeper than 24 bytes, however long the repeats are. Neighbour
 a window's bytes are equal windows.
 
 Word windows have their own lengths: they are grouped by hash, and each is held byte for byte against
-its group's first.
+its group's first. Token windows (runs that many documents of a host share) come from a suffix array of the token
+streams: tokens are numbered by their bytes, and suffixes are ranked by prefix doubling to the window's depth.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from .hashing import Rolling, mix
 
@@ -143,3 +145,32 @@ def equal_windows(text: np.ndarray, low: np.ndarray, size: np.ndarray, start: np
         out.append(todo[same])
         todo = todo[~same]  # equal hashes of different bytes: groups of their own
     return np.concatenate([order[:0], *out]), np.concatenate([np.zeros(0, np.int64), *begin_all])
+
+
+def token_suffix_ranks(token: np.ndarray, stream: np.ndarray, depth: int) -> np.ndarray:
+    """By place: the rank of the suffix there among all, by its first `depth` tokens; none goes beyond its stream, and a shorter one comes first."""
+    rank, known = token.astype(np.int64), 1
+    while known < depth:
+        step = min(known, depth - known)
+        behind = np.zeros(len(rank), np.int64)
+        same = stream[step:] == stream[:-step]
+        behind[: len(same)] = np.where(same, rank[step:] + 1, 0)
+        rank = np.unique(rank * (int(rank.max(initial=0)) + 2) + behind, return_inverse=True)[1]
+        known += step
+    return rank
+
+
+def equal_token_windows(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, stream: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of `depth` tokens at the places `at` in suffix order, and where in it a window begins that its neighbour before isn't equal to.
+
+    begins, ends, stream: each token's first byte, its end, and the stream it belongs to.
+    """
+    size = ends - begins
+    low = np.concatenate([[0], np.cumsum(size)])
+    packed = text[np.repeat(begins - low[:-1], size) + np.arange(int(low[-1]))]
+    words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(low.astype(np.int64)), pa.py_buffer(packed)])
+    rank = token_suffix_ranks(words.dictionary_encode().indices.to_numpy(), stream, depth)[at]
+    order = np.argsort(rank, kind="stable")
+    new = np.ones(len(at), bool)
+    new[1:] = rank[order][1:] != rank[order][:-1]
+    return order, np.flatnonzero(new)

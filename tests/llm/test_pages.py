@@ -120,6 +120,70 @@ def test_host_array_equals_brute_force(spark):
         assert got[i] == "\n\n".join(x for x in want if x)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_a_page_counts_once_however_often_it_says_a_run(spark, seed):
+    """Twelve hosts of five pages: two pages have s, one of them in two different pieces, and no third page has it."""
+    rng = random.Random(seed)
+    rows, texts = [], {}
+    for h in range(12):
+        word = lambda n, h=h: " ".join(f"{rng.choice('abcdefghij')}{rng.randrange(1000)}h{h}" for _ in range(n))
+        s, t = word(14), word(14)
+        parts = [[f"{s} {t}", f"{word(12)} {s}", f"{s} {s}"], [f"{s} {t}"], [word(20)], [word(20)], [word(20)]]
+        for i, p in enumerate(parts):
+            rows.append((10 * h + i, f"http://h{h}.org/{i}", "".join(f"<p>{x}</p>" for x in p)))
+            texts[10 * h + i] = "\n\n".join(p)
+    assert {r.page_id: r.text for r in extract_main_text(pages(spark, rows)).collect()} == texts
+
+
+def test_token_suffixes_against_sorting():
+    import numpy as np
+
+    from plumbline.llm.suffix_order import equal_token_windows
+
+    rng = random.Random(2)
+    for depth in (1, 2, 3, 5, 10):
+        streams = [[rng.choice(["a", "ab", "b", "ba", ""]) for _ in range(rng.randrange(40))] for _ in range(12)]
+        text, begins, ends, stream = b"", [], [], []
+        for i, s in enumerate(streams):
+            for w in s:
+                begins.append(len(text))
+                text += w.encode() + b" "
+                ends.append(len(text) - 1)
+                stream.append(i)
+        flat = [w for s in streams for w in s]
+        at = [i for i in range(len(flat)) if i + depth <= len(flat) and stream[i] == stream[i + depth - 1]]
+        order, begin = equal_token_windows(np.frombuffer(text, np.uint8), np.array(begins), np.array(ends), np.array(stream), np.array(at, np.int64), depth)
+        groups = np.split(order, begin[1:])
+        want = {}
+        for k, i in enumerate(at):
+            want.setdefault(tuple(flat[i : i + depth]), []).append(k)
+        assert sorted(sorted(g.tolist()) for g in groups if len(g)) == sorted(want.values())
+
+
+def test_the_array_decides(spark, monkeypatch):
+    """Pages of four layouts with known main text: right with the host array, wrong without it."""
+    from plumbline.llm import html_extract as module
+
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice("rain sun wind cloud river stone field light leaf road".split()) + str(rng.randrange(50)) for _ in range(n))
+    menu, promo, legal = ("all our pages and sections in one list for you to choose", "get the letter of the week with the best of our stories inside", "all rights are with the owners of this site and its many makers")
+    layouts = [
+        lambda a, b: f"<div>{menu}</div><div>{a}</div><div>{b}</div><div>{legal}</div>",
+        lambda a, b: f"<main><p>{menu}</p><p>{a}</p><p>{b}</p><p>{promo}</p></main>",
+        lambda a, b: f"<article><p>{a}</p><p class='letter-promo-story'>{promo}</p><p>{b}</p></article>",
+        lambda a, b: f"<table><tr><td>{menu}</td></tr></table><p>{a}</p><p>{promo}</p><p>{b}</p>",
+    ]
+    rows, want = [], {}
+    for h, layout in enumerate(layouts):
+        for i in range(6):
+            a, b = say(25), say(30)
+            rows.append((10 * h + i, f"http://h{h}.net/{i}", f"<html><body>{layout(a, b)}</body></html>"))
+            want[10 * h + i] = f"{a}\n\n{b}"
+    assert {r.page_id: r.text for r in extract_main_text(pages(spark, rows)).collect()} == want
+    off = {r.page_id: r.text for r in module.extract_main_text(pages(spark, rows), least=10**6).collect()}
+    assert all(off[i] != want[i] for i in want)
+
+
 def test_hints_in_an_article_need_the_host(spark):
     """A class that may be furniture's goes where the host repeats its text, and stays where it doesn't."""
     promo = "get the best of our stories in your mailbox every single week for free"
