@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +30,10 @@ _CUT = pa.schema([*_FIELDS, ("ordinal", pa.int64()), ("ids", pa.binary())])
 _OUT = pa.schema(_FIELDS)
 
 
-#: A word of Latin letters (without the one whose lower case is two characters) and the marks after it: two units that are
-#: normal already, but for capitals.
-_PLAIN = re.compile("([A-Za-zªµºÀ-ÖØ-öø-įıĲ-ɏ]*)([.,!?;:]*)")
+#: Marks that are a unit of their own behind a letter or digit, and Latin letters that are normal already but for
+#: capitals (without the one whose lower case is two characters).
+_MARKS = ".,!?;:"
+_LATIN = re.compile("[A-Za-zªµºÀ-ÖØ-öø-įıĲ-ɏ]*")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -42,62 +43,97 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
 
-def word_ids(path: str, cache: int = 1 << 19, latin: bool = True):
-    """A function that gives a text's ids as an array, by whole words between ASCII white space.
+class WordIds:
+    """Ids of texts by whole words between ASCII white space, each distinct word encoded once.
 
-    The tokenizer of `path` must drop white space and look at no word's neighbours. Each distinct word is encoded once;
-    the table of words starts anew when it has more than `cache`. latin: the tokenizer lower-cases, and takes a word's Latin letters and
-    the marks after them each as one unit of byte letters, so its merges are asked directly, without its patterns.
+    The tokenizer of `path` must drop white space and look at no word's neighbours; it takes marks behind a letter or
+    digit as a unit of their own. The table of words starts anew when it has more than `cache`. latin: it lower-cases, and Latin
+    letters are one unit of byte letters, so its merges are asked directly, without its patterns.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    merges, letters = tokenizer.model, _byte_letters()
-    kind = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-    known: dict[str, int] = {}
-    units: dict[str, list[int]] = {"": []}
-    flat, starts = np.zeros(0, kind), np.zeros(1, np.int64)
-
-    def unit(x: str) -> list[int]:
-        if x not in units:
-            units[x] = [t.id for t in merges.tokenize(x if x.isascii() else "".join(letters[b] for b in x.encode()))]
-        return units[x]
-
-    def learn(words: list[str]) -> np.ndarray:
-        nonlocal flat, starts
-        if len(known) > cache:
-            known.clear(), units.clear(), units.update({"": []})
-            flat, starts = flat[:0], starts[:1]
+
+    def __init__(self, path: str, cache: int = 1 << 19, latin: bool = True):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merges, self.letters = self.tokenizer.model, _byte_letters()
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.cache, self.latin = cache, latin
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.starts = np.zeros(0, self.kind), np.zeros(1, np.int64)
+
+    def _merged(self, x: str) -> list[int]:
+        x = x.lower()
+        return [t.id for t in self.merges.tokenize(x if x.isascii() else "".join(map(self.letters.__getitem__, x.encode())))]
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """The words' numbers."""
+        if len(self.known) > self.cache:
+            self._clear()
+        known = self.known
         new = [w for w in words if w not in known]
-        plain = [_PLAIN.fullmatch(w) if latin else None for w in new]
-        others = [w for w, m in zip(new, plain, strict=True) if not m]
-        full = iter([e.ids for a in range(0, len(others), 1024) for e in tokenizer.encode_batch_fast(others[a : a + 1024], add_special_tokens=False)])
-        ids = [unit(m[1].lower()) + unit(m[2]) if m else next(full) for m in plain]
         if new:
+            # strings of letters alone, then all others in calls of a thousand
+            plain = [self.latin and (w.isalpha() if w.isascii() else _LATIN.fullmatch(w) is not None) for w in new]
+            others = [w for w, p in zip(new, plain, strict=True) if not p]
+            full = iter([e.ids for a in range(0, len(others), 1024) for e in self.tokenizer.encode_batch_fast(others[a : a + 1024], add_special_tokens=False)])
+            ids = [self._merged(w) if p else next(full) for w, p in zip(new, plain, strict=True)]
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            flat = np.concatenate([flat, np.fromiter((i for x in ids for i in x), kind)])
-            starts = np.concatenate([starts, starts[-1] + np.cumsum([len(x) for x in ids])])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), self.kind)])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
-    def encode(texts: pa.Array, slice_words: int = 1 << 18) -> Iterator[list[np.ndarray]]:
+    def _stems(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words, and the mark behind each that is a unit of its own (0: none), which its word is then without."""
+        stems = pc.utf8_rtrim(words, _MARKS)
+        size = pc.binary_length(stems).to_numpy()
+        one = pc.binary_length(words).to_numpy() - size == 1
+        if not one.any():
+            return words, np.zeros(len(words), np.uint8)
+        _, offsets, body = stems.buffers()
+        body = np.frombuffer(body, np.uint8)
+        last = body[np.frombuffer(offsets, np.int64, len(stems) + 1, 8 * stems.offset)[1:] - 1]  # of an empty one another's, which isn't used
+        letter, digit = (last | 32 >= ord("a")) & (last | 32 <= ord("z")), (last >= ord("0")) & (last <= ord("9"))
+        own = one & (size > 0) & (letter | digit)
+        _, offsets, body = words.buffers()
+        mark = np.frombuffer(body, np.uint8)[np.frombuffer(offsets, np.int64, len(words) + 1, 8 * words.offset)[1:] - 1]
+        return pc.if_else(pa.array(own), stems, words), np.where(own, mark, 0)
+
+    def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, and where those of each word end."""
+        stems, marks = self._stems(words)
+        coded = stems.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = self._learn([*distinct, *_MARKS])
+        unit = np.empty(2 * len(words), np.int64)
+        unit[::2] = number[coded.indices.to_numpy()]
+        behind = np.zeros(256, np.int64)
+        behind[[ord(m) for m in _MARKS]] = number[len(distinct) :]
+        unit[1::2] = behind[marks]
+        sizes = self.starts[unit + 1] - self.starts[unit]
+        sizes[1::2][marks == 0] = 0
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[unit] - (ends - sizes), sizes) + np.arange(ends[-1])], ends[1::2]
+
+    def __call__(self, texts: pa.Array, slice_words: int = 1 << 18) -> list[list[np.ndarray]]:
         """Each text's ids, as a list of arrays."""
         words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         bounds, values = words.offsets.to_numpy(), words.values
         parts: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
         for a in range(0, len(values), slice_words):
-            coded = values.slice(a, slice_words).dictionary_encode()
-            word = learn(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-            sizes = starts[word + 1] - starts[word]
-            ends = np.cumsum(sizes)
-            ids = flat[np.repeat(starts[word] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-            first, last = np.searchsorted(bounds, a, "right") - 1, np.searchsorted(bounds, a + len(word), "left")
+            ids, ends = self._encode(values.slice(a, slice_words))
+            first, last = np.searchsorted(bounds, a, "right") - 1, np.searchsorted(bounds, a + len(ends), "left")
             for t in range(max(first, 0), min(last, len(texts))):
-                lo, hi = max(bounds[t], a) - a, min(bounds[t + 1], a + len(word)) - a
+                lo, hi = max(bounds[t], a) - a, min(bounds[t + 1], a + len(ends)) - a
                 if hi > lo:
                     parts[t].append(ids[ends[lo - 1] if lo else 0 : ends[hi - 1]])
         return parts
 
-    return encode, kind
+
+#: A worker's tables, kept from task to task.
+_TABLES: dict[str, WordIds] = {}
 
 
 def crc(ids: np.ndarray) -> int:
@@ -108,12 +144,14 @@ def _cut(path: str, window: int, end: int):
     """Full windows as sequences of their own; the rest of a document with its ids."""
 
     def run(batches):
-        encode, kind = word_ids(path)
+        if path not in _TABLES:
+            _TABLES[path] = WordIds(path)
+        encode = _TABLES[path]
         part, ordinal, full = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             rows = [[] for _ in _CUT]
             for doc, parts in zip(batch["doc_id"].to_pylist(), encode(batch["text"]), strict=True):
-                ids = np.concatenate([*parts, np.array([end], kind)])
+                ids = np.concatenate([*parts, np.array([end], encode.kind)])
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window]
                     whole = len(piece) == window

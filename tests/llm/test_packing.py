@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from plumbline.llm.packing import Windows, best_fit, pack_documents, word_ids
+from plumbline.llm.packing import Windows, WordIds, best_fit, pack_documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -87,10 +87,10 @@ def test_words_are_independent(tokenizer):
     rng = random.Random(3)
     alphabet = "abcXYZéÉßǅŸſİıŉΣµÅÅ'’.,!?<|>01  \t\n\x0b\x0c\r\x1c\x85 ́ 中日"
     texts = TEXTS + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(2000)]
-    texts += [chr(c) + 'a' + chr(c) + '. A' + chr(c) for c in range(0x21, 0x300)] + ['?!. ;;: ... a.b a..b .a']
+    texts += [chr(c) + 'a' + chr(c) + '. A' + chr(c) for c in range(0x21, 0x300)] + ['?!. ;;: ... a.b a..b .a 7. é. é.. x! ”. a”. .. a., don\'t. It\'s! <|endoftext|>. x']
     want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     for cache, size in ((1 << 20, 1 << 19), (50, 64)):
-        encode, _ = word_ids(PATH, cache)
+        encode = WordIds(PATH, cache)
         got = [np.concatenate([np.zeros(0, int), *p]).tolist() for p in encode(pa.array(texts), size)]
         assert got == want
 
