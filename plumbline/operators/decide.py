@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..functions.vectors import dot, let, softmax, total
+from .overlap import MOST_TOKENS, best_ask, stated
 
 MAX_CANDIDATES, MAX_QUESTIONS, MAX_TEXT, MAX_REQUEST, MAX_ID = 256, 32, 65_536, 262_144, 128
 
@@ -117,18 +118,19 @@ def noul_candidates(instructions: Column, false_text: Column, true_text: Column)
     )
 
 
-def most_shared(states: DataFrame, candidates: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+def most_shared(states: DataFrame, candidates: DataFrame, key: str, most: int = MOST_TOKENS) -> DataFrame:
     """key, choice, score: the candidate that shares most distinct tokens with each state; the first in order wins ties.
 
-    Both have `t`, distinct tokens. States meet candidates over tokens that both have, never as all pairs. The
-    candidates' tokens are broadcast if they are at most `most`, and joined by a shuffle beyond.
+    Both have `t`, distinct tokens; key and ord are whole numbers. Candidates of at most `most` tokens in all are an index in every task, whose
+    common tokens form no pairs where a state's best shares more than these (overlap.py); others are met by a shuffle of tokens.
     """
-    tokens = candidates.select(F.explode("t").alias("token"), "ord")
-    small = tokens.limit(most + 1).count() <= most
-    by_token = tokens.groupBy("token").agg(F.collect_list("ord").alias("ords")) if small else tokens.select("token", F.array("ord").alias("ords"))
-    met = states.select(key, F.explode("t").alias("token")).join(F.broadcast(by_token) if small else by_token, "token")
-    counted = met.select(key, F.explode("ords").alias("ord")).groupBy(key, "ord").agg(F.count("*").alias("n"))
-    top = counted.groupBy(key).agg(F.max(F.struct("n", (-F.col("ord")).alias("o"))).alias("top"))
+    asks = stated(candidates, "ord", "t", most)
+    if asks is not None:
+        top = best_ask(states, key, "t", asks).select(F.col("key").alias(key), F.struct(F.col("overlap").alias("n"), (-F.col("ask")).alias("o")).alias("top"))
+    else:
+        tokens = candidates.select(F.explode("t").alias("token"), "ord")
+        met = states.select(key, F.explode("t").alias("token")).join(tokens, "token")
+        top = met.groupBy(key, "ord").agg(F.count("*").alias("n")).groupBy(key).agg(F.max(F.struct("n", (-F.col("ord")).alias("o"))).alias("top"))
     first = candidates.agg(F.min("ord").alias("first_"))
     out = states.select(key).join(top, key, "left").crossJoin(F.broadcast(first))
     return out.select(key, F.coalesce(-F.col("top.o"), F.col("first_")).alias("choice"), F.coalesce("top.n", F.lit(0)).cast("double").alias("score"))

@@ -6,11 +6,12 @@ row; only the summary by metric shuffles, after map-side sums.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..functions.vectors import total
+from .overlap import MOST_TOKENS, stated, top_rows
 
 STAGES = ["routing", "retrieval", "reranking", "context", "answer"]
 
@@ -125,17 +126,16 @@ def unstable(outputs: DataFrame) -> DataFrame:
 def lexical_retrieval(corpus: DataFrame, queries: DataFrame, top: int, most: int = 10_000) -> DataFrame:
     """query_id, doc_id, overlap, rank: the documents that share most distinct tokens with a query; ties to the smaller doc_id.
 
-    corpus: doc_id, tokens (distinct). queries: query_id, tokens; a stated set of at most `most`, which is
-    checked, since each of its tokens goes to every task with the queries that have it. Documents meet queries
-    over tokens that both have, never as all pairs; what is found is cut to the best per task before it moves.
+    corpus: doc_id, tokens (distinct). queries: query_id, tokens; a stated set of at most `most` with a million tokens in
+    all, which is checked. Common tokens form no pairs where the best documents share more than these (overlap.py).
     """
-    if (n := queries.count()) > most:
-        raise ValueError(f"{n} queries; at most {most} are sent to every task")
-    asked = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.collect_list("query_id").alias("asked"))
-    met = corpus.select("doc_id", F.explode("tokens").alias("token")).join(F.broadcast(asked), "token")
-    found = met.select("doc_id", F.explode("asked").alias("query_id")).groupBy("query_id", "doc_id").agg(F.count("*").cast("int").alias("overlap"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "doc_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    asks = stated(queries, "query_id", "tokens")
+    if asks is None:
+        raise ValueError(f"the queries have more than {MOST_TOKENS} tokens in all")
+    if len(asks) > most:
+        raise ValueError(f"{len(asks)} queries; at most {most} are sent to every task")
+    found = top_rows(corpus, "doc_id", "tokens", asks, top)
+    return found.select(F.col("ask").alias("query_id"), F.col("key").alias("doc_id"), F.col("overlap").cast("int").alias("overlap"), "rank")
 
 
 def rewrite(queries: DataFrame, text: str, aliases: dict[str, str]) -> DataFrame:

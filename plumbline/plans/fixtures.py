@@ -11,6 +11,7 @@ from ..operators.classify import with_evidence
 from ..operators.decide import beside, candidate_rows, choice, score_vectors, with_shares
 from ..operators.prepare import bucket_split
 from ..operators.rag import lexical_retrieval
+from ..shared import saved
 
 FACTOR = scale(2.0)
 REJECT = "L9"
@@ -123,7 +124,7 @@ def retrieved(spark: SparkSession, d: str, top: int = 10) -> DataFrame:
 def judged(spark: SparkSession, d: str) -> DataFrame:
     """query_id, ranked (ten ids), judgments: grade 2 for a literal hit, 0 for under half of the item's words, else none.
 
-    Judgments are of the thirty documents retrieved first.
+    Judgments are of the thirty documents retrieved first. Saved: a row an item, read by all that assesses it.
     """
     hits = retrieved(spark, d, 30)
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), F.size(token_set(F.col("text"))).alias("words"))
@@ -134,13 +135,14 @@ def judged(spark: SparkSession, d: str) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("id"), "grade", "literal")))  # at most thirty
     out = rows.groupBy("query_id").agg(ordered.alias("o"), F.first("item").alias("item"))
     known = F.filter("o", lambda x: x["grade"].isNotNull())
-    return out.select(
+    out = out.select(
         "query_id",
         "item",
         F.transform(F.slice("o", 1, 10), lambda x: x["id"]).alias("ranked"),
         F.map_from_arrays(F.transform(known, lambda x: x["id"]), F.transform(known, lambda x: x["grade"])).alias("judgments"),
         F.transform(F.filter(F.slice("o", 1, 10), lambda x: x["literal"]), lambda x: x["id"]).alias("literal"),
     )
+    return saved(out, "judged")
 
 
 def traces(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import prepare, rag, ranking
 from ..plans.fixtures import judged, retrieved, splits, table, traces, votes
+from ..shared import shared_dir
 from ..sources.io import verified_files
 from ..streaming.pipeline import classify_stream, evaluate, stream_files
 from .registry import query
@@ -303,18 +304,9 @@ def stream_classify(spark, d):
     import uuid
 
     docs = table(spark, d, "documents")
-    place = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     docs.select("doc_id", "text").write.parquet(f"{place}/in")
     judge = lambda df: df.select("doc_id", F.when(F.length("text") > 500, "long").otherwise("short").alias("choice"))
     q = classify_stream(stream_files(spark, f"{place}/in", docs.select("doc_id", "text").schema), judge, f"{place}/out", f"{place}/state")
     q.awaitTermination()
     return spark.read.schema("doc_id bigint, choice string").parquet(f"{place}/out").select("doc_id", "choice")
-
-
-def _shared(spark) -> str:
-    import tempfile
-
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return found.rstrip("/") if found else "file://" + tempfile.mkdtemp(prefix="plumbline-")
