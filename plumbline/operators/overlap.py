@@ -4,7 +4,7 @@ An inverted index over the stated lists (asks) is broadcast; its size is checked
 the table first. If a pair must share `need` tokens to matter, and an ask has m, the pair shares one of the ask's
 m - need + 1 rarest: only these are looked up, so common tokens form no pairs. What is needed is known from exact scores of a few
 seeds, and ties are part of the bound: a later one of equal score needs one token more. Every bound is proven, nothing is cut by
-a guess; seeds only say how much is pruned. A found pair is scored once, at the rarest token that it shares, beside its row.
+a guess; seeds only say how much is pruned. Only pairs that meet at a token that is looked up are scored.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from ..functions.text import overlap
 from ..shared import saved
 
 MOST_TOKENS = 1_000_000
-_ASKS = "ask bigint, toks array<string>"
+_ASKS = "ask bigint, toks array<int>"
 
 
 def stated(asks: DataFrame, ask: str, tokens: str, most: int = MOST_TOKENS) -> list[Row] | None:
@@ -26,32 +26,37 @@ def stated(asks: DataFrame, ask: str, tokens: str, most: int = MOST_TOKENS) -> l
     return rows.collect() if size <= most else None
 
 
-def reduced(table: DataFrame, key: str, tokens: str, asks: list[Row]) -> DataFrame:
-    """key, t: of each row of the table the distinct tokens that some ask has; rows without any are left out. Saved, as it is read several times."""
-    spark = table.sparkSession
-    known = spark.createDataFrame([(t,) for t in sorted({t for a in asks for t in a["toks"] or ()})], "token string")
+def reduced(table: DataFrame, key: str, tokens: str, asks: list[Row]) -> tuple[DataFrame, list[tuple[int, list[int]]]]:
+    """row, key, t: of each row of the table, by a number of its own, the distinct tokens that some ask has; and the asks. Tokens are numbered by name.
+
+    Rows without any are left out. Saved, as it is read several times.
+    """
+    number = {t: i for i, t in enumerate(sorted({t for a in asks for t in a["toks"] or ()}))}
+    known = table.sparkSession.createDataFrame(list(number.items()), "token string, number int")
     numbered = table.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.array_distinct(tokens).alias("tokens"))
     met = numbered.select("key", "row", F.explode("tokens").alias("token")).join(F.broadcast(known), "token")
     # a row's tokens are beside each other, so the sums by row are all but done before they move
-    return saved(met.groupBy("row", "key").agg(F.collect_list("token").alias("t")).select("key", "t"), "overlap")
+    rows = saved(met.groupBy("row", "key").agg(F.collect_list("number").alias("t")), "overlap")
+    return rows, [(a["ask"], [number[t] for t in a["toks"] or ()]) for a in asks]
 
 
-def by_impact(table: DataFrame, asks: list[Row]) -> tuple[DataFrame, dict[str, int]]:
-    """ask, toks: tokens by rising number of rows that have them, then by name; and these numbers."""
+def by_impact(table: DataFrame, asks: list[tuple[int, list[int]]]) -> tuple[list[tuple[int, list[int]]], dict[int, int]]:
+    """The asks with tokens by rising number of rows that have them; and these numbers."""
     times = {r["token"]: r["n"] for r in table.select(F.explode("t").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = [(a["ask"], sorted(a["toks"] or [], key=lambda t: (times.get(t, 0), t))) for a in asks]
-    return table.sparkSession.createDataFrame(rows, _ASKS), times
+    return [(a, sorted(toks, key=lambda t: (times.get(t, 0), t))) for a, toks in asks], times
 
 
-def _first_shared(toks: Column, t: Column) -> Column:
-    return F.get(F.filter(toks, lambda x: F.array_contains(t, x)), F.lit(0))
+def _looked_up(table: DataFrame, index: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """row, ask: the pairs that share a token of the index for which `wanted` holds."""
+    index = index.groupBy("token").agg(F.collect_list(F.struct(*[c for c in index.columns if c != "token"])).alias("p"))
+    columns = [c for c in table.columns if c != "t"]
+    met = table.select(*columns, F.explode("t").alias("token")).join(F.broadcast(index), "token").select(*columns, F.inline("p"))
+    return (met if wanted is None else met.where(wanted)).select("row", "ask").distinct()
 
 
-def _looked_up(table: DataFrame, postings: DataFrame, wanted: Column) -> DataFrame:
-    """key, t, ask, toks of the pairs that meet at a token of the index for which `wanted` holds, each once."""
-    index = postings.groupBy("token").agg(F.collect_list(F.struct(*[c for c in postings.columns if c != "token"])).alias("p"))
-    met = table.select("*", F.explode("t").alias("token")).join(F.broadcast(index), "token").select("*", F.inline("p")).drop("p")
-    return met.where(wanted).where(F.col("token") == _first_shared(F.col("toks"), F.col("t")))
+def _scored(pairs: DataFrame, table: DataFrame, asks: DataFrame) -> DataFrame:
+    """Adds overlap, and what the asks have."""
+    return pairs.join(F.broadcast(asks), "ask").join(table, "row").withColumn("overlap", overlap(F.col("t"), F.col("toks"))).drop("t", "toks")
 
 
 def top_rows(table: DataFrame, key: str, tokens: str, asks: list[Row], top: int, seeds: int = 256, rare: int = 4096) -> DataFrame:
@@ -68,24 +73,23 @@ def top_rows(table: DataFrame, key: str, tokens: str, asks: list[Row], top: int,
 def pairs_of_top_rows(table: DataFrame, key: str, tokens: str, asks: list[Row], top: int, seeds: int = 256, rare: int = 4096) -> DataFrame:
     """ask, key, overlap of every pair that is scored in the end: those that may be among the best."""
     spark = table.sparkSession
-    rows = reduced(table, key, tokens, asks)
-    ranked, times = by_impact(rows, asks)
+    rows, own = reduced(table, key, tokens, asks)
+    own, times = by_impact(rows, own)
+    ranked = spark.createDataFrame(own, _ASKS)
     # what the best seeds reach: at least as much is needed
     few = rows.orderBy("key").limit(seeds)
-    postings = ranked.select("ask", "toks", F.posexplode("toks").alias("pos", "token"))
-    held = spark.createDataFrame([(t, n) for t, n in times.items() if n <= rare], "token string, n bigint")
-    near = _looked_up(rows, postings.where("pos < 3").join(F.broadcast(held), "token").drop("n"), F.lit(True))
-    scored = _looked_up(few, postings, F.lit(True)).unionByName(near).select("ask", "key", overlap(F.col("t"), F.col("toks")).alias("overlap")).distinct()
+    index = ranked.select("ask", F.posexplode("toks").alias("pos", "token"))
+    held = spark.createDataFrame([(t, n) for t, n in times.items() if n <= rare], "token int, n bigint")
+    near = _looked_up(rows, index.where("pos < 3").join(F.broadcast(held), "token").drop("n", "pos"))
+    scored = _scored(_looked_up(few, index.drop("pos")).unionByName(near).select("ask", "row").distinct(), rows, ranked)
     place = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("overlap"), "key"))
     least = {r["ask"]: (r["overlap"], r["key"]) for r in scored.withColumn("place", place).where(F.col("place") == top).collect()}
     # a row beyond the last seed needs one token more than it, one before it as many
-    limits = [(a["ask"], a["toks"], *least.get(a["ask"], (1, None))) for a in ranked.collect()]
-    index = spark.createDataFrame(limits, f"{_ASKS}, need int, last bigint").select("*", F.posexplode("toks").alias("pos", "token"))
-    index = index.where(F.col("pos") <= F.size("toks") - F.col("need"))
+    limits = spark.createDataFrame([(a, toks, *least.get(a, (1, None))) for a, toks in own], f"{_ASKS}, need int, last bigint")
+    index = limits.select("ask", F.size("toks").alias("m"), "need", "last", F.posexplode("toks").alias("pos", "token")).where("pos <= m - need")
     before = F.col("last").isNull() | (F.col("key") <= F.col("last"))
-    found = _looked_up(rows, index, (F.col("pos") < F.size("toks") - F.col("need")) | before)
-    found = found.select("ask", "key", overlap(F.col("t"), F.col("toks")).alias("overlap"), "need", before.alias("before"))
-    return found.where((F.col("overlap") > F.col("need")) | ((F.col("overlap") == F.col("need")) & F.col("before"))).select("ask", "key", "overlap")
+    found = _scored(_looked_up(rows, index, (F.col("pos") < F.col("m") - F.col("need")) | before), rows, limits)
+    return found.where((F.col("overlap") > F.col("need")) | ((F.col("overlap") == F.col("need")) & before)).select("ask", "key", "overlap")
 
 
 def best_ask(table: DataFrame, key: str, tokens: str, asks: list[Row], seeds: int = 16) -> DataFrame:
@@ -101,16 +105,15 @@ def best_ask(table: DataFrame, key: str, tokens: str, asks: list[Row], seeds: in
 def pairs_of_best_ask(table: DataFrame, key: str, tokens: str, asks: list[Row], seeds: int = 16) -> tuple[DataFrame, DataFrame]:
     """key, ask, overlap: the pairs that are scored in the end, and each row's best seed."""
     spark = table.sparkSession
-    rows = reduced(table, key, tokens, asks)
-    ranked, times = by_impact(rows, asks)
-    own = ranked.collect()
-    often = sorted(own, key=lambda a: (-sum(times.get(t, 0) for t in a["toks"]), a["ask"]))[:seeds]
-    one = spark.createDataFrame([([(a["ask"], a["toks"]) for a in often],)], "seeds array<struct<ask: bigint, toks: array<string>>>")
+    rows, own = reduced(table, key, tokens, asks)
+    own, times = by_impact(rows, own)
+    ranked = spark.createDataFrame(own, _ASKS)
+    often = sorted(own, key=lambda a: (-sum(times.get(t, 0) for t in a[1]), a[0]))[:seeds]
+    one = spark.createDataFrame([(often,)], "seeds array<struct<ask: bigint, toks: array<int>>>")
     score = lambda s: F.struct(overlap(F.col("t"), s["toks"]).alias("overlap"), (-s["ask"]).alias("o"))
     rows = rows.crossJoin(F.broadcast(one)).withColumn("seed", F.array_max(F.transform("seeds", score))).drop("seeds")
-    index = ranked.select("ask", "toks", F.posexplode("toks").alias("pos", "token"))
+    index = ranked.select("ask", F.size("toks").alias("m"), F.posexplode("toks").alias("pos", "token"))
     # an ask that comes later needs one token more than the best seed
     need = F.greatest(F.col("seed.overlap") + F.when(F.col("ask") > -F.col("seed.o"), 1).otherwise(0), F.lit(1))
-    found = _looked_up(rows, index, F.col("pos") <= F.size("toks") - need)
-    found = found.select("key", "ask", overlap(F.col("t"), F.col("toks")).alias("overlap"), need.alias("need")).where("overlap >= need")
+    found = _scored(_looked_up(rows, index, F.col("pos") <= F.col("m") - need), rows, ranked).where(F.col("overlap") >= need)
     return found.select("key", "ask", "overlap"), rows.where("seed.overlap > 0").select("key", (-F.col("seed.o")).alias("ask"), F.col("seed.overlap").alias("overlap"))
