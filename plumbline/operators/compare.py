@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import geometric_mean, mcnemar, ratio, wilson
 from ..functions.vectors import cosine, max_abs_difference, norm, scaled_rms_difference
+from ..shared import saved
+from .quantiles import quantiles
 
 MAX_PROCESSES = 10_000
 OUTCOMES = ["both_correct", "fixed", "regressed", "both_wrong"]
@@ -130,10 +134,14 @@ def snapshot_gates(scores: DataFrame, tolerance: float) -> DataFrame:
     return per.agg(F.count("*").alias("cases"), changed.alias("changed_choices"), F.max("error").alias("max_score_error"), ((changed == 0) & (F.max("error") <= tolerance)).alias("passed"))
 
 
+def process_medians(trials: DataFrame) -> DataFrame:
+    """system, case_id, run_id, m; trials: system, run_id, case_id, seconds."""
+    return quantiles(trials, ["system", "case_id", "run_id"], "seconds", {"m": 0.5})
+
+
 def speedups(trials: DataFrame) -> DataFrame:
     """case_id, speedup: median over processes of their medians, baseline over candidate; trials: system, run_id, case_id, seconds."""
-    per_run = trials.groupBy("system", "case_id", "run_id").agg(F.percentile("seconds", F.lit(0.5)).alias("m"))
-    per_case = per_run.groupBy("system", "case_id").agg(F.percentile("m", F.lit(0.5)).alias("m"))
+    per_case = quantiles(process_medians(trials), ["system", "case_id"], "m", {"m": 0.5})
     return per_case.groupBy("case_id").agg((F.max(F.when(F.col("system") == "baseline", F.col("m"))) / F.max(F.when(F.col("system") == "candidate", F.col("m")))).alias("speedup"))
 
 
@@ -142,28 +150,68 @@ def speed_report(per_case: DataFrame) -> DataFrame:
     return per_case.where("speedup is not null").agg(F.count("*").alias("cases"), geometric_mean(F.col("speedup")).alias("geomean_speedup"), (1 / F.min("speedup")).alias("max_case_regression"))
 
 
-def resample_table(spark, runs: list[str], resamples: int, seed: int) -> DataFrame:
-    """Indices of whole-process resamples, by the Mersenne twister, so that a run can be repeated anywhere."""
-    rng = random.Random(seed)
-    rows = [(r, i, runs[rng.randrange(len(runs))]) for r in range(resamples) for i in range(len(runs))]
-    return spark.createDataFrame(rows, "resample int, draw int, run_id string")
+def _draws(state: tuple, n: int, count: int) -> tuple[np.ndarray, tuple]:
+    """`count` whole numbers below n as random.Random draws them from a state of its twister, and the state behind them."""
+    twister = np.random.RandomState()
+    twister.set_state(("MT19937", np.array(state[:-1], np.uint32), state[-1]))
+    bits, out, found = n.bit_length(), [], 0
+    while found < count:
+        # numbers of n or more are drawn again, so the last piece is redone to its very last number
+        before = twister.get_state()
+        raw = twister.randint(0, 1 << 32, size=max(64, int(1.1 * (count - found))), dtype=np.uint32) >> np.uint32(32 - bits)
+        places = np.flatnonzero(raw < n)
+        if len(places) > count - found:
+            places = places[: count - found]
+        if found + len(places) == count:
+            twister.set_state(before)
+            twister.randint(0, 1 << 32, size=int(places[-1]) + 1, dtype=np.uint32)
+        out.append(raw[places].astype(np.int64))
+        found += len(places)
+    _, key, pos, *_ = twister.get_state()
+    return np.concatenate(out), (*key.tolist(), pos)
+
+
+def resamples_of(spark, n: int, resamples: int, seed: int, block: int = 50) -> DataFrame:
+    """resample, place, times: how often each of n processes is drawn in each whole-process resample.
+
+    The draws are those of random.Random(seed).randrange(n), n for each resample. The driver only runs the twister ahead and keeps its state
+    at each block of resamples; the draws are made again in tasks, and only their counts leave these.
+    """
+    states, state = [], random.Random(seed).getstate()[1]
+    for first in range(0, resamples, block):
+        states.append((first, min(block, resamples - first), list(state)))
+        state = _draws(state, n, n * states[-1][1])[1]
+
+    def made(batches):
+        for batch in batches:
+            for first, count, state in zip(batch["first"].to_pylist(), batch["count"].to_pylist(), batch["state"].to_pylist(), strict=True):
+                drawn = _draws(tuple(state), n, n * count)[0].reshape(count, n)
+                for r in range(count):
+                    place, times = np.unique(drawn[r], return_counts=True)
+                    yield pa.record_batch([pa.array(np.full(len(place), first + r)), pa.array(place), pa.array(times)], names=["resample", "place", "times"])
+
+    blocks = spark.createDataFrame(states, "first int, count int, state array<long>").repartition(min(len(states), 64), "first")
+    return blocks.mapInArrow(made, "resample long, place long, times long")
 
 
 def bootstrap_speedup(trials: DataFrame, resamples: int = 2000, seed: int = 20260924) -> DataFrame:
     """low, high: the 2.5th and 97.5th percentile of the geometric mean speed-up over resampled processes.
 
-    The processes of each system come to the driver, at most MAX_PROCESSES of them (more are an error); the timings don't.
+    Resamples are counts by process, made in tasks, and medians are weighted by them. A system has at most MAX_PROCESSES
+    processes (more are an error), which bounds a resample's group.
     """
     spark = trials.sparkSession
-    per_run = trials.groupBy("system", "case_id", "run_id").agg(F.percentile("seconds", F.lit(0.5)).alias("m"))
+    per_run = saved(process_medians(trials), "medians")
     parts = []
     for k, system in enumerate(("baseline", "candidate")):
         mine = per_run.where(F.col("system") == system)
-        runs = sorted(r[0] for r in mine.select("run_id").distinct().limit(MAX_PROCESSES + 1).collect())
-        if len(runs) > MAX_PROCESSES:
+        runs = mine.select("run_id").distinct()
+        n = runs.limit(MAX_PROCESSES + 1).count()
+        if n > MAX_PROCESSES:
             raise ValueError(f"{system} has more than {MAX_PROCESSES} processes")
-        draws = resample_table(spark, runs, resamples, seed + k)
-        parts.append(mine.join(F.broadcast(draws), "run_id").groupBy("resample", "case_id").agg(F.percentile("m", F.lit(0.5)).alias(system)))
+        numbered = runs.withColumn("place", F.row_number().over(Window.orderBy("run_id")) - 1)  # MAX_PROCESSES rows at most
+        drawn = resamples_of(spark, max(n, 1), resamples, seed + k).join(F.broadcast(numbered), "place")
+        parts.append(drawn.join(mine, "run_id").groupBy("resample", "case_id").agg(F.percentile("m", F.lit(0.5), F.col("times")).alias(system)))
     per = parts[0].join(parts[1], ["resample", "case_id"]).groupBy("resample").agg(geometric_mean(F.col("baseline") / F.col("candidate")).alias("g"))
     return per.agg(F.percentile("g", F.lit(0.025)).alias("low"), F.percentile("g", F.lit(0.975)).alias("high"), F.count("*").alias("resamples"))
 

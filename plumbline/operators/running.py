@@ -28,6 +28,12 @@ def _block(df: DataFrame, order: str, cuts: list[float], sign: int) -> DataFrame
     return dealt.withColumn("block_", (F.col("block_") * width + inner) * sign)
 
 
+def dealt_to_blocks(df: DataFrame, order: str, blocks: int, descending: bool = False) -> DataFrame:
+    """Adds block_, the number of a row's stretch of the order; stretches by approximate quantiles, about equally long."""
+    cuts = sorted(set(df.approxQuantile(order, [i / blocks for i in range(1, blocks)], 1 / (4 * blocks)))) if blocks > 1 else []
+    return _block(df, order, cuts, -1 if descending else 1)
+
+
 def running(df: DataFrame, order: str, sums: dict[str, str], descending: bool = False, blocks: int | None = None, block_rows: int = 1_000_000) -> DataFrame:
     """Adds, for each column of sums, its running total under the new name. `order` must be unique and numeric.
 
@@ -36,8 +42,7 @@ def running(df: DataFrame, order: str, sums: dict[str, str], descending: bool =
     16,384 at most, so the table of their totals is bounded.
     """
     blocks = blocks or min(16_384, max(8, -(-df.count() // block_rows)))
-    cuts = sorted(set(df.approxQuantile(order, [i / blocks for i in range(1, blocks)], 1 / (4 * blocks)))) if blocks > 1 else []
-    dealt = _block(df, order, cuts, -1 if descending else 1)
+    dealt = dealt_to_blocks(df, order, blocks, descending)
     key = F.col(order).desc() if descending else F.col(order).asc()
     within = Window.partitionBy("block_").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)

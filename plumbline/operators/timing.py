@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import p95, ratio
+from .quantiles import on_keys, quantiles
 
 
 def distribution(x: Column) -> list[Column]:
-    """Aggregates: calls, mean, median, p95 (null below 20 calls), min and max; nulls for an empty group."""
+    """Aggregates: calls, mean, median, p95 (null below 20 calls), min and max; nulls for an empty group.
+
+    A group's values meet in one task; `latencies` is for groups of any size.
+    """
     return [
         F.count(x).alias("calls"),
         F.avg(x).alias("mean_seconds"),
@@ -20,6 +24,13 @@ def distribution(x: Column) -> list[Column]:
     ]
 
 
+def latencies(calls: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """keys, calls, mean, median, p95 (null below 20 calls), min and max of x; nulls for a group without values."""
+    per = calls.groupBy(*keys).agg(F.count(x).alias("calls"), F.avg(x).alias("mean_seconds"), F.min(x).alias("min_seconds"), F.max(x).alias("max_seconds"))
+    exact = quantiles(calls, keys, x, {"median_seconds": 0.5, "p95_seconds": 0.95}, {"p95_seconds": 20})
+    return on_keys(per, exact, keys).select(*keys, "calls", "mean_seconds", "median_seconds", "p95_seconds", "min_seconds", "max_seconds")
+
+
 def variation(x: Column) -> Column:
     """Coefficient of variation, with the population's standard deviation."""
     return ratio(F.stddev_pop(x), F.avg(x))
@@ -28,12 +39,13 @@ def variation(x: Column) -> Column:
 def first_and_warm(calls: DataFrame, group: str) -> DataFrame:
     """The first call apart from the median, minimum and maximum of the others; calls: group, repeat, seconds."""
     first, warm = F.col("repeat") == 0, F.when(F.col("repeat") > 0, F.col("seconds"))
-    return calls.groupBy(group).agg(
+    per = calls.groupBy(group).agg(
         F.max(F.when(first, F.col("seconds"))).alias("first_seconds"),
-        F.percentile(warm, F.lit(0.5)).alias("warm_median_seconds"),
         F.min(warm).alias("warm_min_seconds"),
         F.max(warm).alias("warm_max_seconds"),
     )
+    exact = quantiles(calls.where("repeat > 0"), [group], "seconds", {"warm_median_seconds": 0.5})
+    return on_keys(per, exact, [group]).select(group, "first_seconds", "warm_median_seconds", "warm_min_seconds", "warm_max_seconds")
 
 
 def run_summary(calls: DataFrame, planned: int | None = None) -> DataFrame:

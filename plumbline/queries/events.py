@@ -17,7 +17,7 @@ DIST = """count(seconds) AS calls, round(avg(seconds), 6) AS mean_seconds, round
 
 @query(f"WITH {ATTEMPTS} SELECT example, event_type, {DIST} FROM attempts GROUP BY example, event_type")
 def latency_distribution(spark, d):
-    return attempts(spark, d).groupBy("example", "event_type").agg(*timing.distribution(F.col("seconds")))
+    return timing.latencies(attempts(spark, d), ["example", "event_type"], "seconds")
 
 
 @query(f"WITH {ATTEMPTS} SELECT example, round(stddev_pop(seconds) / avg(seconds), 6) AS cv FROM attempts GROUP BY example")
@@ -52,20 +52,13 @@ def score_drift_from_first_success(spark, d):
     return timing.drift_from_first(a)
 
 
-@query(
-    f"""WITH {ATTEMPTS} SELECT example, round(count(*) FILTER (choice = 'click') / 20, 6) AS quality, round(sum(tokens) / sum(seconds), 6) AS tokens_per_second, round(count(*) / sum(seconds), 6) AS requests_per_second
-    FROM attempts WHERE repeat < 20 GROUP BY example"""
-)
-def fixed_denominator_quality(spark, d):
-    a = attempts(spark, d).withColumn("correct", F.coalesce(F.col("choice") == "click", F.lit(False)))
-    return timing.fixed_denominator(a, 20)
+QUALITY = f"""WITH {ATTEMPTS} SELECT example, round(count(*) FILTER (choice = 'click') / (SELECT max(repeat) + 1 FROM attempts), 6) AS quality, round(sum(tokens) / sum(seconds), 6) AS tokens_per_second,
+    round(count(*) / sum(seconds), 6) AS requests_per_second FROM attempts GROUP BY example"""
 
 
-@query(
-    f"""WITH {ATTEMPTS} SELECT example, round(count(*) FILTER (choice = 'click') / (SELECT max(repeat) + 1 FROM attempts), 6) AS quality, round(sum(tokens) / sum(seconds), 6) AS tokens_per_second,
-    round(count(*) / sum(seconds), 6) AS requests_per_second FROM attempts GROUP BY example"""
-)
-def fixed_denominator_quality_all(spark, d):
+@query(QUALITY)
+@query(QUALITY, name="fixed_denominator_quality_all")
+def fixed_denominator_quality(spark, d):
     """All calls, against the greatest number of calls of any user."""
     a = attempts(spark, d).withColumn("correct", F.coalesce(F.col("choice") == "click", F.lit(False)))
     return timing.fixed_denominator(a)
