@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import experiment, heads, runs
+from ..operators import experiment, heads, runs, timing
 from ..plans.fixtures import attempts, judged, labels, predictions, table, vectors, with_missing
+from ..shared import shared_dir
+from ..sources.receipts import load_report, load_run, receipts, save_report, save_run
 from .events import ATTEMPTS
 from .registry import SCORES, query
 from .texts import TRACES
@@ -150,3 +154,34 @@ def freeze_winner(spark, d):
 @query("SELECT ord::BIGINT AS ord, 'L' || label AS id FROM (SELECT DISTINCT label, label AS ord FROM embeddings)")
 def candidate_labels(spark, d):
     return labels(spark, d)
+
+
+@query(
+    f"""WITH {ATTEMPTS}, lines AS (SELECT event_id, event_id % 4 AS part, '{{"example":' || example || ',"repeat":' || repeat || ',"choice":' || CASE WHEN choice IS NULL THEN 'null' ELSE '"' || choice || '"' END
+        || ',"tokens":' || coalesce(tokens::VARCHAR, 'null') || '}}' || chr(10) AS line FROM attempts)
+    SELECT part, count(*) AS rows, sum(octet_length(encode(line)))::BIGINT AS bytes, sha256(string_agg(line, '' ORDER BY event_id)) AS sha256, count(*) AS read_back FROM lines GROUP BY part"""
+)
+def saved_run_bytes(spark, d):
+    """All attempts as a run of four parts: its receipts, and the rows read back under them."""
+    a = attempts(spark, d).repartitionById(4, (F.col("event_id") % 4).cast("int")).sortWithinPartitions("event_id").select("example", "repeat", "choice", "tokens")
+    place = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    save_run(a, place)
+    # the example and repeat of a row say which part it was dealt to
+    back = load_run(spark, place, a.schema).join(attempts(spark, d).select("example", "repeat", (F.col("event_id") % 4).cast("int").alias("part")), ["example", "repeat"])
+    return receipts(spark, place).join(back.groupBy("part").agg(F.count("*").alias("read_back")), "part")
+
+
+@query(
+    f"""WITH {ATTEMPTS}, per AS (SELECT example, count(DISTINCT choice) AS c, max(choice) FILTER (repeat = 0) AS f, count(*) AS n, count(choice) AS ok, sum(seconds) AS s FROM attempts GROUP BY example),
+    r AS (SELECT count(*)::DOUBLE AS attempted_examples, sum(n - ok)::DOUBLE AS failed_calls, (count(*) FILTER (c > 1))::DOUBLE AS unstable_examples, (count(*) FILTER (f IS NULL))::DOUBLE AS failed_first_attempts,
+        sum(ok) / sum(s) AS successful_calls_per_second FROM per),
+    long AS (UNPIVOT r ON COLUMNS(*) INTO NAME metric VALUE v)
+    SELECT metric, round(v, 6) AS recorded, round(v, 6) AS recomputed, true AS agrees FROM long"""
+)
+def saved_report_recomputed(spark, d):
+    """A run's summary, saved with it and held against the one that its saved rows give."""
+    a = attempts(spark, d).select("example", "repeat", "choice", "seconds")
+    place = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    save_report(a, timing.run_summary(a), place)
+    rows, recorded = load_report(spark, place, a.schema)
+    return runs.verify(recorded, timing.run_summary(rows))
