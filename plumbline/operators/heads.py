@@ -71,6 +71,8 @@ def head(spark, layers: list[Layer]) -> Callable[[Column], Column]:
 
 
 def encode_once(df: DataFrame, text: str, encoder: Callable[[Column], Column]) -> DataFrame:
-    """Adds `vector`, with each distinct text encoded once."""
-    vectors = df.select(text).distinct().withColumn("vector", encoder(F.col(text)))
-    return df.join(vectors, text)
+    """Adds `vector`, with each distinct text encoded once. Rows meet vectors by the text's digest; null texts have null vectors."""
+    key = F.sha2(F.col(text).cast("string"), 256)
+    once = df.where(F.col(text).isNotNull()).groupBy(key.alias("key_")).agg(F.max(text).alias(text))
+    vectors = once.select("key_", encoder(F.col(text)).alias("vector"))
+    return df.withColumn("key_", key).join(vectors, "key_", "left").drop("key_")

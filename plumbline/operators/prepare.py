@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, selection_key, tokens
+from .quantiles import on_keys
 
 
 def bucket_split(key: Column, train: str = "0123456789ab", dev: str = "cd") -> Column:
@@ -33,14 +34,31 @@ def group_development(rows: DataFrame, label: str, key: str, prefix: str, share:
 
     Keys with several labels are left out here; see conflicting_keys.
     """
-    distinct = rows.select(label, key).distinct()
-    w, by = Window.partitionBy(label).orderBy(selection_key(prefix, F.col(key)), key), Window.partitionBy(label)
-    numbered = distinct.withColumns({"place": F.row_number().over(w), "n": F.count("*").over(by)})
-    return numbered.where((F.col("n") > 1) & (F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("n") / share)))).select(label, key)
+    return group_development_digests(rows, label, key, prefix, share).select(label, "key")
+
+
+def group_development_digests(rows: DataFrame, label: str, key: str, prefix: str, share: int = 5, blocks: int = 256) -> DataFrame:
+    """label, key, digest: the same with the key's SHA-256. Keys are dealt by digest and never compared as text.
+
+    The order of selection is hexadecimal, so its first digits deal a label's keys to `blocks` stretches; places count within a stretch, from
+    the number of keys in those before it. A label may hold a third of all rows.
+    """
+    order = selection_key(prefix, F.col(key))
+    distinct = rows.groupBy(label, F.sha2(key, 256).alias("digest")).agg(F.max(order).alias("order_"), F.max(key).alias("key"))
+    distinct = distinct.withColumn("block_", F.coalesce((F.conv(F.substring("order_", 1, 4), 16, 10).cast("int") * blocks / 65_536).cast("int"), F.lit(blocks)))  # a null key comes last
+    before = Window.partitionBy(label).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)  # `blocks` rows
+    held = distinct.groupBy(label, "block_").agg(F.count(F.lit(1)).alias("in_"))
+    held = held.withColumns({"before_": F.coalesce(F.sum("in_").over(before), F.lit(0)), "n": F.sum("in_").over(Window.partitionBy(label))})
+    wanted = F.greatest(F.lit(1), F.floor(F.col("n") / share))
+    some = on_keys(distinct, held.where((F.col("n") > 1) & (F.col("before_") < wanted)).drop("in_"), [label, "block_"], "inner")
+    place = F.row_number().over(Window.partitionBy(label, "block_").orderBy(F.asc_nulls_last("order_"), "digest")) + F.col("before_")
+    return some.withColumn("place", place).where(F.col("place") <= wanted).select(label, "key", "digest")
 
 
 def conflicting_keys(rows: DataFrame, label: str, key: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.count_distinct(label).alias("labels")).where("labels > 1").select(key)
+    """Keys with several labels. Rows are dealt by the key's digest."""
+    per = rows.groupBy(F.sha2(key, 256).alias("digest")).agg(F.min(label).alias("a"), F.max(label).alias("z"), F.max(key).alias(key))
+    return per.where("a < z").select(key)
 
 
 NORMALISATIONS = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import request_id
-from ..operators import classify, decide, experiment, prepare, rag, runs, validate
+from ..operators import classify, decide, experiment, merkle, prepare, rag, runs, validate
 from ..plans.fixtures import attempts, retrieved, scored, splits, table, traces, votes
 from ..sources.io import source_prefix
 from ..streaming.pipeline import evaluate_rag, evaluate_repeats
@@ -104,6 +104,47 @@ def compiled_receipt(spark, d):
     return prepare.receipt(prepare.compile_splits(splits(spark, d).select(F.col("doc_id").alias("id"), "split", "text"), resolved))
 
 
+def tree_sql(rows: str, most: int = 5) -> str:
+    """CTEs up to `root`: k, rows, sha256 of each group's tree; rows: k, leaf. As many levels as the largest group asks for."""
+    step = """n{i} AS (SELECT k, node[1:greatest(len(node) - 1, 0)] AS node, sum(n) AS n,
+        CASE WHEN max(len(node)) = 0 THEN any_value(h) ELSE sha256(string_agg(node || ' ' || h, chr(10) ORDER BY node || ' ' || h)) END AS h FROM n{j} GROUP BY k, node[1:greatest(len(node) - 1, 0)])"""
+    steps = ", ".join(step.format(i=i, j=i - 1) for i in range(1, most + 1))
+    return f"""r0 AS ({rows}), lv AS (SELECT greatest(0, ceil(log2(max(n) / 64) / 4))::INT AS lv FROM (SELECT count(*) AS n FROM r0 GROUP BY k)),
+    leaves AS (SELECT k, leaf[1:lv] AS node, leaf, count(*) AS n FROM r0, lv GROUP BY ALL),
+    n0 AS (SELECT k, node, sum(n) AS n, sha256(string_agg(leaf || ' ' || n, chr(10) ORDER BY leaf || ' ' || n)) AS h FROM leaves GROUP BY k, node), {steps},
+    root AS (SELECT k, n::BIGINT AS rows, h AS sha256 FROM n{most})"""
+
+
+def leaf_sql(*columns: str) -> str:
+    parts = [f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')" for c in columns]
+    return f"sha256({' || chr(124) || '.join(parts)})"
+
+
+COMPILED = f"SELECT split AS k, {leaf_sql('doc_id', 'text', 'quality')} AS leaf FROM labels JOIN splits USING (doc_id) WHERE quality = 1 - toxic"
+CASES = f"SELECT 0 AS k, {leaf_sql('item_id', 'text', '5')} AS leaf FROM benchmark"
+ALL_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+@query(f"WITH {SPLITS}, {tree_sql(COMPILED)} SELECT k AS split, rows, sha256 FROM root")
+def compiled_receipt_tree(spark, d):
+    """A receipt of compiled splits that no split is too large for."""
+    resolved = prepare.resolve(votes(spark, d), votes(spark, d).select("id", "label").limit(0)).where("how = 'agreed'")
+    compiled = prepare.compile_splits(splits(spark, d).select(F.col("doc_id").alias("id"), "split", "text"), resolved)
+    return merkle.set_digest(compiled, ["split"], ["id", "text", "label"])
+
+
+@query(f"WITH {tree_sql(CASES)} SELECT rows AS cases, sha256 FROM root")
+def dataset_identity(spark, d):
+    """The benchmark as a dataset under a cutoff of five."""
+    return merkle.dataset_identity(table(spark, d, "benchmark"), "item_id", ["text"], 5)
+
+
+@query(f"WITH {tree_sql(f'SELECT 0 AS k, {leaf_sql(*ALL_COLUMNS)} AS leaf FROM documents')} SELECT rows, sha256 FROM root")
+def table_digest(spark, d):
+    """All documents, every column: one digest."""
+    return merkle.set_digest(table(spark, d, "documents"), [], list(ALL_COLUMNS))
+
+
 @query(f"WITH {TRACES} SELECT query_id::VARCHAR AS case_id, r.repeat::BIGINT AS repeat, query_id % 5 <> 0 AS bound FROM tr, range(2) r(repeat) WHERE r.repeat = 0 OR query_id % 4 <> 0")
 def review_bindings(spark, d):
     """Reviews of attempts, of which every fifth case's answer has changed since."""

@@ -165,7 +165,7 @@ COLLAPSED = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 )
 def split_group20pct(spark, d):
     rows = table(spark, d, "documents").select("source", T.collapse(F.col("text")).alias("key"))
-    return prepare.group_development(rows, "source", "key", "dev:").select("source", F.sha2("key", 256).alias("key"))
+    return prepare.group_development_digests(rows, "source", "key", "dev:").select("source", F.col("digest").alias("key"))
 
 
 @query(f"SELECT sha256({COLLAPSED}) AS key FROM documents GROUP BY {COLLAPSED} HAVING count(DISTINCT source) > 1")

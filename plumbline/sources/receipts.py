@@ -149,6 +149,8 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        if partition is None:  # a run without parts
+            return
         schema, held, size = to_arrow_schema(self.schema), [], 0
         for line in checked_lines(Path(self.folder), partition.receipt):
             held.append(json.loads(line))
