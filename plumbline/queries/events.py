@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import compare, rag, timing
 from ..plans.fixtures import attempts, table, trials
+from ..shared import shared_dir
 from ..sources.io import validated_json
+from ..streaming.identity import run_checked
 from .registry import query
 
 ATTEMPTS = """attempts AS (SELECT user_id AS example, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS repeat,
@@ -171,3 +175,22 @@ def event_day_counts(spark, d):
 
     w = windowed_counts(table(spark, d, "events"), "ts", "1 day", "1 day", "event_type")
     return w.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
+
+
+@query(
+    f"""WITH {ATTEMPTS}, m AS (SELECT example, repeat, CASE WHEN event_id % 11 = 0 THEN 'm2' ELSE 'm1' END AS model, choice, CASE WHEN choice IS NULL THEN 'Timeout' END AS error_type FROM attempts),
+    f AS (SELECT *, first_value(CASE WHEN choice IS NOT NULL THEN model END IGNORE NULLS) OVER (PARTITION BY example ORDER BY repeat ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS first FROM m),
+    c AS (SELECT example, repeat, model, CASE WHEN choice IS NOT NULL AND model <> first THEN NULL ELSE choice END AS choice, CASE WHEN choice IS NOT NULL AND model <> first THEN 'ModelChanged' ELSE error_type END AS error_type FROM f)
+    SELECT *, (count(*) FILTER (choice IS NULL) OVER (PARTITION BY example ORDER BY repeat)) AS failures FROM c"""
+)
+def stream_identity(spark, d):
+    """All attempts as a stream in four deliveries of repeats, the third of them twice; a model other than the example's first is a failure."""
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    a = attempts(spark, d).select("example", "repeat", F.when(F.col("event_id") % 11 == 0, "m2").otherwise("m1").alias("model"), "choice", F.when(F.col("choice").isNull(), "Timeout").alias("error_type"))
+    a = a.select(F.col("example").cast("bigint").alias("example"), F.col("repeat").cast("bigint").alias("repeat"), "model", "choice", "error_type")
+    fourth = F.least(F.floor(F.col("repeat") / 25), F.lit(3))
+    for part in (0, 1, 2, 2, 3):
+        a.where(fourth == part).write.mode("append").parquet(f"{place}/in")
+        source = spark.readStream.schema(a.schema).parquet(f"{place}/in")
+        run_checked(source, f"{place}/out", f"{place}/state").awaitTermination()  # stopped and started again for each
+    return spark.read.parquet(f"{place}/out")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import request_id
-from ..operators import classify, decide, experiment, merkle, prepare, rag, runs, validate
+from ..operators import classify, decide, experiment, merkle, prepare, rag, replay, runs, validate
+from ..operators.replay import Rule
 from ..plans.fixtures import attempts, retrieved, scored, splits, table, traces, votes
 from ..sources.io import source_prefix
 from ..streaming.pipeline import evaluate_rag, evaluate_repeats
@@ -125,6 +126,23 @@ CASES = f"SELECT 0 AS k, {leaf_sql('item_id', 'text', '5')} AS leaf FROM benchma
 ALL_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+@query(
+    f"""WITH {TRACES}, a AS (SELECT query_id, ranked, reranked, context, len(list_intersect(context, lit)) > 0 AS before, len(list_intersect(ranked[1:2], lit)) > 0 AS after FROM tr)
+    SELECT query_id, before AS answered, after AS replay_answered, true AS bound,
+        list_filter([CASE WHEN reranked <> ranked[1:5] THEN 'reranked' END, CASE WHEN context <> ranked[1:2] THEN 'context' END, CASE WHEN before <> after THEN 'answered' END], lambda x: x IS NOT NULL) AS changed FROM a"""
+)
+def rag_replay(spark, d):
+    """Every trace replayed without its reranker: the context and the answer follow from the order of retrieval, the rest stays."""
+    answered = lambda: F.size(F.array_intersect("context", "literal")) > 0
+    t = traces(spark, d).withColumn("answered", answered())
+    rules = [Rule("context", ("reranked",), lambda: F.slice("reranked", 1, 2)), Rule("answered", ("context", "literal"), answered), Rule("reranked", ("ranked",))]
+    recorded = ["ranked", "reranked", "context", "answered"]
+    again = replay.replay(t, "reranked", F.slice("ranked", 1, 5), rules, recorded, "what the reranker adds")
+    found = replay.effects(t, again, ["query_id"], recorded)
+    both = t.select("query_id", "answered").join(again.select("query_id", F.col("answered").alias("replay_answered")), "query_id")
+    return both.join(found, "query_id")
+
+
 @query(f"WITH {SPLITS}, {tree_sql(COMPILED)} SELECT k AS split, rows, sha256 FROM root")
 def compiled_receipt_tree(spark, d):
     """A receipt of compiled splits that no split is too large for."""
