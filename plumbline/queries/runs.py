@@ -7,9 +7,9 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import experiment, heads, runs, timing
+from ..operators import experiment, heads, reuse, runs, timing
 from ..plans.fixtures import attempts, judged, labels, predictions, table, vectors, with_missing
-from ..shared import shared_dir
+from ..shared import saved, shared_dir
 from ..sources.receipts import load_report, load_run, receipts, save_report, save_run
 from .events import ATTEMPTS
 from .registry import SCORES, query
@@ -185,3 +185,22 @@ def saved_report_recomputed(spark, d):
     save_report(a, timing.run_summary(a), place)
     rows, recorded = load_report(spark, place, a.schema)
     return runs.verify(recorded, timing.run_summary(rows))
+
+
+@query(
+    """WITH c AS (SELECT turn, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'), lambda w: length(w)) AS t FROM conversations), v AS (SELECT * FROM c WHERE len(t) > 0),
+    k AS (SELECT t, bool_or(turn = 0) AS known FROM v GROUP BY t)
+    SELECT phase, (SELECT count(*) FROM c) AS asked, (SELECT count(*) FROM c WHERE len(t) = 0) AS invalid, (SELECT count(*) FROM k) AS distinct,
+        CASE phase WHEN 'before' THEN (SELECT count(*) FROM k WHERE known) ELSE (SELECT count(*) FROM k) END AS hits,
+        CASE phase WHEN 'before' THEN (SELECT count(*) FROM k WHERE NOT known) ELSE 0 END AS misses FROM (SELECT unnest(['before', 'after']) AS phase)"""
+)
+def embedding_reuse_plan(spark, d):
+    """All turns against a table of vectors that has those of first turns, before and after it is filled; word lengths stand for tokens."""
+    turns = table(spark, d, "conversations").select("turn", F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.length(w)).alias("tokens"))
+    asked = reuse.keyed(turns, {"name": "lengths", "revision": "1"}, "tokens")
+    store = reuse.VectorStore(spark, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}", 2)
+    encoder = lambda t: F.array(F.size(t).cast("double"), F.aggregate(t, F.lit(0), lambda a, x: a + x).cast("double"))
+    store.fill(asked.where("turn = 0"), "tokens", encoder)
+    before = saved(reuse.reuse_plan(store.read(), asked), "plan")
+    store.fill(asked, "tokens", encoder)
+    return before.withColumn("phase", F.lit("before")).unionByName(reuse.reuse_plan(store.read(), asked).withColumn("phase", F.lit("after")))

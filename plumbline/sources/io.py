@@ -27,15 +27,27 @@ def validated_json(raw):
     return F.try_parse_json(raw).isNotNull()
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1), value of text files of any size: no file is read as one value.
+
+    A split's lines are numbered where they are read, and start from the lines of the file's splits before it, which are counted
+    first. The table of splits is a row for each 128 MB or so.
+    """
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), "value")
+    per = read.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select("file", "split", (before - F.col("first") + 1).alias("offset"))
+    # ids follow one another within a split, in both readings of the same files
+    return read.join(F.broadcast(per), ["file", "split"]).select("file", (F.col("id") + F.col("offset")).alias("line"), "value")
+
+
 def json_lines(spark: SparkSession, path: str, schema: StructType | str, numbered: bool = False) -> DataFrame:
     """Records of JSONL files; a malformed line, a repeated key or a wrong type fails the read. Blank lines are skipped.
 
-    numbered: errors name the line, and `line` is a column. Each file is then read whole, so it must be small.
+    numbered: errors name the line, and `line` is a column, for files of any size.
     """
     ddl = schema if isinstance(schema, str) else schema.simpleString()
-    lines = spark.read.text(path, wholetext=numbered).withColumn("file", F.col("_metadata.file_path"))
-    if numbered:
-        lines = lines.select("file", F.posexplode(F.split("value", "\r?\n")).alias("n", "value")).withColumn("line", F.col("n") + 1)
+    lines = numbered_lines(spark, path) if numbered else spark.read.text(path).withColumn("file", F.col("_metadata.file_path"))
     place = F.concat(F.col("file"), F.lit(" line "), F.col("line").cast("string")) if numbered else F.col("file")
     lines = lines.where(F.trim("value") != "")
     checked = F.when(validated_json(F.col("value")), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("malformed JSON or repeated key in "), place)))
