@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import asyncio
+
 from pyspark.sql import functions as F
 
 from ..functions.text import request_id
@@ -9,6 +11,7 @@ from ..operators import classify, decide, experiment, merkle, prepare, rag, repl
 from ..operators.replay import Rule
 from ..plans.fixtures import attempts, retrieved, scored, splits, table, traces, votes
 from ..sources.io import source_prefix
+from ..streaming.concurrent import evaluate_concurrently
 from ..streaming.pipeline import evaluate_rag, evaluate_repeats
 from .evaluation import SUMMARY, matrix
 from .events import ATTEMPTS
@@ -244,13 +247,31 @@ def _review(query: str, output: dict) -> dict:
     return {"correct": output["answer"] in query and len(query) % 2 == 0}
 
 
-@query(
-    """SELECT item_id::VARCHAR AS case_id, r.repeat::BIGINT AS repeat, CASE WHEN length(text) % 7 <> 0 THEN text[1:5] END AS answer,
+ATTEMPTED = """SELECT item_id::VARCHAR AS case_id, r.repeat::BIGINT AS repeat, CASE WHEN length(text) % 7 <> 0 THEN text[1:5] END AS answer,
     CASE WHEN length(text) % 7 <> 0 AND length(text) % 5 <> 0 THEN length(text) % 2 = 0 END AS review_correct,
     CASE WHEN length(text) % 7 = 0 THEN 'pipeline' WHEN length(text) % 5 = 0 THEN 'review' END AS error_phase,
     CASE WHEN length(text) % 7 = 0 THEN 'TimeoutError' WHEN length(text) % 5 = 0 THEN 'KeyError' END AS error_type FROM benchmark, range(2) r(repeat)"""
-)
+
+
+@query(ATTEMPTED)
 def rag_attempts(spark, d):
     """A pipeline and a reviewer in Python over all items, twice: an attempt each, failures by phase."""
     cases = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("case_id"), F.col("text").alias("query"))
     return evaluate_rag(cases, _pipeline, _review, 2).drop("context")
+
+
+async def _pipeline_later(query: str) -> dict:
+    await asyncio.sleep(0)
+    return _pipeline(query)
+
+
+async def _review_later(query: str, output: dict) -> dict:
+    await asyncio.sleep(0)
+    return _review(query, output)
+
+
+@query(ATTEMPTED)
+def rag_attempts_concurrent(spark, d):
+    """The same as coroutines, sixteen attempts at once in each task."""
+    cases = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("case_id"), F.col("text").alias("query"))
+    return evaluate_concurrently(cases, _pipeline_later, _review_later, 2, 16).drop("context")
