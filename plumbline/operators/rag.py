@@ -110,12 +110,12 @@ def gates(summary: DataFrame, rules: DataFrame) -> DataFrame:
     return both.select("metric", status.alias("status"))
 
 
-def passed(results: DataFrame, state: DataFrame) -> DataFrame:
-    """status and passed (null without gates); state: one row: missing, failures, diagnostic."""
+def passed(results: DataFrame, state: DataFrame, *keys: str) -> DataFrame:
+    """keys, status and passed (null without gates); state: a row for each run (keys): missing, failures, diagnostic."""
     one = results.agg(F.count("*").alias("n"), F.count_if(F.col("status") != "passed").alias("bad"))
     status = F.when(F.col("missing") > 0, "incomplete").when(F.col("failures") > 0, "failed").otherwise("complete")
     ok = F.when(F.col("n") > 0, (status == "complete") & (F.col("diagnostic") == 0) & (F.col("bad") == 0))
-    return state.crossJoin(F.broadcast(one)).select(status.alias("status"), ok.alias("passed"))
+    return state.crossJoin(F.broadcast(one)).select(*keys, status.alias("status"), ok.alias("passed"))
 
 
 def unstable(outputs: DataFrame) -> DataFrame:

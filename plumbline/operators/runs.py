@@ -95,6 +95,31 @@ def native_compare(runs: DataFrame) -> DataFrame:
     )
 
 
+QUALITY = ["accuracy", "top5_accuracy", "macro_f1", "balanced_accuracy", "weighted_f1", "matthews_correlation"]
+
+
+def quality_deltas(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
+    """metric, baseline, candidate, delta of the six measures of quality; both: one row that has them. A measure that a side lacks has no delta."""
+    long = lambda df, name: df.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias(name)) for m in QUALITY])))
+    both = long(baseline, "baseline").join(long(candidate, "candidate"), "metric")
+    return both.select("metric", "baseline", "candidate", (F.col("candidate") - F.col("baseline")).alias("delta"))
+
+
+def exclusions(runs: DataFrame, fixed: list[str], recipe: list[str], allow_recipe_change: bool = False) -> DataFrame:
+    """run, reason: why a run can't be compared with the first (the least run_ord): a row for each reason, none for eligible runs.
+
+    runs: run_ord, run, status and the columns of fixed (which must be the same) and recipe (which must be, unless a change is allowed). Nulls are
+    equal to nulls. runs: a row a run, a handful.
+    """
+    first = runs.orderBy("run_ord").limit(1).select(*[F.col(c).alias(f"{c}_first_") for c in ("run_ord", "status", *fixed, *recipe)])
+    both = runs.crossJoin(F.broadcast(first)).where(F.col("run_ord") != F.col("run_ord_first_"))
+    differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"{c}_first_"))
+    reasons = [F.when(~F.col("status").eqNullSafe("complete"), "not complete"), F.when(~F.col("status_first_").eqNullSafe("complete"), "baseline not complete")]
+    reasons += [F.when(differs(c), f"{c} differs") for c in fixed]
+    reasons += [] if allow_recipe_change else [F.when(differs(c), f"recipe changed: {c}") for c in recipe]
+    return both.select("run", F.explode(F.filter(F.array(*reasons), lambda x: x.isNotNull())).alias("reason"))
+
+
 def freeze_winner(trials: DataFrame) -> DataFrame:
     """The setting with the best development speed-up (the smaller setting wins ties), with its holdout speed-up only.
 

@@ -155,6 +155,22 @@ def prediction_violations(spark, d):
     return validate.prediction_violations(broken, examples, labels(spark, d)).where("violation not in ('unknown_label', 'broken_ranking')")
 
 
+@query(
+    f"""WITH {SCORES} SELECT unnest(['unknown_id', 'repeated_id', 'unknown_label', 'broken_ranking', 'missing']) AS violation,
+    unnest([(SELECT count(*) FROM preds WHERE vec_id % 37 = 0), (SELECT count(*) FROM preds WHERE vec_id % 50 = 0 AND vec_id % 37 <> 0), (SELECT count(*) FROM preds WHERE vec_id % 31 = 0) + (SELECT count(*) FROM preds WHERE vec_id % 50 = 0 AND vec_id % 31 = 0 AND vec_id % 37 <> 0),
+        (SELECT count(*) FROM preds WHERE vec_id % 31 = 0 OR vec_id % 41 = 0) + (SELECT count(*) FROM preds WHERE vec_id % 50 = 0 AND vec_id % 37 <> 0 AND (vec_id % 31 = 0 OR vec_id % 41 = 0)),
+        (SELECT count(*) FROM preds WHERE vec_id % 37 = 0)])::BIGINT AS n"""
+)
+def prediction_violations_all(spark, d):
+    """Rows broken in all five ways: ids that nobody asked for, some twice, labels that aren't there, rankings that lost their last."""
+    p = predictions(spark, d).select(F.col("vec_id").alias("id"), "choice", "ranking")
+    choice = F.when(F.col("id") % 31 == 0, "nowhere").otherwise(F.col("choice"))
+    ranking = F.when(F.col("id") % 41 == 0, F.slice("ranking", 1, F.size("ranking") - 1)).otherwise(F.col("ranking"))
+    broken = p.select(F.when(F.col("id") % 37 == 0, -1 - F.col("id")).otherwise(F.col("id")).alias("id"), choice.alias("choice"), ranking.alias("ranking"))
+    broken = broken.unionByName(broken.where("id >= 0 and id % 50 = 0"))
+    return validate.prediction_violations(broken, p.select("id"), labels(spark, d))
+
+
 @query(f"WITH {SCORES} SELECT vec_id, vec_id % 10 = 0 AS violated FROM preds")
 def share_violations(spark, d):
     """Recorded shares, of which every tenth says its second choice."""

@@ -168,6 +168,19 @@ def rag_pass_rule(spark, d):
     return rag.passed(results, state)
 
 
+@query(
+    f"""WITH {VALUES}, {GATES}, g AS (SELECT count(*) AS n, count(*) FILTER (NOT coalesce(coverage >= cov AND NOT coalesce(mean < lo, false) AND NOT coalesce(mean > hi, false), false)) AS bad FROM gates LEFT JOIN summary USING (metric) WHERE metric <> 'no.such'),
+    s AS (SELECT event_type AS run, 0 AS diagnostic, count(*) FILTER (choice IS NULL) AS failures, (SELECT max(n) FROM (SELECT count(*) AS n FROM attempts GROUP BY event_type)) - count(*) AS missing FROM attempts GROUP BY event_type)
+    SELECT run, CASE WHEN missing > 0 THEN 'incomplete' WHEN failures > 0 THEN 'failed' ELSE 'complete' END AS status, missing = 0 AND failures = 0 AND bad = 0 AS passed FROM s, g"""
+)
+def rag_pass_rules(spark, d):
+    """Event types as runs that are planned to be as long as the longest, under the gates that have values."""
+    results = rag.gates(values(spark, d), spark.createDataFrame([r for r in RULES if r[0] != "no.such"], "metric string, minimum double, maximum double, min_coverage double"))
+    per = attempts(spark, d).groupBy(F.col("event_type").alias("run")).agg(F.count("*").alias("n"), F.count_if(F.col("choice").isNull()).alias("failures"))
+    state = per.crossJoin(F.broadcast(per.agg(F.max("n").alias("planned")))).select("run", (F.col("planned") - F.col("n")).alias("missing"), "failures", F.lit(0).alias("diagnostic"))
+    return rag.passed(results, state, "run")
+
+
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def event_day_counts(spark, d):
     """The batch form of the stream's windowed counts."""

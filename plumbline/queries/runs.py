@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import experiment, heads, reuse, runs, timing
+from ..operators import classify, experiment, heads, reuse, runs, timing
 from ..plans.fixtures import attempts, judged, labels, predictions, table, vectors, with_missing
 from ..shared import saved, shared_dir
 from ..sources.receipts import load_report, load_run, receipts, save_report, save_run
 from .events import ATTEMPTS
-from .registry import SCORES, query
+from .registry import MATRIX, SCORES, query
 from .texts import TRACES
 
 
@@ -145,10 +146,56 @@ def experiment_inputs(spark, d):
     return experiment.inputs(cases, 2, "s").select("case_id", "repeat")
 
 
-@query("SELECT 2::BIGINT AS setting, 1.5::DOUBLE AS dev_speedup, 1.2::DOUBLE AS holdout_speedup")
+@query(
+    """WITH t AS (SELECT CASE WHEN user_id % 5 < 3 THEN 'dev' ELSE 'holdout' END AS split, user_id % 4 + 1 AS setting, avg(value) FILTER (event_id % 2 = 0) / avg(value) FILTER (event_id % 2 = 1) AS speedup FROM events GROUP BY ALL),
+    best AS (SELECT setting, speedup FROM t WHERE split = 'dev' ORDER BY speedup DESC, setting LIMIT 1)
+    SELECT best.setting::BIGINT AS setting, round(best.speedup, 6) AS dev_speedup, round(t.speedup, 6) AS holdout_speedup FROM best LEFT JOIN t ON t.split = 'holdout' AND t.setting = best.setting"""
+)
 def freeze_winner(spark, d):
-    rows = [("dev", 1, 1.0), ("dev", 2, 1.5), ("dev", 4, 1.5), ("holdout", 2, 1.2), ("holdout", 4, 1.9)]
-    return runs.freeze_winner(spark.createDataFrame(rows, "split string, setting int, speedup double"))
+    """Users dealt to a sweep of four settings on two splits: even events are the baseline's, odd ones the setting's."""
+    e = table(spark, d, "events")
+    split = F.when(F.col("user_id") % 5 < 3, "dev").otherwise("holdout").alias("split")
+    side = lambda r: F.avg(F.when(F.col("event_id") % 2 == r, F.col("value")))
+    return runs.freeze_winner(e.groupBy(split, (F.col("user_id") % 4 + 1).cast("int").alias("setting")).agg((side(0) / side(1)).alias("speedup")))
+
+
+def quality_sql(name: str, predictions: str) -> str:
+    """The classification summary's six measures of a table of predictions, as CTEs with names of their own."""
+    chain = MATRIX.replace("missing m", f"{predictions} m")
+    for cte in ("matrix", "classes", "prf"):
+        chain = re.sub(rf"\b{cte}\b", f"{cte}_{name}", chain)
+    return f"""{chain}, t_{name} AS (SELECT sum(support)::DOUBLE AS n, sum(tp)::DOUBLE AS c, sum(support * predicted)::DOUBLE AS sp, sum(support * support)::DOUBLE AS ss, sum(predicted * predicted)::DOUBLE AS pp FROM prf_{name}),
+    f_{name} AS (SELECT sum(n)::DOUBLE AS failures FROM matrix_{name} WHERE predicted = '__failed__'),
+    q_{name} AS (SELECT any_value(c / n) AS accuracy, (SELECT avg((s.rank <= 5 AND m.choice IS NOT NULL)::INT) FROM scores s JOIN {predictions} m USING (vec_id) WHERE s.cand = s.gold) AS top5_accuracy, avg(f1) AS macro_f1,
+        avg(recall) FILTER (support > 0) AS balanced_accuracy, sum(support * f1) / any_value(n) AS weighted_f1,
+        any_value(coalesce((c * n - sp) / nullif(sqrt((n * n - ss) * (n * n - pp - failures * failures)), 0), 0))::DOUBLE AS matthews_correlation FROM prf_{name}, t_{name}, f_{name}),
+    l_{name} AS (UNPIVOT q_{name} ON COLUMNS(*) INTO NAME metric VALUE v)"""
+
+
+@query(f"WITH {SCORES}{quality_sql('a', 'preds')}{quality_sql('b', 'missing')} SELECT metric, round(l_a.v, 6) AS baseline, round(l_b.v, 6) AS candidate, round(l_b.v - l_a.v, 6) AS delta FROM l_a JOIN l_b USING (metric)")
+def native_quality_deltas(spark, d):
+    """All six measures of a whole run and of one that lacks answers, and how far they are apart."""
+    p = predictions(spark, d)
+
+    def quality(some):
+        top = some.agg(F.avg((F.col("choice").isNotNull() & F.coalesce(F.array_contains(F.slice("ranking", 1, 5), F.col("gold")), F.lit(False))).cast("double")).alias("top5_accuracy"))
+        return classify.summary(classify.confusion(some, labels(spark, d))).crossJoin(F.broadcast(top))
+
+    return runs.quality_deltas(quality(p), quality(with_missing(p)))
+
+
+@query(
+    """WITH r AS (SELECT 'u' || user_id AS run, user_id AS run_ord, CASE WHEN count(*) FILTER (event_type = 'error') = 0 THEN 'complete' ELSE 'failed' END AS status, count(DISTINCT event_type) AS labels, user_id % 3 AS prompt FROM events GROUP BY user_id),
+    b AS (SELECT * FROM r ORDER BY run_ord LIMIT 1)
+    SELECT r.run, unnest(list_filter([CASE WHEN r.status <> 'complete' THEN 'not complete' END, CASE WHEN b.status <> 'complete' THEN 'baseline not complete' END,
+        CASE WHEN r.labels <> b.labels THEN 'labels differs' END, CASE WHEN r.prompt <> b.prompt THEN 'recipe changed: prompt' END], lambda x: x IS NOT NULL)) AS reason FROM r, b WHERE r.run_ord <> b.run_ord"""
+)
+def comparison_exclusions(spark, d):
+    """Users as runs: which can't be compared with the first, and every reason."""
+    kinds = F.count_distinct("event_type").alias("labels")
+    status = F.when(F.count_if(F.col("event_type") == "error") == 0, "complete").otherwise("failed").alias("status")
+    per = table(spark, d, "events").groupBy(F.col("user_id").alias("run_ord")).agg(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("run"), status, kinds)
+    return runs.exclusions(per.withColumn("prompt", F.col("run_ord") % 3), ["labels"], ["prompt"])
 
 
 @query("SELECT ord::BIGINT AS ord, 'L' || label AS id FROM (SELECT DISTINCT label, label AS ord FROM embeddings)")

@@ -99,6 +99,22 @@ def rag_shortlist_reranking(spark, d):
     return t.select("query_id", ranking.assess(F.col("reranked"), c, 5)["known_recall_at_k"].alias("known_recall_at_k"))
 
 
+@query(
+    f"""WITH {TRACES}, c AS (SELECT query_id, ranked[2:10] AS r, reranked[2:5] AS k, ranked[2:3] AS x, CASE WHEN len(lit) >= 2 THEN [lit[1:2]] ELSE list_transform(ranked[1:3], lambda i: [i]) END AS routes FROM tr)
+    SELECT query_id, len(list_filter(routes, lambda w: len(list_intersect(w, r)) = len(w))) > 0 AS retrieval, len(list_filter(routes, lambda w: len(list_intersect(w, x)) = len(w))) > 0 AS context,
+        CASE WHEN len(list_filter(routes, lambda w: len(list_intersect(w, k[1:2])) = len(w))) > 0 THEN true ELSE false END AS reranking_top_2 FROM c"""
+)
+def rag_source_coverage_partial(spark, d):
+    """The same of traces that lost their first document everywhere, so that some routes are covered and some aren't."""
+    t = traces(spark, d)
+    routes = F.when(F.size("literal") >= 2, F.array(F.slice("literal", 1, 2))).otherwise(F.transform(F.slice("ranked", 1, 3), lambda i: F.array(i)))
+    t = t.select("query_id", F.slice("ranked", 2, 9).alias("r"), F.slice("reranked", 2, 4).alias("k"), F.slice("ranked", 2, 2).alias("x"), routes.alias("routes"))
+    return t.select(
+        "query_id", rag.source_coverage(F.col("r"), F.col("routes")).alias("retrieval"), rag.source_coverage(F.col("x"), F.col("routes")).alias("context"),
+        rag.reranking_coverage(F.col("k"), F.lit(False), F.col("r"), F.col("routes"), 2).alias("reranking_top_2"),
+    )
+
+
 CONV = """c AS (SELECT conv_id, max(text) FILTER (role = 'system') AS system, min(text) FILTER (role = 'user') AS question, max(text) FILTER (turn = 1) AS reply, max(turn) AS last FROM conversations GROUP BY conv_id)"""
 
 
