@@ -117,7 +117,8 @@ def exact_dedup(documents: DataFrame, history_share: float = 0.5) -> DataFrame:
     Texts are equal when identical after each [\\x20\\x09-\\x0D]+ became one space; null is empty. The row
     with the smallest doc_id stays. The history is the rows up to about that share of the ids. Rows
     that share the smallest doc_id all stay, as it can't tell them apart. A row with a null doc_id stays
-    only if its group has no other id, and keep_id is null then. Other columns are ignored.
+    only if its group has no other id, and keep_id is null then. Other columns are ignored; an empty table gives none.
+    Only digests of texts are kept, so their length doesn't matter (one value, so under 2 GB).
     """
     spark = documents.sparkSession
     digests = Written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest")), "digests")

@@ -196,7 +196,8 @@ def classify_quality(documents: DataFrame, labels: DataFrame, threshold: float =
     """doc_id, held_out, score, predicted for every document.
 
     Null and empty texts get the bias alone. A null doc_id isn't held out. Labels, languages, sources and
-    ids are no inputs of a score. Other columns are ignored.
+    ids are no inputs of a score. Other columns are ignored; an empty table gives none. Repeated rows have equal scores, and a score equal to
+    the threshold is accepted. Texts are scored whole, however long (one value, so under 2 GB).
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = score(docs, train(documents, labels, settings), settings)

@@ -265,7 +265,8 @@ def encode_documents(documents: DataFrame, model: str = MODEL, theta: float = 1.
     """doc_id, n_pieces, pieces (sampled ids), lossless (decoding gives back the text) for every document.
 
     The row key is the doc_id; rows that share it and their text have the same segmentation. A null doc_id
-    counts as key 0. Null and empty texts have no pieces. Other columns are ignored.
+    counts as key 0. Null and empty texts have no pieces. Other columns are ignored; an empty table gives none. A very long text's
+    lattice is whole in a task, about 100 bytes for each of its own (one value, so under 2 GB).
     """
     sent = documents.sparkSession.sparkContext.broadcast(load_vocabulary(model, theta))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))

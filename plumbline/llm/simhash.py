@@ -163,7 +163,8 @@ def simhash_dedup(documents: DataFrame, shingle: int = 3, threshold: int = 2, co
     Documents whose fingerprints differ in at most `threshold` bits are linked; component_id is the
     smallest doc_id that links reach. Null and empty texts have fingerprint zero and are linked like any
     other. A row with a null doc_id is no one's component_id; it gets that of the others it reaches, null
-    if there are none. Repeated rows give repeated rows. Other columns are ignored. Any codes give the same links.
+    if there are none. Repeated rows give repeated rows. Other columns are ignored; an empty table gives none. Any codes give the same links.
+    Very long texts are hashed whole, with 8 bytes a shingle in a task; a text is one value, so under 2 GB.
     """
     spark = documents.sparkSession
     prints = Written(fingerprints(documents, shingle), "fingerprints")

@@ -50,7 +50,8 @@ def substring_dedup(documents: DataFrame, window: int = 13, **more) -> DataFrame
     Words are [^\\x20\\x09-\\x0D]+. A word goes if a window of `window` words that covers it also starts
     in a document with a smaller id. Null and empty texts: no words and the digest of the empty string.
     Rows with a null id come after all others; rows that share an id don't remove from each other. Other
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored; an empty table gives an empty result. Very long texts are whole in one chunk: a document is
+    never cut, so it must fit in a task, and being one value it is under 2 GB (a longer one is an error).
     """
     return remove_repeats(documents, plan(window, **more), _digests, SCHEMA)
 

@@ -72,12 +72,27 @@ def test_rows_without_ids_pass(spark, data, corpus):
         assert out.count() > 0
 
 
+@pytest.mark.parametrize("empty", [("documents",), ("documents", "labels")])
+def test_empty_tables_through_the_pipeline(spark, data, tmp_path, empty):
+    for name in ("documents", "labels"):
+        some = table(spark, data, name)
+        (some.limit(0) if name in empty else some).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and "pieces" in out.columns
+
+
 @pytest.mark.parametrize("name", sorted(LLM_QUERIES))
 def test_query_has_a_row_for_every_row(spark, data, name):
     n = LLM_QUERIES[name](spark, data).count()
     rows = {"op3": "pages", "op10": "pages"}.get(name.split("_")[0], "documents")
     if name.startswith("op7"):
         assert n == 50
+    elif name.startswith("op11"):
+        assert n == 4 * table(spark, data, "embeddings").count()
+    elif name.startswith("op12"):
+        assert n >= table(spark, data, rows).count()
+    elif name.startswith("op13"):
+        assert n == table(spark, data, "conversations").select("conv_id").distinct().count()
     elif not name.startswith("op6"):
         assert n == table(spark, data, rows).count()
 
