@@ -20,7 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have the score of the bias alone. Rows with a null doc_id are scored like all others and
     teach nothing; of rows that share a labelled id one text teaches. Repeated rows have equal scores. Ties can't
-    occur: a score is accepted from the threshold on. Other columns, of whatever name, pass unchanged.
+    occur: a score is accepted from the threshold on. Other columns, of whatever name, pass unchanged. Texts of any length (under
+    2 GB, as everywhere) are scored whole; an empty table stays empty.
     """
     return keep_quality(docs, table(spark, sf_dir, "labels"))
 
@@ -29,7 +30,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts that with the smallest doc_id stays; null counts as empty.
 
     Of equal rows of one id one stays, of an id's different texts each is decided for itself. Rows with a null doc_id
-    go if their text has an id elsewhere; else one of them stays. Other columns pass unchanged.
+    go if their text has an id elsewhere; else one of them stays. Other columns, of whatever name, pass unchanged. Texts of any length
+    count whole; an empty table stays empty.
     """
     return keep_first(docs)
 
@@ -38,7 +40,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles, similarity 0.8 or more, that with the smallest doc_id stays.
 
     Null and empty texts are linked with each other, texts of under five words with those of the same words. Rows
-    with a null doc_id stay, as a decision can't name them; rows that share a staying id all stay.
+    with a null doc_id stay, as a decision can't name them; rows that share a staying id all stay. Other columns, of whatever name, pass
+    unchanged. Texts of any length count whole; an empty table stays empty.
     """
     return keep_representatives(docs)
 
@@ -47,13 +50,17 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture visits it, with a budget of as many tokens as there are.
 
     A null source is a source of its own. Null and empty texts have no tokens and come along once an epoch. Rows that share a
-    doc_id, null too, are visited together. Orders are by hash and then by doc_id, so there are no ties.
+    doc_id, null too, are visited together. Orders are by hash and then by doc_id, so there are no ties. Other columns, of whatever name, pass
+    unchanged. Texts of any length are taken or left whole; an empty table stays empty.
     """
     return mix_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's sampled pieces; null and empty texts have none. The row key is the doc_id (null: 0), so repeated rows have equal pieces."""
+    """Each document's sampled pieces; null and empty texts have none. The row key is the doc_id (null: 0), so repeated rows have equal pieces.
+
+    Other columns are left out. Texts of any length are encoded whole; an empty table gives none.
+    """
     return encode_documents(docs)
 
 
