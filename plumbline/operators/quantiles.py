@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import saved
 from .running import dealt_to_blocks
 
 
@@ -31,8 +32,10 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     """
     some = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v_"))
     blocks = min(16_384, -(-some.count() // block_rows))
-    dealt = dealt_to_blocks(some, "v_", blocks) if blocks > 1 else some.withColumn("block_", F.lit(0))
+    dealt = some.withColumn("block_", F.lit(0))
     if blocks > 1:
+        # written, as it is read twice, and so that plans don't grow with the number of stretches
+        dealt = saved(dealt_to_blocks(some, "v_", blocks), "stretches")
         order = Window.partitionBy(*keys).orderBy("block_")
         held = dealt.groupBy(*keys, "block_").agg(F.count(F.lit(1)).alias("in_"))
         held = held.withColumn("before_", F.sum("in_").over(order) - F.col("in_")).withColumn("n_", F.sum("in_").over(Window.partitionBy(*keys)))
