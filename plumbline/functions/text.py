@@ -34,6 +34,11 @@ def tokens(x: Column, pattern: str = TOKEN) -> Column:
     return F.regexp_extract_all(F.lower(x), F.lit(pattern), F.lit(0))
 
 
+def label_text(x: Column) -> Column:
+    """A label as words: underscores as spaces, in lower case."""
+    return F.lower(F.replace(x, F.lit("_"), F.lit(" ")))
+
+
 def token_set(x: Column, pattern: str = TOKEN) -> Column:
     return F.array_distinct(tokens(x, pattern))
 

@@ -80,6 +80,21 @@ def exact_answer(answer: Column, expected: Column) -> Column:
     return strip(answer) == strip(expected)
 
 
+def fixture_review(answer: Column, expected: Column, context: Column) -> Column:
+    """correct (equal to what is expected), grounded (not empty, and literally in the context) and answer_words; null where answer or context wasn't observed."""
+    grounded = (answer != "") & F.contains(context, answer)
+    words = F.size(F.filter(F.split(strip(answer), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != ""))
+    review = F.struct((answer == expected).alias("correct"), grounded.alias("grounded"), words.cast("double").alias("answer_words"))
+    return F.when(answer.isNotNull() & context.isNotNull(), review)
+
+
+def starter_rule(results: DataFrame, dataset: str, failed: str, metric: str) -> DataFrame:
+    """dataset, cases, failed, mean, passed: a starter dataset passes if nothing failed and its metric is one everywhere. results: a row a case; a failed case's metric is zero."""
+    value = F.when(F.col(failed), 0.0).otherwise(F.coalesce(F.col(metric).cast("double"), F.lit(0.0)))
+    per = results.groupBy(dataset).agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.col(failed)).alias("failed"), F.avg(value).alias("mean"))
+    return per.withColumn("passed", (F.col("failed") == 0) & (F.col("mean") == 1))
+
+
 def plan(cases: DataFrame, repeats: int) -> DataFrame:
     """case_id, repeat of every planned attempt."""
     return cases.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))

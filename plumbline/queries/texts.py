@@ -115,6 +115,34 @@ def rag_source_coverage_partial(spark, d):
     )
 
 
+@query(
+    f"""WITH {TRACES}, a AS (SELECT query_id, doc_id, item, CASE WHEN query_id % 3 = 0 THEN upper(item) ELSE item END AS answer FROM found WHERE rank = 1)
+    SELECT query_id, answer = item AS correct, answer <> '' AND contains(d.text, answer) AS grounded, len(list_filter(regexp_split_to_array(answer, '[\\s\\x1c-\\x1f]+'), lambda w: w <> ''))::DOUBLE AS answer_words FROM a JOIN d USING (doc_id)"""
+)
+def fixture_reviews(spark, d):
+    """Each benchmark item as the expected answer, the first document found as context; every third answer is in capitals."""
+    found = retrieved(spark, d, 1).select("query_id", "doc_id").join(table(spark, d, "documents").select("doc_id", F.col("text").alias("context")), "doc_id")
+    both = found.join(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item")), "query_id")
+    answer = F.when(F.col("query_id") % 3 == 0, F.upper("item")).otherwise(F.col("item"))
+    return both.select("query_id", rag.fixture_review(answer, F.col("item"), F.col("context")).alias("r")).select("query_id", "r.*")
+
+
+@query(
+    """SELECT lang AS dataset, count(*) AS cases, count(*) FILTER (text IS NULL OR length(text) < 30) AS failed, round(avg(CASE WHEN text IS NULL OR length(text) < 30 THEN 0 ELSE (length(text) >= 60)::INT END), 6) AS mean,
+        count(*) FILTER (text IS NULL OR length(text) < 30) = 0 AND avg(CASE WHEN text IS NULL OR length(text) < 30 THEN 0 ELSE (length(text) >= 60)::INT END) = 1 AS passed FROM documents GROUP BY lang"""
+)
+def starter_datasets(spark, d):
+    """Languages as starter datasets: texts under 30 characters fail, and one of 60 or more counts as right."""
+    docs = table(spark, d, "documents").select(F.col("lang").alias("dataset"), (F.coalesce(F.length("text"), F.lit(0)) < 30).alias("failed"), (F.length("text") >= 60).alias("right"))
+    return rag.starter_rule(docs, "dataset", "failed", "right")
+
+
+@query("SELECT source AS label, lower(replace(source, '_', ' ')) AS text, count(*) AS rows FROM documents GROUP BY source")
+def label_texts(spark, d):
+    """Sources as labels, and the texts that candidates of them have."""
+    return table(spark, d, "documents").groupBy(F.col("source").alias("label")).agg(F.count("*").alias("rows")).select("label", T.label_text(F.col("label")).alias("text"), "rows")
+
+
 CONV = """c AS (SELECT conv_id, max(text) FILTER (role = 'system') AS system, min(text) FILTER (role = 'user') AS question, max(text) FILTER (turn = 1) AS reply, max(turn) AS last FROM conversations GROUP BY conv_id)"""
 
 
