@@ -16,6 +16,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 OUT = "example bigint, repeat bigint, model string, choice string, error_type string, failures bigint"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The store that keyed state needs; a micro-batch uploads its changes only, not whole files of the store.
+CONF = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
 
 class _Identity(StatefulProcessor):
@@ -57,5 +59,6 @@ def checked_attempts(attempts: DataFrame) -> DataFrame:
 
 def run_checked(attempts: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
     """All that the source has by now, appended to `output` once; started again, the query goes on where it ended."""
-    attempts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    for name, value in CONF.items():
+        attempts.sparkSession.conf.set(name, value)
     return checked_attempts(attempts).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(output)
