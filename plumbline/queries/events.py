@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compare, rag, timing
 from ..plans.fixtures import attempts, table, trials
-from ..shared import shared_dir
+from ..shared import saved, shared_dir
 from ..sources.io import validated_json
 from ..streaming.identity import run_checked
 from .registry import query
@@ -204,6 +204,7 @@ def stream_identity(spark, d):
     place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     a = attempts(spark, d).select("example", "repeat", F.when(F.col("event_id") % 11 == 0, "m2").otherwise("m1").alias("model"), "choice", F.when(F.col("choice").isNull(), "Timeout").alias("error_type"))
     a = a.select(F.col("example").cast("bigint").alias("example"), F.col("repeat").cast("bigint").alias("repeat"), "model", "choice", "error_type")
+    a = saved(a, "attempts")  # numbered once, not for each delivery
     fourth = F.least(F.floor(F.col("repeat") / 25), F.lit(3))
     for parts in ((0, 1), (2, 2, 3)):
         for part in parts:

@@ -87,3 +87,44 @@ def test_a_restarted_stream_skips_what_is_done(spark, tmp_path):
     add(spark, tmp_path, [*first, (1, 2, "m1", "c", None), (2, 2, "m1", "b", None), (3, 0, "m9", "z", None)])
     assert run(spark, tmp_path) == sorted([*got, (1, 2, "c", None, 1), (2, 2, None, "ModelChanged", 2), (3, 0, "z", None, 0)])
     assert len(run(spark, tmp_path)) == 7  # nothing new
+
+
+def test_state_grows_by_bundles_and_blocks(spark, tmp_path):
+    """An entry for each attempt cost a call or two for each attempt."""
+    add(spark, tmp_path, [(e, r, "m1", "a", None) for e in range(64) for r in range(50)])
+    source = spark.readStream.schema(STREAM).parquet(f"{tmp_path}/in")
+    query = run_checked(source, f"{tmp_path}/out", f"{tmp_path}/state")
+    query.awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 64 * 50
+    assert sum(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress) <= 20  # two bundles of examples
+
+
+def test_repeats_and_examples_at_the_edges_of_blocks_and_bundles(spark, tmp_path):
+    """Each example's own first model, repeats and failures, whichever others share its entries; null, negative and large ids too."""
+    examples = [None, -33, -32, -1, 0, 31, 32, 2**60, 2**60 + 1]
+    models = {e: f"m{i}" for i, e in enumerate(examples)}
+    first = [(e, r, models[e], "a", None) for e in examples for r in (1024, 0, 1023, 7_000_000_000)]
+    later = [(e, r, "other", "a", None) for e in examples for r in (1, 1025)]
+    add(spark, tmp_path, first)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+
+    def now():
+        source = spark.readStream.schema(STREAM).parquet(f"{tmp_path}/in")
+        run_checked(source, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        return sorted((tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("example", "repeat", "model", "choice", "error_type", "failures").collect()), key=key)
+
+    done = [(*r, 0) for r in first]
+    assert now() == sorted(done, key=key)
+    add(spark, tmp_path, [*later, *first, *later])
+    done += [(e, r, m, None, "ModelChanged", 1 if r == 1 else 2) for e, r, m, _, _ in later]
+    assert now() == sorted(done, key=key)
+    add(spark, tmp_path, first)
+    assert now() == sorted(done, key=key)  # nothing new in any bundle
+
+
+def test_a_bundle_of_many_rows_is_given_out_in_parts(spark, tmp_path):
+    rows = [(e, r, "m1" if r else "m0", "a", None) for e in (1, 2) for r in range(9_000)]
+    add(spark, tmp_path, rows)
+    run_checked(spark.readStream.schema(STREAM).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.example, r.repeat, r.failures) for r in got) == [(e, r, r) for e, r, *_ in rows]
